@@ -91,21 +91,22 @@ def find_leaks(docs: DataFrame, bench: DataFrame, keys: list[str], text: str = "
     least = min(map(len, masks))
     start = "IF(size(_h) < {n}, CAST(array() AS array<int>), sequence(0, size(_h) - {n}))"
     pair = _set_in(pairs, "xxhash64(get(_h, i), get(_h, i + 1))", PAIR_BITS)
-    d = d.withColumn("_c", F.expr(f"filter({start.format(n=least)}, i -> {pair})")).where("size(_c) > 0")
+    # explode_outer: explode's own filter on the array's size would be pushed down, and the tokens evaluated for each position
+    d = d.withColumn("_c", F.expr(f"filter({start.format(n=least)}, i -> {pair})"))
     ids = [f"_k{i}" for i in range(len(keys))]
     hit = [f"transform(filter(_c, i -> i <= size(_h) - {len(m)} AND {_set_in(known, _seed(m), SEED_BITS)}), i -> struct(i AS pos, {_seed(m)} AS seed, {len(m)} AS span))" for m in masks]
-    d = d.withColumn("_s", F.expr(f"concat({', '.join(hit)})")).where("size(_s) > 0")
-    train = d.select(*ids, "_h", F.explode("_s").alias("s")).select(*ids, F.col("s.pos").alias("at"), F.col("s.seed").alias("seed"), F.col("s.span").alias("span"), "_h")
+    d = d.withColumn("_s", F.expr(f"concat({', '.join(hit)})"))
+    train = d.select(*ids, "_h", F.explode_outer("_s").alias("s")).where("s IS NOT NULL").select(*ids, F.col("s.pos").alias("at"), F.col("s.seed").alias("seed"), F.col("s.span").alias("span"), "_h")
     train = train.select(*ids, "at", "seed", "span", F.expr(around.format(w=WINDOW, p="at", none="-2L")).alias("here"))
 
     joined = train.join(test, ["seed", "span"])
     # windows of the alignment that begin within WINDOW tokens before the seed; a short item is one window
     n = f"IF(len < {WINDOW}, len, {WINDOW})"
     allowed = f"IF(len < {WINDOW}, 0, {MAX_SUBSTITUTIONS})"
-    same = f"transform(zip_with(here, there, (a, b) -> IF(a = b, 1, 0)), x -> x)"
+    same = "zip_with(here, there, (a, b) -> IF(a = b, 1, 0))"
     v = joined.select(*ids, "item_id", "at", F.expr(same).alias("same"), F.expr(n).alias("n"), F.expr(allowed).alias("sub"), F.expr(f"IF(len < {WINDOW}, array({WINDOW}), sequence(1, {WINDOW}))").alias("starts"))
     score = "aggregate(slice(same, f + 1, n), 0, (a, b) -> a + b)"
-    v = v.withColumn("w", F.expr(f"filter(transform(starts, f -> struct(at - {WINDOW} + f AS p, {score} AS s)), x -> x.s >= n - sub)")).where("size(w) > 0")
-    v = v.select(*ids, "item_id", "n", F.explode("w").alias("w"))
+    v = v.withColumn("w", F.expr(f"filter(transform(starts, f -> struct(at - {WINDOW} + f AS p, {score} AS s)), x -> x.s >= n - sub)"))
+    v = v.select(*ids, "item_id", "n", F.explode_outer("w").alias("w")).where("w IS NOT NULL")
     out = v.groupBy(*ids, "item_id").agg(F.min("w.p").alias("first_token"), F.max(F.col("w.p") + F.col("n") - 1).alias("last_token"), F.count_distinct("w.p").alias("windows"), F.max("w.s").alias("best"))
     return out.select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)], "item_id", "first_token", "last_token", "windows", "best")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, mixing, quality_model, quality_rules, token_counts, url_filter, warc
+from . import decontaminate, language_id, mixing, quality_model, quality_rules, repeats, token_counts, url_filter, warc
 from .common import partitions_for, split_of, table
 
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -53,6 +53,12 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), WEIGHTS).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -123,5 +129,5 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b JOIN v ON b.source IS NOT DISTINCT FROM v.source
 """
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_warc, op4_url_filter, op5_decontamination, op7_quality_classifier, op8_mixing, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_warc, op4_url_filter, op5_decontamination, op7_quality_classifier, op8_mixing, op9_suffix_dedup, op10_quality_rules)}
 ORACLES = {"op4_url_filter": OP4_SQL, "op8_mixing": OP8_SQL, "op10_quality_rules": OP10_SQL}
