@@ -6,8 +6,8 @@ the least hash of its ``GRAM``-byte substrings, which depends on its content alo
 windows meet under equal minimisers. Runs of windows with one minimiser are segments.
 
 1. Segments (minimiser, content hash, place) are dealt by minimiser. Segments of equal content are
-   repeated as a whole and are marked at once; only minimisers with several different contents
-   go on, with one witness for each content.
+   repeated as a whole and are marked at once; only minimisers with several different contents,
+   or with several places in one, go on, with one witness for each content.
 2. The contents of a minimiser are brought into one task, many minimisers to a batch. The batch's
    suffix array and Burrows-Wheeler transform are built, and intervals are extended backwards
    breadth-first from the empty string: boundaries appear by increasing common prefix, and the
@@ -38,31 +38,40 @@ from pyspark.sql import functions as F
 from .common import Stage, partitions_for
 from .textops import chunks, column_bytes, mix, powers, prefix, span_hash
 
-LENGTH, GRAM = 200, 24
+LENGTH, GRAM, POSITION_BITS = 200, 24, 24
 MOST_BYTES, BATCH_BYTES, PIECE = 6 << 20, 1 << 19, 1 << 20
 
 
 def segments(data: np.ndarray, offs: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(minimiser, content hash, text number, start in text, bytes) of every segment."""
+    """(minimiser, content hash, text number, start in text, bytes, several) of every segment.
+
+    The least hash is looked for by its upper 40 bits, the leftmost on a tie; ``several`` tells that
+    the minimiser stands at more than one place of the segment, which may then repeat itself.
+    """
     n = len(data)
     if n < length:
         z = np.zeros(0, np.int64)
-        return z.astype(np.uint64), z.astype(np.uint64), z, z, z
+        return z.astype(np.uint64), z.astype(np.uint64), z, z, z, z.astype(bool)
     p = prefix(data)
     _, down = powers(n + 1)
-    m = mix((p[gram:] - p[:-gram]) * down[: n - gram + 1])
+    g = mix((p[gram:] - p[:-gram]) * down[: n - gram + 1])
+    low = np.uint64((1 << POSITION_BITS) - 1)
+    m = (g & ~low) | np.arange(len(g), dtype=np.uint64)
     width, span = length - gram + 1, 1
     while 2 * span <= width:
         m = np.minimum(m[:-span], m[span:])
         span *= 2
     if span < width:
         m = np.minimum(m[: len(m) - (width - span)], m[width - span :])
-    doc = np.searchsorted(offs, np.arange(n - length + 1), side="right") - 1
-    inside = offs[doc + 1] - np.arange(n - length + 1) >= length
-    first = np.append(True, (m[1:] != m[:-1]) | (doc[1:] != doc[:-1]) | ~inside[:-1]) & inside
-    last = np.append((m[1:] != m[:-1]) | (doc[1:] != doc[:-1]) | ~inside[1:], True) & inside
-    s, e = np.flatnonzero(first), np.flatnonzero(last) + length
-    return m[s], span_hash(p, s, e), doc[s], s - offs[doc[s]], e - s
+    place = (m & low).astype(np.int64)
+    value = g[place]
+    at = np.arange(n - length + 1)
+    doc = np.searchsorted(offs, at, side="right") - 1
+    inside = offs[doc + 1] - at >= length
+    turn = (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])
+    s = np.flatnonzero(np.append(True, turn | ~inside[:-1]) & inside)
+    e = np.flatnonzero(np.append(turn | ~inside[1:], True) & inside)
+    return value[s], span_hash(p, s, e + length), doc[s], s - offs[doc[s]], e + length - s, place[s] != place[e]
 
 
 def suffix_order(symbols: np.ndarray, separator: np.ndarray) -> np.ndarray:
@@ -164,15 +173,18 @@ def find_repeats(docs: DataFrame, stage: Stage, length: int = LENGTH, most_bytes
             data, offs = column_bytes(batch.column(1))
             rks = batch.column(0).to_numpy(zero_copy_only=False)
             for a, b, d, o in chunks(data, offs, PIECE):
-                m, c, doc, start, size = segments(d, o, length)
-                yield pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), pa.array(c.view(np.int64)), pa.array(rks[a:b][doc]), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32))], ["anchor", "content", "rk", "start", "bytes"])
+                step = 1 << (POSITION_BITS - 1)
+                for at in range(0, len(d), step) if b == a + 1 else (0,):  # a very long text in overlapping parts
+                    part = d[at : at + step + length - 1] if b == a + 1 else d
+                    m, c, doc, start, size, several = segments(part, o if b > a + 1 else np.array([0, len(part)]), length)
+                    yield pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), pa.array(c.view(np.int64)), pa.array(rks[a:b][doc]), pa.array((start + at).astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(several)], ["anchor", "content", "rk", "start", "bytes", "several"])
 
-    segs = docs.mapInArrow(cut, "anchor long, content long, rk long, start int, bytes int")
+    segs = docs.mapInArrow(cut, "anchor long, content long, rk long, start int, bytes int, several boolean")
     order = W.partitionBy("anchor").orderBy("content", "rk", "start")
     whole = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     s = segs.select("*", F.lag("content").over(order).alias("p"), F.lead("content").over(order).alias("n"), F.min("content").over(whole).alias("lo"), F.max("content").over(whole).alias("hi"))
     same = lambda c: F.coalesce(F.col(c) == F.col("content"), F.lit(False))
-    s = s.select("anchor", "content", "rk", "start", "bytes", (same("p") | same("n")).alias("dup"), (~same("p") & (F.col("lo") != F.col("hi"))).alias("witness")).where("dup OR witness")
+    s = s.select("anchor", "content", "rk", "start", "bytes", (same("p") | same("n")).alias("dup"), (~same("p") & ((F.col("lo") != F.col("hi")) | F.col("several"))).alias("witness")).where("dup OR witness")
     s = s.withColumn("held", F.sum(F.when(F.col("witness"), F.col("bytes").cast("long"))).over(W.partitionBy("anchor")))
     s = stage.put(s.withColumn("hot", F.col("held") > most_bytes).drop("held", "content"), "shared")
 
