@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, mixing, quality_model, quality_rules, repeats, token_counts, url_filter, warc
+from . import decontaminate, jaccard_join, language_id, mixing, quality_model, quality_rules, repeats, token_counts, url_filter, warc
 from .common import partitions_for, split_of, table
 
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -39,6 +39,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"), k=3, percent=90)
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("label"))
@@ -129,5 +133,5 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b JOIN v ON b.source IS NOT DISTINCT FROM v.source
 """
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_warc, op4_url_filter, op5_decontamination, op7_quality_classifier, op8_mixing, op9_suffix_dedup, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_warc, op4_url_filter, op5_decontamination, op6_jaccard_join, op7_quality_classifier, op8_mixing, op9_suffix_dedup, op10_quality_rules)}
 ORACLES = {"op4_url_filter": OP4_SQL, "op8_mixing": OP8_SQL, "op10_quality_rules": OP10_SQL}
