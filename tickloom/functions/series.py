@@ -156,7 +156,7 @@ def lagged_return(ax: Axis, x: Column, seq: Column, ns: int, is_log: bool = Fals
 
 def time_cues(ts_ns: Column) -> dict[str, Column]:
     """Time of day and week, UTC; Monday is 0."""
-    s = F.expr("0") + F.floor(ts_ns / 1_000_000_000).cast("long")
+    s = F.call_function("div", ts_ns, F.lit(1_000_000_000))
     day = F.pmod(s, F.lit(86_400)).cast("double")
     dow = F.pmod(F.floor(s / 86_400) + 3, F.lit(7)).cast("double")
     hour, minute = F.floor(day / 3600).cast("int"), F.floor((day % 3600) / 60).cast("int")

@@ -80,8 +80,9 @@ def window_levels(fp: DataFrame, seconds: float) -> DataFrame:
     An interval self-join by buckets of W: a bar reaches its own bucket and the one before.
     """
     step = round(seconds * 1e9)
-    left = fp.select("symbol", "bar_id").withColumn("b", F.explode(F.array(F.floor(F.col("bar_id") / step), F.floor(F.col("bar_id") / step) - 1)))
-    right = fp.select("symbol", F.col("bar_id").alias("past"), F.floor(F.col("bar_id") / step).alias("b"), F.transform("fp", lambda x: F.struct(x["level"].alias("level"), (x["buy_volume"] + x["sell_volume"]).alias("volume"))).alias("v"))
+    bucket = F.call_function("div", F.col("bar_id"), F.lit(step))
+    left = fp.select("symbol", "bar_id").withColumn("b", F.explode(F.array(bucket, bucket - 1)))
+    right = fp.select("symbol", F.col("bar_id").alias("past"), bucket.alias("b"), F.transform("fp", lambda x: F.struct(x["level"].alias("level"), (x["buy_volume"] + x["sell_volume"]).alias("volume"))).alias("v"))
     near = left.join(right, ["symbol", "b"]).where((F.col("past") <= F.col("bar_id")) & (F.col("past") >= F.col("bar_id") - step))
     return near.select("symbol", "bar_id", F.inline("v")).groupBy("symbol", "bar_id", "level").agg(F.sum("volume").alias("volume"))
 

@@ -26,5 +26,5 @@ def asof(left: DataFrame, right: DataFrame, on: str = "ts_ns", by: str = "symbol
 
 def interval(points: DataFrame, spans: DataFrame, width_ns: int, at: str = "ts_ns", start: str = "start_ns", by: str = "symbol") -> DataFrame:
     """Pairs with start <= at <= start + width, by equi-join on time buckets of ``width_ns``."""
-    b = F.floor(F.col(start) / width_ns)
-    return spans.withColumn("_b", F.explode(F.array(b, b + 1))).join(points.withColumn("_b", F.floor(F.col(at) / width_ns)), [by, "_b"]).where((F.col(at) >= F.col(start)) & (F.col(at) <= F.col(start) + width_ns)).drop("_b")
+    b = F.call_function("div", F.col(start), F.lit(width_ns))  # never by floating point
+    return spans.withColumn("_b", F.explode(F.array(b, b + 1))).join(points.withColumn("_b", F.call_function("div", F.col(at), F.lit(width_ns))), [by, "_b"]).where((F.col(at) >= F.col(start)) & (F.col(at) <= F.col(start) + width_ns)).drop("_b")

@@ -235,9 +235,11 @@ class PriceVolumeCorrelation(Staged):
 
     def steps(self, ax: Axis) -> list[dict[str, Column]]:
         n, (c, v) = self.params["window"], map(ref, self.requires)
-        value = F.corr("_r", v).over(ax.rows(n))
-        value = F.when(~F.isnan(value), F.greatest(F.least(value, F.lit(1.0)), F.lit(-1.0)))
-        return [{"_r": div(c, ax.lag(c)) - 1}, {"_n": F.count(F.lit(1)).over(ax.running), self.produces[0]: F.when((F.count(F.lit(1)).over(ax.running) > n) & ref("_r").isNotNull() & v.isNotNull(), value)}]
+        r, v = F.when(v.isNotNull(), ref("_r")), F.when(ref("_r").isNotNull(), v)
+        over = lambda f: f.over(ax.rows(n))
+        value = div(over(F.covar_pop(r, v)), over(F.stddev_pop(r)) * over(F.stddev_pop(v)))
+        value = F.greatest(F.least(value, F.lit(1.0)), F.lit(-1.0))
+        return [{"_r": div(c, ax.lag(c)) - 1}, {self.produces[0]: F.when((F.count(F.lit(1)).over(ax.running) > n) & (ref("_r") + v).isNotNull(), value)}]
 
 
 class VarianceRatio14(Staged):
@@ -324,7 +326,7 @@ class DailyGap(Staged):
 
     def steps(self, ax: Axis) -> list[dict[str, Column]]:
         x = ref(self.requires[0])
-        day = F.floor(ref(ax.time) / 86_400_000_000_000)
+        day = F.call_function("div", ref(ax.time), F.lit(86_400_000_000_000))
         return [{"_day": day}, {"_pd": ax.lag(ref("_day")), "_px": ax.lag(x)}, {self.produces[0]: F.when(ref("_day") != ref("_pd"), div(x, ref("_px")) - 1)}]
 
 
@@ -339,7 +341,7 @@ class ORBBreak(Staged):
         from pyspark.sql import Window
 
         h, l, c = map(ref, self.requires)
-        day = F.floor(ref(ax.time) / 86_400_000_000_000)
+        day = F.call_function("div", ref(ax.time), F.lit(86_400_000_000_000))
         whole = Window.partitionBy(*ax.by, "_day")
         early = ref("_k") <= 4
         ok = (ref("_n") >= 4) & (ref("_t0") % 86_400_000_000_000 == 0) & ~early

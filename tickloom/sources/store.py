@@ -14,7 +14,7 @@ from ..operators.bars import fill_empty, ohlcv, resample, time_bars
 
 
 def month_of(ns: Column) -> Column:
-    return F.date_format(F.timestamp_micros(F.floor(ns / 1000)), "yyyy-MM")
+    return F.date_format(F.timestamp_micros(F.call_function("div", ns, F.lit(1000))), "yyyy-MM")
 
 
 class TradeStore:

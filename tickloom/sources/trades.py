@@ -100,7 +100,7 @@ def preprocess(df: DataFrame, unit: str | None = None, resolution: str | None =
         d = d.withColumn("ts_ns", round_time(F.col("ts_ns"), resolution))
     if "side" not in d.columns:
         d = add_side(d)
-    return d.select("symbol", "seq", "id", "ts_ns", F.timestamp_micros(F.floor(F.col("ts_ns") / 1000)).alias("ts"), "price", "amount", "side")
+    return d.select("symbol", "seq", "id", "ts_ns", F.timestamp_micros(F.expr("ts_ns div 1000")).alias("ts"), "price", "amount", "side")
 
 
 def view(df: DataFrame, start_ns: int, end_ns: int) -> DataFrame:

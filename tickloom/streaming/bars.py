@@ -20,7 +20,7 @@ from ..operators.bars import ceil_to
 def time_bars(stream: DataFrame, seconds: float, delay: str | None = None) -> DataFrame:
     """OHLCV of right-closed bars; bar_id is the close in ns. Append mode emits a bar when the watermark passes it."""
     step = round(seconds * 1e9)
-    d = stream.withColumn("bar_id", ceil_to(F.col("ts_ns"), step)).withColumn("bar_end", F.timestamp_micros(F.floor(F.col("bar_id") / 1000)))
+    d = stream.withColumn("bar_id", ceil_to(F.col("ts_ns"), step)).withColumn("bar_end", F.timestamp_micros(F.expr("bar_id div 1000")))
     d = d.withWatermark("bar_end", delay or f"{seconds} seconds")
     key = F.struct("ts_ns", "id")
     v = F.sum("amount")
