@@ -19,7 +19,10 @@ class Axis:
         self.by = [by] if isinstance(by, str) else list(by)
         self.order = [order] if isinstance(order, str) else list(order)
         self.time = time
-        self.whole = Window.partitionBy(*self.by).orderBy(*self.order)
+
+    @property
+    def whole(self) -> Window:
+        return Window.partitionBy(*self.by).orderBy(*self.order)
 
     def rows(self, n: int, end: int = 0) -> Window:
         return self.whole.rowsBetween(-(n - 1), end)

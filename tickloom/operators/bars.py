@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 from ..functions import kernels
 from .sequential import Fold, run_folds
 
-BAR = Window.partitionBy("symbol", "bar_id").orderBy("seq")
-
 
 def _by(*order: str) -> Window:
     return Window.partitionBy("symbol").orderBy(*order)
@@ -184,7 +182,7 @@ def directional(trades: DataFrame, bars: DataFrame) -> DataFrame:
     prev = trades.select("symbol", "seq", F.lag("side").over(_by("seq")).alias("_ps"), F.lag("price").over(_by("seq")).alias("_pp"))
     s = F.col("side").cast("int")
     d = bars.join(prev, ["symbol", "seq"]).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("symbol", "bar_id")))
-    run = BAR.rowsBetween(Window.unboundedPreceding, 0)
+    run = Window.partitionBy("symbol", "bar_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     flip = s != F.when(F.col("_n") == 1, 0).otherwise(F.coalesce("_ps", s))
     dollars = F.col("price") * F.col("amount")
     d = d.withColumns({"_spread": F.when(flip, F.abs(F.col("price") - F.col("_pp"))), "_ct": F.when(s != 0, F.sum(s).over(run)), "_cv": F.when(s != 0, F.sum(s * F.col("amount")).over(run)), "_cd": F.when(s != 0, F.sum(s * dollars).over(run))})

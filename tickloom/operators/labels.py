@@ -11,8 +11,14 @@ from ..functions import kernels
 from .joins import asof, interval
 from .sequential import Fold, run_folds
 
-WHOLE = Window.partitionBy("symbol")
-RUN = Window.partitionBy("symbol").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+
+
+def whole() -> Window:
+    return Window.partitionBy("symbol")
+
+
+def running(order: str = "seq") -> Window:
+    return Window.partitionBy("symbol").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
 
 
 def cusum_filter(df: DataFrame, threshold: float | str) -> DataFrame:
@@ -35,7 +41,7 @@ def prepare_events(features: DataFrame, target: str, min_ret: float, barriers: t
     if min(barriers) < 0 or min_ret < 0:
         raise ValueError("barriers and the least return must not be negative")
     columns = columns or [c for c in features.columns if c not in ("symbol", "ts_ns")]
-    begun = [F.min(F.when(F.col(f"`{c}`").isNotNull(), F.col("ts_ns"))).over(WHOLE) for c in columns]
+    begun = [F.min(F.when(F.col(f"`{c}`").isNotNull(), F.col("ts_ns"))).over(whole()) for c in columns]
     d = features.withColumn("_t0", F.greatest(*begun) if len(begun) > 1 else begun[0]).where("ts_ns >= _t0").drop("_t0")
     finite = [b for b in barriers if math.isfinite(b)]
     return d.where(F.abs(F.col(f"`{target}`")) * (max(finite) if finite else 1.0) >= min_ret).withColumn("target", F.col(f"`{target}`"))
@@ -119,7 +125,7 @@ class TripleBarrier:
 def concurrency(trades: DataFrame, labels: DataFrame) -> DataFrame:
     """trades with c, the number of open events (both ends included), by a difference array."""
     steps = labels.select("symbol", F.col("event_idx").alias("seq"), F.lit(1).alias("d")).unionByName(labels.select("symbol", (F.col("touch_idx") + 1).alias("seq"), F.lit(-1).alias("d"))).groupBy("symbol", "seq").agg(F.sum("d").alias("d"))
-    return trades.join(steps, ["symbol", "seq"], "left").withColumn("c", F.sum(F.coalesce("d", F.lit(0))).over(RUN)).drop("d")
+    return trades.join(steps, ["symbol", "seq"], "left").withColumn("c", F.sum(F.coalesce("d", F.lit(0))).over(running())).drop("d")
 
 
 def _between(prefix: DataFrame, labels: DataFrame, name: str) -> Column | DataFrame:
@@ -132,7 +138,7 @@ def _between(prefix: DataFrame, labels: DataFrame, name: str) -> Column | DataFr
 def average_uniqueness(trades: DataFrame, labels: DataFrame) -> DataFrame:
     """labels with avg_uniqueness, the mean of 1 / concurrency over each event's rows."""
     c = concurrency(trades.select("symbol", "seq"), labels)
-    p = c.withColumn("avg_uniqueness", F.sum(F.when(F.col("c") > 0, 1.0 / F.col("c")).otherwise(0.0)).over(RUN))
+    p = c.withColumn("avg_uniqueness", F.sum(F.when(F.col("c") > 0, 1.0 / F.col("c")).otherwise(0.0)).over(running()))
     return _between(p, labels, "avg_uniqueness").withColumn("avg_uniqueness", F.col("avg_uniqueness") / (F.col("touch_idx") - F.col("event_idx") + 1))
 
 
@@ -141,17 +147,17 @@ def return_attribution(trades: DataFrame, labels: DataFrame, normalize: bool = F
     c = concurrency(trades.select("symbol", "seq", "price"), labels)
     step = F.log(F.col("price")) - F.lag(F.log(F.col("price"))).over(Window.partitionBy("symbol").orderBy("seq"))
     c = c.withColumn("_x", F.when(F.col("c") > 0, F.coalesce(step, F.lit(0.0)) / F.col("c")).otherwise(0.0))
-    p = c.withColumn("return_attribution", F.sum("_x").over(RUN))
+    p = c.withColumn("return_attribution", F.sum("_x").over(running()))
     out = _between(p, labels, "return_attribution").withColumn("return_attribution", F.abs("return_attribution"))
     if normalize:
-        out = out.withColumn("return_attribution", F.try_divide(F.col("return_attribution") * F.count(F.lit(1)).over(WHOLE), F.sum("return_attribution").over(WHOLE)))
+        out = out.withColumn("return_attribution", F.try_divide(F.col("return_attribution") * F.count(F.lit(1)).over(whole()), F.sum("return_attribution").over(whole())))
     return out
 
 
 def time_decay(u: str, last: float, order: str = "event_idx") -> Column:
     """Piecewise-linear decay in cumulative uniqueness; the newest weighs 1, ``last`` is the oldest's weight."""
     w = Window.partitionBy("symbol").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    c, t = F.sum(u).over(w), F.sum(u).over(WHOLE)
+    c, t = F.sum(u).over(w), F.sum(u).over(whole())
     slope = F.try_divide(F.lit(1.0 - last), t) if last >= 0 else F.try_divide(F.lit(1.0), (last + 1) * t)
     v = 1 - slope * t + slope * c
     return v if last >= 0 else F.greatest(v, F.lit(0.0))
@@ -160,8 +166,8 @@ def time_decay(u: str, last: float, order: str = "event_idx") -> Column:
 def class_balance(df: DataFrame, label: str = "label", weight: str = "weights") -> DataFrame:
     """weight times total / (classes * weight of the class); class_weight beside it."""
     per = F.sum(weight).over(Window.partitionBy("symbol", label))
-    n = F.size(F.collect_set(label).over(WHOLE))
-    cls = F.when(per > 0, F.sum(weight).over(WHOLE) / (n * per)).otherwise(0.0)
+    n = F.size(F.collect_set(label).over(whole()))
+    cls = F.when(per > 0, F.sum(weight).over(whole()) / (n * per)).otherwise(0.0)
     return df.withColumn("class_weight", cls).withColumn(weight, F.col(weight) * F.col("class_weight"))
 
 
@@ -172,8 +178,8 @@ def info_weights(trades: DataFrame, labels: DataFrame, normalize: bool = False)
 def final_weights(df: DataFrame, time_decay_intercept: float = 1.0, use_attribution: bool = True, use_vertical: bool = True, label: str | None = "label") -> DataFrame:
     """Decay times attribution (or uniqueness) times vertical weight, mean 1, then class balance."""
     d = df.withColumn("time_decay_weights", time_decay("avg_uniqueness", time_decay_intercept))
-    w = F.col("time_decay_weights") * (F.try_divide(F.col("return_attribution") * F.count(F.lit(1)).over(WHOLE), F.sum("return_attribution").over(WHOLE)) if use_attribution else F.col("avg_uniqueness"))
+    w = F.col("time_decay_weights") * (F.try_divide(F.col("return_attribution") * F.count(F.lit(1)).over(whole()), F.sum("return_attribution").over(whole())) if use_attribution else F.col("avg_uniqueness"))
     if use_vertical:
         w = w * F.coalesce("vertical_touch_weight", F.lit(1.0))
-    d = d.withColumn("weights", w).withColumn("weights", F.try_divide(F.col("weights"), F.avg("weights").over(WHOLE)))
+    d = d.withColumn("weights", w).withColumn("weights", F.try_divide(F.col("weights"), F.avg("weights").over(whole())))
     return class_balance(d, label) if label else d
