@@ -81,7 +81,7 @@ def _open(folder: str, kind: str) -> tuple[pafs.FileSystem, str, str]:
     return fs, f"{base}/_{kind}-{part:06d}-{attempt}-{uuid.uuid4().hex[:6]}", f"{base}/{kind}-{part:06d}"
 
 
-def write_archives(records: DataFrame, folder: str, level: int = 1) -> DataFrame:
+def write_archives(records: DataFrame, folder: str, level: int = 6) -> DataFrame:
     """(path, records) per archive. records: key, payload, digest, size, record_type, refers_to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +147,7 @@ class _Stream:
             yield part
 
 
-def normalise(manifest: DataFrame, folder: str, level: int = 1) -> DataFrame:
+def normalise(manifest: DataFrame, folder: str, level: int = 6) -> DataFrame:
     """Rewrite each archive with a member per record; returns the index rows, also written beside each archive as ``.cdx``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
