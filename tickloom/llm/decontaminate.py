@@ -9,7 +9,8 @@ exhaustively in the tests), so the seeds lose nothing that the verification woul
 
 Test and training hashes are joined, then each hit's neighbourhood is verified: every window of
 ``WINDOW`` aligned tokens around the hit is compared token by token. Items shorter than a window
-have to be matched as a whole, without substitution, by a mask of all their tokens.
+have to be matched as a whole, without substitution, by a mask of all their tokens; items of a
+single token are left out, as a word alone is no leak.
 
 Training positions are first reduced inside the row: a position counts only if its first two
 tokens are a pair that the benchmark has (all masks begin with two ones), then only if its mask
@@ -66,7 +67,7 @@ def find_leaks(docs: DataFrame, bench: DataFrame, keys: list[str], text: str = "
     ``best`` is the most tokens that agree in one.
     """
     stage = Stage(docs.sparkSession, "leaks")
-    items = bench.select(F.col(item_id).alias("item_id"), token_hashes(F.col(item_text)).alias("_h")).where("size(_h) > 0")
+    items = bench.select(F.col(item_id).alias("item_id"), token_hashes(F.col(item_text)).alias("_h")).where("size(_h) > 1")
     items = stage.put(items.withColumn("len", F.size("_h")), "items")
     short = sorted(r[0] for r in items.where(F.col("len") < WINDOW).select("len").distinct().collect())
     masks = [*MASKS, *("1" * n for n in short)]
@@ -82,7 +83,7 @@ def find_leaks(docs: DataFrame, bench: DataFrame, keys: list[str], text: str = "
     # the item's tokens around the seed, with -1 outside, so that both sides are aligned arrays
     around = "transform(sequence(-{w}, span + {w} - 1), k -> coalesce(IF({p} + k < 0, NULL, get(_h, {p} + k)), {none}))"
     test = stage.put(test.select("item_id", "len", "pos", "seed", "span", F.expr(around.format(w=WINDOW, p="pos", none="-1L")).alias("there")), "test")
-    first_two = items.select(F.explode(F.expr("transform(sequence(0, greatest(len - 2, 0)), i -> xxhash64(get(_h, i), get(_h, i + 1)))")).alias("v"))
+    first_two = items.select(F.explode(F.expr("transform(sequence(0, len - 2), i -> xxhash64(get(_h, i), get(_h, i + 1)))")).alias("v"))
     if not test.limit(1).count():
         first_two = first_two.where("false")
     pairs, known = _bit_table(first_two, PAIR_BITS), _bit_table(test.select(F.col("seed").alias("v")), SEED_BITS)
