@@ -128,30 +128,41 @@ def concurrency(trades: DataFrame, labels: DataFrame) -> DataFrame:
     return trades.join(steps, ["symbol", "seq"], "left").withColumn("c", F.sum(F.coalesce("d", F.lit(0))).over(running())).drop("d")
 
 
-def _between(prefix: DataFrame, labels: DataFrame, name: str) -> Column | DataFrame:
-    """labels with the sum of a running total's steps over [event_idx, touch_idx]."""
-    end = prefix.select("symbol", F.col("seq").alias("touch_idx"), F.col(name).alias("_e"))
-    before = prefix.select("symbol", (F.col("seq") + 1).alias("event_idx"), F.col(name).alias("_b"))
-    return labels.join(end, ["symbol", "touch_idx"], "left").join(before, ["symbol", "event_idx"], "left").withColumn(name, F.col("_e") - F.coalesce("_b", F.lit(0.0))).drop("_e", "_b")
+def _attributed(trades: DataFrame, labels: DataFrame, uniqueness: bool, attribution: bool) -> DataFrame:
+    """labels with avg_uniqueness and return_attribution, from prefix sums of the shares read at both ends of each event."""
+    c = concurrency(trades.select("symbol", "seq", *["price"] * attribution), labels)
+    sums = {}
+    if uniqueness:
+        sums["avg_uniqueness"] = F.when(F.col("c") > 0, 1.0 / F.col("c")).otherwise(0.0)
+    if attribution:
+        c = c.withColumn("_lr", F.log("price") - F.lag(F.log("price")).over(Window.partitionBy("symbol").orderBy("seq")))
+        sums["return_attribution"] = F.when(F.col("c") > 0, F.coalesce("_lr", F.lit(0.0)) / F.col("c")).otherwise(0.0)
+    p = c.select("symbol", "seq", F.struct(*[F.sum(x).over(running()).alias(n) for n, x in sums.items()]).alias("p"))
+    end = p.select("symbol", F.col("seq").alias("touch_idx"), F.col("p").alias("_e"))
+    before = p.select("symbol", (F.col("seq") + 1).alias("event_idx"), F.col("p").alias("_b"))
+    out = labels.join(end, ["symbol", "touch_idx"], "left").join(before, ["symbol", "event_idx"], "left")
+    return out.withColumns({n: F.col(f"_e.{n}") - F.coalesce(F.col(f"_b.{n}"), F.lit(0.0)) for n in sums}).drop("_e", "_b")
+
+
+def _mean_share(df: DataFrame) -> DataFrame:
+    return df.withColumn("avg_uniqueness", F.col("avg_uniqueness") / (F.col("touch_idx") - F.col("event_idx") + 1))
+
+
+def _absolute(df: DataFrame, normalize: bool) -> DataFrame:
+    df = df.withColumn("return_attribution", F.abs("return_attribution"))
+    if normalize:
+        df = df.withColumn("return_attribution", F.try_divide(F.col("return_attribution") * F.count(F.lit(1)).over(whole()), F.sum("return_attribution").over(whole())))
+    return df
 
 
 def average_uniqueness(trades: DataFrame, labels: DataFrame) -> DataFrame:
     """labels with avg_uniqueness, the mean of 1 / concurrency over each event's rows."""
-    c = concurrency(trades.select("symbol", "seq"), labels)
-    p = c.withColumn("avg_uniqueness", F.sum(F.when(F.col("c") > 0, 1.0 / F.col("c")).otherwise(0.0)).over(running()))
-    return _between(p, labels, "avg_uniqueness").withColumn("avg_uniqueness", F.col("avg_uniqueness") / (F.col("touch_idx") - F.col("event_idx") + 1))
+    return _mean_share(_attributed(trades, labels, True, False))
 
 
 def return_attribution(trades: DataFrame, labels: DataFrame, normalize: bool = False) -> DataFrame:
     """labels with |sum of log return / concurrency|; normalised they add up to the number of events."""
-    c = concurrency(trades.select("symbol", "seq", "price"), labels)
-    step = F.log(F.col("price")) - F.lag(F.log(F.col("price"))).over(Window.partitionBy("symbol").orderBy("seq"))
-    c = c.withColumn("_x", F.when(F.col("c") > 0, F.coalesce(step, F.lit(0.0)) / F.col("c")).otherwise(0.0))
-    p = c.withColumn("return_attribution", F.sum("_x").over(running()))
-    out = _between(p, labels, "return_attribution").withColumn("return_attribution", F.abs("return_attribution"))
-    if normalize:
-        out = out.withColumn("return_attribution", F.try_divide(F.col("return_attribution") * F.count(F.lit(1)).over(whole()), F.sum("return_attribution").over(whole())))
-    return out
+    return _absolute(_attributed(trades, labels, False, True), normalize)
 
 
 def time_decay(u: str, last: float, order: str = "event_idx") -> Column:
@@ -172,7 +183,8 @@ def class_balance(df: DataFrame, label: str = "label", weight: str = "weights")
 
 
 def info_weights(trades: DataFrame, labels: DataFrame, normalize: bool = False) -> DataFrame:
-    return return_attribution(trades, average_uniqueness(trades, labels), normalize)
+    """Uniqueness and attribution together: one pass over the trades."""
+    return _absolute(_mean_share(_attributed(trades, labels, True, True)), normalize)
 
 
 def final_weights(df: DataFrame, time_decay_intercept: float = 1.0, use_attribution: bool = True, use_vertical: bool = True, label: str | None = "label") -> DataFrame:
