@@ -156,11 +156,21 @@ def fit(train: DataFrame, per_side: int = 3000, default_prior: float = 0.85, epo
 
     parts = {0: [], 1: []}
     for df, side in ((as_pos, 1), (as_unl, 0)):
-        got = df.mapInArrow(extract, "side int, x binary").toArrow().column("x")
-        rows = [np.frombuffer(v.as_py(), np.float32) for v in got]
-        parts[side] = np.stack(sorted(rows, key=lambda r: r.tobytes())).astype(np.float32)
-    mean, scale = parts[0].mean(0), parts[0].std(0) + 1e-3 * (np.arange(DIM + STATS) < DIM) + 1e-6
-    z = {k: np.clip((v - mean) / scale, -8, 8) for k, v in parts.items()}
+        # into one float32 matrix per side, part by part: the driver holds each sample once
+        out = np.empty((per_side, DIM + STATS), np.float32)
+        n = 0
+        for v in df.mapInArrow(extract, "side int, x binary").toArrow().column("x"):
+            out[n] = np.frombuffer(v.as_buffer(), np.float32)
+            n += 1
+        parts[side] = out[:n][np.argsort([r.tobytes()[:256] + r[DIM:].tobytes() for r in out[:n]], kind="stable")]
+        del out
+    mean = parts[0].mean(0, dtype=np.float64).astype(np.float32)
+    scale = (parts[0].std(0) + 1e-3 * (np.arange(DIM + STATS) < DIM) + 1e-6).astype(np.float32)
+    z = parts
+    for v in z.values():
+        v -= mean
+        v /= scale
+        np.clip(v, -8, 8, out=v)
     w, b = nn_pu(z[1], z[0], prior, epochs, rate, decay, 256, seed)
     return Model(mean, scale, w, b)
 
