@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 SPACES = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+BATCH_BYTES = 4 << 20
+
 _roots: dict[str, str] = {}
 
 
@@ -49,10 +51,19 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session by ``BATCH_BYTES``.
+
+    The default of 64 MB or 10,000 rows is held several times over by each JVM task and its Python worker.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 class Stage:
     """Tables written to the shared folder, so that a lost executor costs no recomputation."""
 
     def __init__(self, spark: SparkSession, name: str):
+        small_batches(spark)
         self.spark, self.base = spark, f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:8]}"
 
     def path(self, name: str) -> str:

@@ -39,7 +39,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import Stage, connected_components, partitions_for
-from .textops import COEF, chunks, column_bytes, mix, shingle_sets
+from .textops import COEF, chunks, column_bytes, mix, shingle_sets, trimmed
 
 SEGMENT, TILE, TILE_BYTES, FILTER_BITS = 512, 2048, 4 << 20, 1 << 23
 EMPTY = np.uint64(0x5851F42D4C957F2D)
@@ -178,7 +178,7 @@ def components(docs: DataFrame, stage: Stage, k: int, percent: int) -> tuple[Dat
             if rows:
                 yield _sketched(ids, rows)
 
-    t1 = stage.put(docs.mapInArrow(sketch, "id long, n int, cid long, band int, main boolean, keys array<bigint>"), "sketches")
+    t1 = stage.put(docs.mapInArrow(trimmed(sketch), "id long, n int, cid long, band int, main boolean, keys array<bigint>"), "sketches")
     light = stage.put(t1.where("main").select("id", "n", "cid"), "light")
     rep = t1.where("cid IS NOT NULL").select("cid", "band", "keys").dropDuplicates(["cid", "band"])
     per = F.element_at(F.array(*[F.lit(b[4]) for b in layout.bands]), F.col("band") + 1)
@@ -212,7 +212,7 @@ def components(docs: DataFrame, stage: Stage, k: int, percent: int) -> tuple[Dat
                     rows, size = [], 0
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["cid", "u"])
 
-    sets = stage.put(docs.mapInArrow(gather, "cid long, u binary").dropDuplicates(["cid"]), "sets")
+    sets = stage.put(docs.mapInArrow(trimmed(gather), "cid long, u binary").dropDuplicates(["cid"]), "sets")
 
     # star
     reach = g.groupBy("cid").agg(F.sum("g").alias("reach"))
@@ -233,7 +233,7 @@ def components(docs: DataFrame, stage: Stage, k: int, percent: int) -> tuple[Dat
                     rows.append((hub, cid))
             yield _edges(rows)
 
-    links = members.unionByName(hubs).repartition(parts, "hub", "salt").sortWithinPartitions("hub", "salt", "kind").mapInArrow(compare, "a long, b long")
+    links = members.unionByName(hubs).repartition(parts, "hub", "salt").sortWithinPartitions("hub", "salt", "kind").mapInArrow(trimmed(compare), "a long, b long")
     links = stage.put(links, "links")
     comp = stage.put(connected_components(stage, links, "first").select(F.col("id").alias("cid"), "comp"), "comp")
 
@@ -252,7 +252,7 @@ def components(docs: DataFrame, stage: Stage, k: int, percent: int) -> tuple[Dat
                 yield pa.RecordBatch.from_arrays([pa.array([cid] * len(out), pa.int64()), pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], ["cid", "slot", "bits"])
 
     open_ = sets.join(r.select("cid").distinct(), "cid", "left_semi")
-    bits = open_.select("cid", "u").mapInArrow(sketches, "cid long, slot int, bits binary")
+    bits = open_.select("cid", "u").mapInArrow(trimmed(sketches), "cid long, slot int, bits binary")
     near = _tiled(r.join(bits, ["cid", "slot"]), ["key"], f"greatest(1, ceil(g / {TILE}))")
 
     def nearby(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,7 +271,7 @@ def components(docs: DataFrame, stage: Stage, k: int, percent: int) -> tuple[Dat
             if out:
                 yield _edges(out)
 
-    pairs = near.select("key", "ti", "tj", "cid", "comp", "own", "slot", "bits").repartition(parts, "key", "ti", "tj").sortWithinPartitions("key", "ti", "tj").mapInArrow(nearby, "a long, b long")
+    pairs = near.select("key", "ti", "tj", "cid", "comp", "own", "slot", "bits").repartition(parts, "key", "ti", "tj").sortWithinPartitions("key", "ti", "tj").mapInArrow(trimmed(nearby), "a long, b long")
     pairs = stage.put(pairs.distinct(), "near")
     if not pairs.limit(1).count():
         return light, comp
@@ -286,7 +286,7 @@ def components(docs: DataFrame, stage: Stage, k: int, percent: int) -> tuple[Dat
             if out:
                 yield _edges(out)
 
-    more = tiles.select("family", "ti", "tj", "cid", "comp", "own", "u").repartition(parts, "family", "ti", "tj").sortWithinPartitions("family", "ti", "tj").mapInArrow(exact, "a long, b long")
+    more = tiles.select("family", "ti", "tj", "cid", "comp", "own", "u").repartition(parts, "family", "ti", "tj").sortWithinPartitions("family", "ti", "tj").mapInArrow(trimmed(exact), "a long, b long")
     all_links = stage.put(links.unionByName(more), "all-links")
     return light, connected_components(stage, all_links, "last").select(F.col("id").alias("cid"), "comp")
 

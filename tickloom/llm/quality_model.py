@@ -25,12 +25,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textops import SPACE, chunks, column_bytes, prefix, span_hash, words
+from .common import small_batches
+from .textops import SPACE, chunks, column_bytes, prefix, span_hash, trimmed, words
 
 DIM = 2048
 STATS = 12
@@ -137,6 +137,7 @@ def nn_pu(pos: np.ndarray, unl: np.ndarray, prior: float, epochs: int, rate: flo
 
 def fit(train: DataFrame, per_side: int = 3000, default_prior: float = 0.85, epochs: int = 40, rate: float = 0.005, decay: float = 1e-3, seed: int = 11) -> Model:
     """train: (id, text, label), label 1, 0 or null (unlabelled)."""
+    small_batches(train.sparkSession)
     counts = {r[0]: r[1] for r in train.groupBy("label").count().where("label IS NULL OR label IN (0, 1)").collect()}
     n_pos, n_neg, n_all = counts.get(1, 0), counts.get(0, 0), sum(counts.values())
     prior = min(0.99, (n_pos + 1) / (n_pos + n_neg + 2)) if n_neg else default_prior
@@ -159,7 +160,7 @@ def fit(train: DataFrame, per_side: int = 3000, default_prior: float = 0.85, epo
         # into one float32 matrix per side, part by part: the driver holds each sample once
         out = np.empty((per_side, DIM + STATS), np.float32)
         n = 0
-        for v in df.mapInArrow(extract, "side int, x binary").toArrow().column("x"):
+        for v in df.mapInArrow(trimmed(extract), "side int, x binary").toArrow().column("x"):
             out[n] = np.frombuffer(v.as_buffer(), np.float32)
             n += 1
         parts[side] = out[:n][np.argsort([r.tobytes()[:256] + r[DIM:].tobytes() for r in out[:n]], kind="stable")]
@@ -177,15 +178,17 @@ def fit(train: DataFrame, per_side: int = 3000, default_prior: float = 0.85, epo
 
 def score(df: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
     """df with the score, in place of a column of that name."""
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for series in parts:
-            data, offs = column_bytes(pa.array(series, pa.string()))
-            out = np.zeros(len(series))
+    @F.arrow_udf("double")
+    @trimmed
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in parts:
+            data, offs = column_bytes(texts)
+            out = np.zeros(len(texts))
             for a, b, d, o in chunks(data, offs, 1 << 19):
                 out[a:b] = shared.value.scores(features(d, o))
-            yield pd.Series(out)
+            yield pa.array(out)
 
     return df.withColumn(name, run(F.col(text)))

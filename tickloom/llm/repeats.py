@@ -36,7 +36,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import Stage, partitions_for
-from .textops import chunks, column_bytes, mix, powers, prefix, span_hash
+from .textops import chunks, column_bytes, mix, powers, prefix, span_hash, trimmed
 
 LENGTH, GRAM, POSITION_BITS = 200, 24, 24
 MOST_BYTES, BATCH_BYTES, PIECE = 6 << 20, 1 << 19, 1 << 20
@@ -179,7 +179,7 @@ def find_repeats(docs: DataFrame, stage: Stage, length: int = LENGTH, most_bytes
                     m, c, doc, start, size, several = segments(part, o if b > a + 1 else np.array([0, len(part)]), length)
                     yield pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), pa.array(c.view(np.int64)), pa.array(rks[a:b][doc]), pa.array((start + at).astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(several)], ["anchor", "content", "rk", "start", "bytes", "several"])
 
-    segs = docs.mapInArrow(cut, "anchor long, content long, rk long, start int, bytes int, several boolean")
+    segs = docs.mapInArrow(trimmed(cut), "anchor long, content long, rk long, start int, bytes int, several boolean")
     order = W.partitionBy("anchor").orderBy("content", "rk", "start")
     whole = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     s = segs.select("*", F.lag("content").over(order).alias("p"), F.lead("content").over(order).alias("n"), F.min("content").over(whole).alias("lo"), F.max("content").over(whole).alias("hi"))
@@ -202,7 +202,7 @@ def find_repeats(docs: DataFrame, stage: Stage, length: int = LENGTH, most_bytes
             if rows:
                 yield _fetched(rows)
 
-    texts = docs.join(places, "rk").select("rk", "text", "places").mapInArrow(fetch, "anchor long, rk long, start int, dup boolean, hot boolean, content binary")
+    texts = docs.join(places, "rk").select("rk", "text", "places").mapInArrow(trimmed(fetch), "anchor long, rk long, start int, dup boolean, hot boolean, content binary")
     texts = stage.put(texts, "witnesses")
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,7 +219,7 @@ def find_repeats(docs: DataFrame, stage: Stage, length: int = LENGTH, most_bytes
         if held:
             yield _batch(held, length)
 
-    cold = texts.where("NOT hot").select("anchor", "rk", "start", "dup", "content").repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(expand, MARK)
+    cold = texts.where("NOT hot").select("anchor", "rk", "start", "dup", "content").repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(trimmed(expand), MARK)
     marks = stage.put(s.where("dup").select("rk", "start", "bytes").unionByName(cold), "marks")
     if s.where("hot").limit(1).count():
         marks = marks.unionByName(_hot_windows(texts.where("hot"), stage, length))
@@ -245,7 +245,7 @@ def _hot_windows(texts: DataFrame, stage: Stage, length: int) -> DataFrame:
                 n = len(at)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(n, rks[k], np.int64)), pa.array((at + starts[k]).astype(np.int32)), pa.array(np.full(n, dups[k], bool))], ["h", "rk", "start", "dup"])
 
-    w = stage.put(texts.select("rk", "start", "dup", "content").mapInArrow(hashes, "h long, rk long, start int, dup boolean"), "windows")
+    w = stage.put(texts.select("rk", "start", "dup", "content").mapInArrow(trimmed(hashes), "h long, rk long, start int, dup boolean"), "windows")
     twice = w.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     return w.where("NOT dup").join(twice, "h", "left_semi").select("rk", "start", F.lit(length).cast("int").alias("bytes"))
 

@@ -6,7 +6,9 @@ offsets (``offs``), in chunks of a few MB, so that memory does not depend on the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +28,28 @@ _pow: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_pow[0]) < n:
-        m = max(n, CHUNK + 1)
+        m = -(-n // (1 << 18)) << 18
         for k, b in ((0, BASE), (1, INV)):
             _pow[k] = np.concatenate([np.ones(1, np.uint64), np.multiply.accumulate(np.full(m - 1, b, np.uint64))])
     return _pow[0][:n], _pow[1][:n]
 
 
+def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, after which the worker gives free memory back: it stays alive beside the workers of later stages."""
+
+    @functools.wraps(run)
+    def inner(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return inner
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64 bits."""
     x = x ^ (x >> np.uint64(32))
