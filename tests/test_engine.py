@@ -252,3 +252,57 @@ def test_plans_have_no_nested_loops(spark):
     for name in ("ret_03_return_t", "lbl_01_triple_barrier", "jn_06_asof_two_tables", "vp_03_window_levels", "wgt_01_uniqueness"):
         plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan, name
+
+
+def brute_labels(t, vertical, target):
+    """Labels and weights of one symbol's trades (ts_ns, price), each of them an event, by plain loops."""
+    n, out = len(t), []
+    for e in range(n):
+        path = [(k, math.log(t[k][1]) - math.log(t[e][1]), t[k][0] - t[e][0] >= NS) for k in range(e + 1, n) if t[k][0] <= t[e][0] + vertical]
+        if not path:
+            out.append({"touch_idx": e, "label": 0, "ret": None, "vertical_touch_weight": None})
+            continue
+        touch = next((k for k, r, op in path if op and abs(r) >= target), path[-1][0])
+        seen = [(k, r) for k, r, op in path if op and k <= touch]
+        ret = next((r for k, r in seen if k == touch), 0.0)
+        up, down = max([max(r, 0) / target for _, r in seen], default=0.0), max([max(-r, 0) / target for _, r in seen], default=0.0)
+        weight = 1.0 if touch < path[-1][0] or not seen else min(1.0, up / (1 + down) if ret > 0 else down / (1 + up))
+        out.append({"touch_idx": touch, "label": 1 if ret >= 0 else -1, "ret": ret, "vertical_touch_weight": weight})
+    c = [sum(e <= k <= o["touch_idx"] for e, o in enumerate(out)) for k in range(n)]
+    lr = [0.0] + [math.log(t[k][1]) - math.log(t[k - 1][1]) for k in range(1, n)]
+    for e, o in enumerate(out):
+        span = range(e, o["touch_idx"] + 1)
+        o["avg_uniqueness"] = sum(1 / c[k] for k in span) / len(span)
+        o["return_attribution"] = abs(sum(lr[k] / c[k] for k in span))
+    total, run = sum(o["avg_uniqueness"] for o in out), 0.0
+    mean = sum(o["return_attribution"] for o in out) / n
+    for o in out:
+        run += o["avg_uniqueness"]
+        o["decay"] = 0.5 + 0.5 * run / total
+        o["w"] = o["decay"] * o["return_attribution"] / mean * (1.0 if o["vertical_touch_weight"] is None else o["vertical_touch_weight"]) if mean else None
+    if mean and sum(o["w"] for o in out):
+        scale = n / sum(o["w"] for o in out)
+        classes = {o["label"]: 0.0 for o in out}
+        for o in out:
+            o["w"] *= scale
+            classes[o["label"]] += o["w"]
+        for o in out:
+            o["class_weight"] = n / (len(classes) * classes[o["label"]]) if classes[o["label"]] > 0 else 0.0
+            o["weights"] = o["w"] * o["class_weight"]
+    return out
+
+
+def test_labels_and_weights_take_every_trade(spark):
+    from tickloom.queries import QUERIES, VERTICAL, trades
+
+    sf = "/root/testdata/sf0.001"
+    by = {}
+    for r in trades(spark, sf).select("symbol", "seq", "ts_ns", "price").orderBy("symbol", "seq").collect():
+        by.setdefault(r.symbol, []).append((r.ts_ns, r.price))
+    want = {(s, e): o for s, t in by.items() for e, o in enumerate(brute_labels(t, VERTICAL * NS, 0.6))}
+    for name in ("lbl_01_triple_barrier", "wgt_01_uniqueness", "wgt_02_attribution", "wgt_03_time_decay", "wgt_06_final_weights"):
+        got = {(r.symbol, r.event_idx): r.asDict() for r in QUERIES[name](spark, sf).collect()}
+        assert got.keys() == want.keys(), name
+        for k, row in got.items():
+            for c in row.keys() - {"symbol", "event_idx"}:
+                assert row[c] == want[k][c] if row[c] is None or want[k][c] is None else row[c] == pytest.approx(want[k][c], abs=2e-6), (name, k, c)
