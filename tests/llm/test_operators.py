@@ -276,6 +276,23 @@ def test_url_rules(spark):
     assert {r.verdict for r in url_filter.judge_urls(df, "url", [], "block").collect()} == {"block"}
 
 
+def test_url_join_equals_the_trie(spark):
+    rules = [("", "/any", "block"), ("", "", "allow"), ("com", "/any/ok", "allow"), ("org", "", "block"), ("a.org", "/any", "allow")]
+    urls = [None, "no scheme", "http:///any/x", "http://x.com/any", "http://x.com/any/ok/1", "http://x.com/other", "http://b.org/any", "http://a.org/any", "http://net/any", "http://net./any", "http://a..org/any", "http://single"]
+    df = spark.createDataFrame([(u,) for u in urls], "url string").coalesce(1)
+    by_trie, by_join = ({r.url: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge_urls(df, "url", rules, "none", max_trie_bytes=most).collect()} for most in (url_filter.MAX_TRIE_BYTES, 0))
+    assert by_join == by_trie and by_join["http://net/any"][2:] == ("/any", "block")
+
+
+def test_url_join_takes_every_path_length(spark):
+    lengths, host = range(1, 10_101), "w.deep.net"
+    path = F.concat(F.lit("/"), F.repeat(F.lit("x"), (F.col("id") - 1).cast("int")))
+    rules = spark.range(1, lengths.stop, 1, 2).select(F.lit("deep.net").alias("host"), path.alias("path"), F.lit("block").alias("verdict"))
+    df = spark.range(1, lengths.stop, 1, 1).where("id IN (1, 2, 501, 9999, 10000, 10001, 10050, 10100)").select("id", F.lit(host).alias("host"), path.alias("path"))
+    got = {r.id: (len(r.rule), r.verdict) for r in url_filter._judge_by_join(df, rules, "allow").collect()}
+    assert got == {n: (len("deep.net") + n, "block") for n in (1, 2, 501, 9999, 10000, 10001, 10050, 10100)}
+
+
 def test_archives_round_trip(spark):
     tricky = "WARC/1.1\r\nContent-Length: 5\r\n\r\n" * 9
     rows = [(3, "x" * 120), (1, "x" * 120), (2, "y" * 99), (4, "y" * 99), (5, None), (6, ""), (7, tricky), (8, tricky), (9, "é" * 60), (10, "z" * 3_000_000)]

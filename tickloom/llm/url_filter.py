@@ -5,8 +5,9 @@ with the rule's path. Of the rules that fit, the one with the longest host wins,
 path; at equal keys block beats allow. Urls that no rule fits get ``default``.
 
 The trie is broadcast only if its rules hold at most ``max_trie_bytes``; larger rule sets are
-joined: each url is exploded into its host suffixes and the path prefixes of the lengths that
-occur in the rules, an equi-join that broadcasts nothing.
+joined: each url is exploded into its host suffixes, the empty one among them, and the path
+prefixes of the lengths that occur in the rules, an equi-join that broadcasts nothing. The lengths
+are in the plan; rules of N characters in all have at most sqrt(2 N) + 1 of them.
 
 Defined cases: a null url, or one without ``://``, has host and path '' and gets the default; an
 empty rule list gives the default everywhere; repeated urls are judged alike.
@@ -105,10 +106,13 @@ def judge_urls(df: DataFrame, url: str, rules: list[tuple[str, str, str]], defau
 
 def _judge_by_join(df: DataFrame, rules: DataFrame, default: str) -> DataFrame:
     """The same verdicts for rule sets of any size: joined by (host suffix, path prefix), per distinct (host, path)."""
-    lengths = sorted(r[0] for r in rules.select(F.length("path")).distinct().limit(10_000).collect())
+    lengths = sorted(r[0] for r in rules.select(F.length("path")).distinct().collect())
     keys = df.select("host", "path").distinct()
-    suffix = F.expr("transform(sequence(1, size(split(host, '[.]'))), i -> array_join(slice(split(host, '[.]'), i, size(split(host, '[.]'))), '.'))")
-    prefix = F.transform(F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
+    # rules with an empty host fit every host
+    suffix = F.expr("array_distinct(concat(transform(sequence(1, size(split(host, '[.]'))), i -> array_join(slice(split(host, '[.]'), i, size(split(host, '[.]'))), '.')), array('')))")
+    # one literal: an expression for each of many lengths would swell the plan
+    known = F.split(F.lit(",".join(map(str, lengths))), ",").cast("array<int>")
+    prefix = F.transform(F.filter(known, lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
     cand = keys.withColumn("rh", F.explode(suffix)).withColumn("rp", F.explode(prefix))
     one = rules.groupBy(F.col("host").alias("rh"), F.col("path").alias("rp")).agg(F.max("verdict").alias("v"))
     best = cand.join(one, ["rh", "rp"]).groupBy("host", "path").agg(F.max_by(F.struct(F.concat("rh", "rp").alias("rule"), F.col("v").alias("verdict")), F.struct(F.length("rh"), F.length("rp"))).alias("_j"))
