@@ -221,6 +221,14 @@ def test_leaks_edges(spark, edge, empty):
     assert decontaminate.find_leaks(edge, items.where("false"), ["doc_id"]).count() == 0
 
 
+def test_leaks_in_scripts_without_spaces(spark):
+    zh, th = "今天天气很好我们一起去公园散步吧", "ภาษาไทยเขียนติดกันโดยไม่เว้นวรรค"
+    items = spark.createDataFrame([(1, zh), (2, th), (3, "Hello"), (4, "eins zwei drei vier"), (5, "東京")], "item_id long, text string")
+    made = [(1, f"前文。{zh}！后文"), (2, th), (3, zh[:6] + "雨" + zh[7:]), (4, zh[:5]), (5, "hello!"), (6, "hello world"), (7, "x «eins zwei\u00a0drei… vier»"), (8, "私は東京へ"), (9, "東"), (10, "we’re x-y"), (11, f"abc{th}def")]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(spark.createDataFrame(made, "doc_id long, text string"), items, ["doc_id"]).collect()}
+    assert got == {(1, 1), (2, 2), (3, 1), (5, 3), (7, 4), (8, 5), (11, 2)}
+
+
 def test_rules_equal_brute_force(spark, docs, edge, empty):
     want = []
     pairs = texts(docs)[:120] + [(d, t or "") for d, t, *_ in EDGE] + [(50, "a b c a b c a b c x"), (51, "line\nline\n\nline \n| # $")]

@@ -1,6 +1,8 @@
 """Benchmark decontamination by spaced-seed hashing. DataFrame and SQL functions only.
 
-Texts are lower-cased and cut into tokens at white space and common punctuation. A document is
+Texts are lower-cased and cut into tokens at white space and common punctuation; beyond ASCII all
+punctuation counts, but for apostrophes and hyphens, and each character of a script without spaces
+(Chinese, Japanese, Thai, Lao, Khmer, Burmese, Tibetan) is a token. A document is
 contaminated by a benchmark item if ``WINDOW`` aligned tokens of both differ in at most
 ``MAX_SUBSTITUTIONS`` places. Seeds are fixed masks over token positions: a mask hashes the tokens
 at its ones and ignores those at its zeros, so a hash survives substitutions under the zeros. The
@@ -9,8 +11,8 @@ exhaustively in the tests), so the seeds lose nothing that the verification woul
 
 Test and training hashes are joined, then each hit's neighbourhood is verified: every window of
 ``WINDOW`` aligned tokens around the hit is compared token by token. Items shorter than a window
-have to be matched as a whole, without substitution, by a mask of all their tokens; items of a
-single token are left out, as a word alone is no leak.
+have to be matched as a whole, without substitution, by a mask of all their tokens. An item of a
+single token is matched only by a document of that token alone, as a word in a text is no leak.
 
 Training positions are first reduced inside the row: a position counts only if its first two
 tokens are a pair that the benchmark has (all masks begin with two ones), then only if its mask
@@ -33,10 +35,13 @@ WINDOW, MAX_SUBSTITUTIONS = 13, 2
 MASKS = ("1101001011", "11010111")
 PAIR_BITS, SEED_BITS = 1 << 17, 1 << 18
 SEPARATORS = r"""[\x20\x09-\x0D.,;:!?"()\[\]]+"""
+#: beyond ASCII: a character that is a token (group 1), or a separator; apostrophes and hyphens are neither, like those of ASCII
+BEYOND_ASCII = r"([[^\x00-\x7F]&&[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}\u30FC\uFF70]&&[^\p{P}]])|[[^\x00-\x7F\u2010\u2011\u2018\u2019]&&[\p{P}\p{Z}\u0085\u200B]]"
 
 
 def token_hashes(text: Column) -> Column:
     t = F.lower(F.coalesce(text, F.lit("")))
+    t = F.when(F.octet_length(t) == F.char_length(t), t).otherwise(F.regexp_replace(t, BEYOND_ASCII, " $1 "))
     return F.transform(F.filter(F.split(t, SEPARATORS), lambda x: x != ""), lambda x: F.xxhash64(x))
 
 
@@ -67,10 +72,11 @@ def find_leaks(docs: DataFrame, bench: DataFrame, keys: list[str], text: str = "
     ``best`` is the most tokens that agree in one.
     """
     stage = Stage(docs.sparkSession, "leaks")
-    items = bench.select(F.col(item_id).alias("item_id"), token_hashes(F.col(item_text)).alias("_h")).where("size(_h) > 1")
+    items = bench.select(F.col(item_id).alias("item_id"), token_hashes(F.col(item_text)).alias("_h")).where("size(_h) > 0")
     items = stage.put(items.withColumn("len", F.size("_h")), "items")
     short = sorted(r[0] for r in items.where(F.col("len") < WINDOW).select("len").distinct().collect())
-    masks = [*MASKS, *("1" * n for n in short)]
+    masks = [*MASKS, *("1" * n for n in short if n > 1)]
+    alone = ["1"] if 1 in short else []  # matched by documents of one token
 
     def seeds(mask: str) -> DataFrame:
         fits = F.col("len") == len(mask) if "0" not in mask else F.col("len") >= WINDOW
@@ -78,12 +84,12 @@ def find_leaks(docs: DataFrame, bench: DataFrame, keys: list[str], text: str = "
         return items.where(fits).select("item_id", "len", "_h", F.explode(at).alias("s")).select("item_id", "len", "_h", "s.pos", "s.seed", F.lit(len(mask)).alias("span"))
 
     test = seeds(masks[0])
-    for m in masks[1:]:
+    for m in masks[1:] + alone:
         test = test.unionByName(seeds(m))
     # the item's tokens around the seed, with -1 outside, so that both sides are aligned arrays
     around = "transform(sequence(-{w}, span + {w} - 1), k -> coalesce(IF({p} + k < 0, NULL, get(_h, {p} + k)), {none}))"
     test = stage.put(test.select("item_id", "len", "pos", "seed", "span", F.expr(around.format(w=WINDOW, p="pos", none="-1L")).alias("there")), "test")
-    first_two = items.select(F.explode(F.expr("transform(sequence(0, len - 2), i -> xxhash64(get(_h, i), get(_h, i + 1)))")).alias("v"))
+    first_two = items.where("len > 1").select(F.explode(F.expr("transform(sequence(0, len - 2), i -> xxhash64(get(_h, i), get(_h, i + 1)))")).alias("v"))
     if not test.limit(1).count():
         first_two = first_two.where("false")
     pairs, known = _bit_table(first_two, PAIR_BITS), _bit_table(test.select(F.col("seed").alias("v")), SEED_BITS)
@@ -96,6 +102,7 @@ def find_leaks(docs: DataFrame, bench: DataFrame, keys: list[str], text: str = "
     d = d.withColumn("_c", F.expr(f"filter({start.format(n=least)}, i -> {pair})"))
     ids = [f"_k{i}" for i in range(len(keys))]
     hit = [f"transform(filter(_c, i -> i <= size(_h) - {len(m)} AND {_set_in(known, _seed(m), SEED_BITS)}), i -> struct(i AS pos, {_seed(m)} AS seed, {len(m)} AS span))" for m in masks]
+    hit += [f"transform(filter(IF(size(_h) = 1, array(0), CAST(array() AS array<int>)), i -> {_set_in(known, _seed(m), SEED_BITS)}), i -> struct(i AS pos, {_seed(m)} AS seed, 1 AS span))" for m in alone]
     d = d.withColumn("_s", F.expr(f"concat({', '.join(hit)})"))
     train = d.select(*ids, "_h", F.explode_outer("_s").alias("s")).where("s IS NOT NULL").select(*ids, F.col("s.pos").alias("at"), F.col("s.seed").alias("seed"), F.col("s.span").alias("span"), "_h")
     train = train.select(*ids, "at", "seed", "span", F.expr(around.format(w=WINDOW, p="at", none="-2L")).alias("here"))
