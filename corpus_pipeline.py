@@ -18,6 +18,8 @@ Defined cases are those of the operators; empty tables pass through.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -58,8 +60,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = repeats.remove_repeats(docs.select(*COLUMNS))
     cut = F.size("spans") > 0
-    # a cut may split a character: such bytes are dropped
-    text = F.when(cut, F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("\ufffd"), F.lit(""))).otherwise(F.col("text"))
+    # a cut may split a character: such bytes are dropped, by way of U+FFFD; a text's own U+FFFD is written as \x01 1 meanwhile
+    swap = lambda c, *pairs: reduce(lambda x, p: F.replace(x, F.lit(p[0]), F.lit(p[1])), pairs, c)
+    valid = F.make_valid_utf8(swap(F.col("kept").cast("string"), ("\x01", "\x010"), ("\ufffd", "\x011")))
+    text = F.when(cut, swap(valid, ("\ufffd", ""), ("\x011", "\ufffd"), ("\x010", "\x01"))).otherwise(F.col("text"))
     out = out.where(~cut | (F.length("kept") > 0)).withColumn("text", text)
     return out.withColumn("n_chars", F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 

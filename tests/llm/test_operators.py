@@ -403,3 +403,65 @@ def test_pipeline_stages_take_odd_rows(spark, tmp_path):
         for _, stage in corpus_pipeline.STAGES:
             df = stage(spark, df, SF)
             df.count()
+
+
+def brute_cut(rows, length=200):
+    """Rows (doc_id, text, lang, source, n_chars) without their repeated bytes."""
+    count = Counter(b[i : i + length] for b in ((r[1] or "").encode() for r in rows) for i in range(len(b) - length + 1))
+    out = []
+    for d, t, lang, source, n in rows:
+        b = (t or "").encode()
+        cover = bytearray(len(b))
+        for i in range(len(b) - length + 1):
+            if count[b[i : i + length]] > 1:
+                cover[i : i + length] = b"\1" * length
+        if not any(cover):
+            out.append((d, t, lang, source, n))
+        elif not all(cover):
+            kept = bytes(x for x, m in zip(b, cover, strict=True) if not m).decode("utf-8", "ignore")
+            out.append((d, kept, lang, source, len(kept)))
+    return out
+
+
+def test_cut_repeats_equals_brute_force(spark):
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    passage = "".join(rng.choice("abcdé ") for _ in range(420))
+    # cuts that split é and ü, which share their first byte, and texts with U+FFFD of their own
+    texts_ = [None, "", "short", "s" * 199, "t" * 200, "u" * 201, passage, passage, "é" + "q" * 250 + "é", "ü" + "q" * 250 + "ü", "\ufffd \x01 \x011 kept " + passage[5:] + " \ufffd", "\ufffd alone \x010", *[f"{rng.random()} é" * 9 + passage[rng.randint(0, 150) :] + f" {rng.random()}" for _ in range(9)]]
+    part = "é" * 150
+    texts_ += ["ä" + part, "Ã" + part + "x", part[1:] + "ö", "y" + part]
+    rows = [(k, t, "en", "a", None if t is None else len(t)) for k, t in enumerate(texts_)]
+    got = corpus_pipeline.cut_repeats(spark, spark.createDataFrame(rows, SCHEMA + ", n_chars long"), SF)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(brute_cut(rows))
+
+
+def test_pipeline_rows_equal_brute_force(spark, monkeypatch):
+    import corpus_pipeline
+    import duckdb
+    import pandas as pd
+
+    models, fit = [], quality_model.fit
+    monkeypatch.setattr(quality_model, "fit", lambda *a, **k: models.append(fit(*a, **k)) or models[-1])
+    got = sorted(tuple(r) for r in corpus_pipeline.run(spark, SF).select(*corpus_pipeline.COLUMNS, "size", "copies", "taken").collect())
+    (model,) = models
+
+    def scored(text):
+        b = np.frombuffer((text or "").encode(), np.uint8)
+        return float(model.scores(quality_model.features(b, np.array([0, len(b)])))[0])
+
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select(*corpus_pipeline.COLUMNS).collect()]
+    assert len({r[0] for r in rows}) == len(rows)
+    kept = [r for r in rows if scored(r[1]) >= corpus_pipeline.THRESHOLD]
+    assert 0 < len(kept) < len(rows)
+    first = {c for _, _, c in brute_components([(r[0], r[1] or "") for r in kept], 5, 80)}
+    kept = brute_cut([r for r in kept if r[0] in first])
+    leaks = brute_leaks([r[:2] for r in kept], [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()])
+    kept = [r for r in kept if r[0] not in {d for d, _ in leaks}]
+    documents = pd.DataFrame([(r[0], r[1], r[3]) for r in kept], columns=["doc_id", "text", "source"])
+    db = duckdb.connect()
+    db.register("documents", documents)
+    mixed = {r[0]: (r[1], r[4]) for r in db.execute(queries.OP8_SQL).fetchall()}
+    assert all(size for size, _ in mixed.values())
+    assert got == sorted((*r, size, taken // size, taken) for r in kept for size, taken in [mixed[r[0]]] if taken)
