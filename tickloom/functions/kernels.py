@@ -1,6 +1,8 @@
 """Sequential folds over one ordered series: NumPy in, NumPy out. NaN is missing.
 
 Only what has unbounded memory or data-dependent resets is here; Spark runs each per symbol.
+A log return from or to a price that is missing or not positive is missing: it moves no CUSUM, and
+a structural-break statistic whose prices hold one is NaN.
 """
 
 from __future__ import annotations
@@ -12,6 +14,14 @@ import numpy as np
 NAN = float("nan")
 
 
+def log_returns(price: np.ndarray) -> np.ndarray:
+    """Log return of each row, NaN for the first and wherever either price is missing or not positive."""
+    z = np.full(len(price), NAN)
+    ok = price > 0
+    z[ok] = np.log(price[ok])
+    return np.append(NAN, np.diff(z)) if len(z) else z
+
+
 def ewma(y: np.ndarray, span: float) -> np.ndarray:
     """Adjusted exponential mean; missing values are skipped and carry the last mean."""
     if span < 1:
@@ -133,9 +143,10 @@ def cusum_closes(ts: np.ndarray, price: np.ndarray, sigma: np.ndarray, floor: fl
     first = int(known[0])
     pos = neg = 0.0
     s = sigma[first]
+    moves = np.nan_to_num(log_returns(price))
     for i in range(first + 1, n):
         s = s if math.isnan(sigma[i]) else sigma[i]
-        r = math.log(price[i] / price[i - 1])
+        r = moves[i]
         pos, neg = max(0.0, pos + r), min(0.0, neg + r)
         h = max(mult * s, floor)
         if i + 1 < n and ts[i + 1] == ts[i]:
@@ -153,8 +164,9 @@ def cusum_events(price: np.ndarray, threshold: np.ndarray | float) -> np.ndarray
     h = np.broadcast_to(np.asarray(threshold, float), (n,))
     out = np.zeros(n, bool)
     pos = neg = 0.0
+    moves = np.nan_to_num(log_returns(price))
     for i in range(1, n):
-        r = math.log(price[i] / price[i - 1])
+        r = moves[i]
         pos, neg = max(0.0, pos + r), min(0.0, neg + r)
         if neg < -h[i]:
             out[i], neg = True, 0.0
@@ -176,13 +188,13 @@ def _csw_at(z: np.ndarray, t: int, sigma: float) -> tuple[float, float, float, f
 
 
 def cusum_test_developing(price: np.ndarray, warmup: int) -> np.ndarray:
-    """(n, 4): up, down, critical up, critical down over expanding rows."""
-    if (price <= 0).any():
-        raise ValueError("prices must be positive")
-    z = np.log(price)
-    out = np.full((len(z), 4), NAN)
+    """(n, 4): up, down, critical up, critical down over expanding rows; NaN from the first price that is not positive."""
+    bad = np.flatnonzero(~(price > 0))
+    end = int(bad[0]) if len(bad) else len(price)
+    z = np.log(price[:end])
+    out = np.full((len(price), 4), NAN)
     sq = np.append(0.0, np.cumsum(np.diff(z) ** 2))
-    for t in range(max(warmup, 2), len(z)):
+    for t in range(max(warmup, 2), end):
         out[t] = _csw_at(z, t, math.sqrt(sq[t] / (t - 1)))
     return out
 
@@ -192,15 +204,25 @@ def cusum_test_rolling(price: np.ndarray, window: int, warmup: int) -> np.ndarra
     window = max(window, warmup + 2)
     out = np.full((len(price), 4), NAN)
     out[: window + 1] = cusum_test_developing(price[: window + 1], warmup)
-    if (price <= 0).any():
-        raise ValueError("prices must be positive")
-    z = np.log(price)
+    ok = price > 0
+    z = np.log(np.where(ok, price, 1.0))
+    held = np.append(0, np.cumsum(ok))
     for t in range(window + 1, len(z)):
-        part = z[t - window : t + 1]
-        out[t] = _csw_at(part, window, math.sqrt((np.diff(part) ** 2).sum() / (window - 1)))
+        if held[t + 1] - held[t - window] == window + 1:
+            part = z[t - window : t + 1]
+            out[t] = _csw_at(part, window, math.sqrt((np.diff(part) ** 2).sum() / (window - 1)))
     return out
 
 
+def cusum_test_last(price: np.ndarray) -> np.ndarray:
+    """(4,): the expanding test at the last row alone; NaN if a price is not positive."""
+    t = len(price) - 1
+    if t < 2 or not (price > 0).all():
+        return np.full(4, NAN)
+    z = np.log(price)
+    return np.array(_csw_at(z, t, math.sqrt((np.diff(z) ** 2).sum() / (t - 1))))
+
+
 def cusum_scores(price: np.ndarray, window: int, warmup: int, max_age: int) -> tuple[np.ndarray, ...]:
     """Score, flag and age since the last flag, up and down."""
     s = cusum_test_rolling(price, window, warmup)

@@ -65,13 +65,14 @@ def cusum_bars(df: DataFrame, sigma: str = "sigma", sigma_floor: float = 5e-4, s
     """Close when the CUSUM of log returns reaches max(mult * sigma, floor)."""
     import numpy as np
 
-    def run(ts, p, s):
+    # one run of the kernel: rows up to the first known sigma are -1, the others 1 where they close
+    def run(ts: np.ndarray, p: np.ndarray, s: np.ndarray) -> np.ndarray:
         closes, first = kernels.cusum_closes(ts, p, s, sigma_floor, sigma_mult)
-        return closes, np.full(len(p), first)
+        return np.where(np.arange(len(p)) <= first, -1, closes.astype(np.int64))
 
-    flag = Fold(["ts_ns", "price", sigma], ["_close"], lambda t, p, s: run(t, p, s)[0], "boolean")
-    start = Fold(["ts_ns", "price", sigma], ["_first"], lambda t, p, s: run(t, p, s)[1], "bigint")
-    return _from_closes(run_folds(df, [flag, start], ["symbol"], ["seq"]), "_close", "_first")
+    d = run_folds(df, [Fold(["ts_ns", "price", sigma], ["_state"], run, "bigint")], ["symbol"], ["seq"])
+    d = d.withColumns({"_close": F.col("_state") == 1, "_first": F.sum((F.col("_state") < 0).cast("long")).over(Window.partitionBy("symbol")) - 1}).drop("_state")
+    return _from_closes(d, "_close", "_first")
 
 
 def cusum_sigma(bars: DataFrame, sigma: str = "sigma") -> DataFrame:
@@ -206,8 +207,8 @@ def trade_size(bars: DataFrame, theta: DataFrame | float, theta_mult: float = 5.
     a, v = F.col("amount"), F.sum("amount")
     ok = lambda x: F.when(F.max("_t").isNotNull(), x)
     return d.groupBy("symbol", "bar_id").agg(
-        F.log1p(F.avg("amount") / F.max("_t")).alias("mean_size_rel"),
-        F.log1p(F.percentile("amount", F.lit(0.95)) / F.max("_t")).alias("size_95_rel"),
+        F.log1p(F.try_divide(F.avg("amount"), F.max("_t"))).alias("mean_size_rel"),
+        F.log1p(F.try_divide(F.percentile("amount", F.lit(0.95)), F.max("_t"))).alias("size_95_rel"),
         ok(F.try_divide(F.sum(F.when(a > F.col("_t"), a).otherwise(0.0)), v)).alias("pct_block"),
         ok(F.when(F.count(F.lit(1)) == 1, 0.0).otherwise(1 - F.try_divide(F.sum(a * a), v * v))).alias("size_gini"),
     )

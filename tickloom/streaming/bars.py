@@ -24,7 +24,7 @@ def time_bars(stream: DataFrame, seconds: float, delay: str | None = None) -> Da
     d = d.withWatermark("bar_end", delay or f"{seconds} seconds")
     key = F.struct("ts_ns", "id")
     v = F.sum("amount")
-    return d.groupBy("symbol", "bar_id", "bar_end").agg(F.min_by("price", key).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", key).alias("close"), v.alias("volume"), F.count(F.lit(1)).alias("trades"), (F.sum(F.col("price") * F.col("amount")) / v).alias("vwap"))
+    return d.groupBy("symbol", "bar_id", "bar_end").agg(F.min_by("price", key).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", key).alias("close"), v.alias("volume"), F.count(F.lit(1)).alias("trades"), F.try_divide(F.sum(F.col("price") * F.col("amount")), v).alias("vwap"))
 
 
 def dedup(stream: DataFrame, delay: str = "1 minute") -> DataFrame:
@@ -83,7 +83,7 @@ def cusum_events(stream: DataFrame, threshold: float) -> DataFrame:
 
     def step(s, row):
         last, pos, neg, bar = s
-        if last > 0:
+        if last > 0 and row.price > 0:  # as in batch, a price that is not positive moves nothing
             r = math.log(row.price / last)
             pos, neg = max(0.0, pos + r), min(0.0, neg + r)
             if neg < -threshold:
