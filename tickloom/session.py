@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -25,6 +26,16 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path that the driver and all executors share: under ``spark.checkpoint.dir``, or where that is unset a local one, in local mode alone."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="tickloom-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:8]}"
+
+
 def local_session(cpus: int = 8, partitions: int | None = None, memory: str = "8g", name: str = "tickloom") -> SparkSession:
     """A local session with the settings that the engine assumes: UTC, adaptive execution, Arrow."""
     spark = (

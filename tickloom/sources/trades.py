@@ -10,7 +10,8 @@ from __future__ import annotations
 from functools import reduce
 from math import floor, gcd, log10
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,8 +37,8 @@ def to_ns(ts: Column, unit: str) -> Column:
 
 
 def sort_trades(df: DataFrame) -> DataFrame:
-    """First row of each id, with seq in (time, id)."""
-    first = F.row_number().over(Window.partitionBy("symbol", "id").orderBy("ts_ns")) == 1
+    """The earliest row of each id (of equal times the least price, then amount), with seq in (time, id)."""
+    first = F.row_number().over(Window.partitionBy("symbol", "id").orderBy("ts_ns", "price", "amount")) == 1
     df = df.withColumn("_first", first).where("_first").drop("_first")
     return df.withColumn("seq", F.row_number().over(by_symbol("ts_ns", "id")).cast("long") - 1)
 
@@ -89,11 +90,20 @@ def in_order(df: DataFrame, ts: str = "ts_ns", order: str = "seq") -> DataFrame:
     return df.select("symbol", F.coalesce(back, F.lit(False)).alias("b")).groupBy("symbol").agg((F.max(F.col("b").cast("int")) == 0).alias("ordered"))
 
 
+def check_types(df: DataFrame) -> None:
+    """TypeError if a column of the feed is of another kind than FEED's: whole numbers, numbers, a boolean."""
+    kinds = {"id": T.IntegralType, "ts": T.NumericType, "price": T.NumericType, "amount": T.NumericType, "is_buyer_maker": T.BooleanType}
+    for c, kind in kinds.items():
+        if c in df.columns and not isinstance(df.schema[c].dataType, kind):
+            raise TypeError(f"column {c} is {df.schema[c].dataType.simpleString()}")
+
+
 def preprocess(df: DataFrame, unit: str | None = None, resolution: str | None = None) -> DataFrame:
     """Feed to trades: unit, order and duplicates, merging, rounding, side."""
     for c in ("symbol", "id", "ts", "price", "amount"):
         if c not in df.columns:
             raise ValueError(f"the feed has no column {c}")
+    check_types(df)
     d = df.withColumn("ts_ns", to_ns(F.col("ts"), unit or infer_unit(df))).drop("ts")
     d = merge_split(sort_trades(d))
     if resolution:
@@ -110,29 +120,58 @@ def view(df: DataFrame, start_ns: int, end_ns: int) -> DataFrame:
     return df.where(F.col("ts_ns").between(start_ns, end_ns))
 
 
-def tick_size(df: DataFrame, most: int = 10_000) -> float:
-    """Greatest common step of the first ``most`` prices, at 12 decimals."""
-    prices = sorted(r[0] for r in df.where(F.col("seq") < most).select(F.round("price", 12)).distinct().collect())
-    if not prices:
-        raise ValueError("no prices")
-    steps = [b - a for a, b in zip(prices, prices[1:], strict=False)]
+def _steps(prices: list[float]) -> list[float]:
+    return [b - a for a, b in zip(prices, prices[1:], strict=False)]
+
+
+def common_step(steps: list[float]) -> float:
+    """Greatest common step; 0 if there is none."""
     if not steps:
         return 0.0
     scale = 10.0 ** -floor(log10(min(steps)))
-    whole = [round(s * scale) for s in steps]
-    return reduce(gcd, whole) / scale
+    return reduce(gcd, [round(s * scale) for s in steps]) / scale
 
 
-def tick_size_median(df: DataFrame, most: int = 10_000) -> float:
+def median_step(steps: list[float]) -> float:
     """Legacy estimate: median step, to two significant digits."""
-    prices = sorted(r[0] for r in df.where(F.col("seq") < most).select(F.round("price", 12)).distinct().collect())
-    steps = sorted(b - a for a, b in zip(prices, prices[1:], strict=False))
     if not steps:
         return 0.0
-    m = (steps[len(steps) // 2] + steps[(len(steps) - 1) // 2]) / 2
+    s = sorted(steps)
+    m = (s[len(s) // 2] + s[(len(s) - 1) // 2]) / 2
     return round(m, 1 - floor(log10(m)))
 
 
+def tick_sizes(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """(symbol, tick, legacy) from each symbol's first ``most`` prices, at 12 decimals.
+
+    ``most`` is the estimate's own bound, so a symbol's prices are a short sorted array. A symbol of
+    one price alone has no step and gives 0.
+    """
+
+    @F.pandas_udf("tick double, legacy double")
+    def estimate(prices: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([(common_step(s), median_step(s)) for s in (_steps(list(p)) for p in prices)], columns=["tick", "legacy"])
+
+    held = df.where((F.col("seq") < most) & F.col("price").isNotNull()).groupBy("symbol").agg(F.array_sort(F.collect_set(F.round("price", 12))).alias("p"))
+    return held.select("symbol", estimate("p").alias("e")).select("symbol", "e.*")
+
+
+def tick_size(df: DataFrame, most: int = 10_000) -> float:
+    """tick_sizes of a frame of one symbol; an error if it has no prices."""
+    return _only(df, most).tick
+
+
+def tick_size_median(df: DataFrame, most: int = 10_000) -> float:
+    return _only(df, most).legacy
+
+
+def _only(df: DataFrame, most: int) -> Row:
+    rows = tick_sizes(df, most).take(2)
+    if len(rows) != 1:
+        raise ValueError("no prices" if not rows else "several symbols")
+    return rows[0]
+
+
 def median3(a: Column, b: Column, c: Column) -> Column:
     return F.element_at(F.array_sort(F.array(a, b, c)), 2)
 
