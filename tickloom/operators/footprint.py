@@ -74,17 +74,41 @@ def is_valid(fp: Column) -> Column:
     return F.forall(F.transform(fp, lambda x, i: x["level"] - F.element_at(fp, 1)["level"] == i), lambda x: x)
 
 
+def _cells(fp: DataFrame) -> DataFrame:
+    return fp.select("symbol", "bar_id", F.inline("fp")).select("symbol", "bar_id", "level", (F.col("buy_volume") + F.col("sell_volume")).alias("volume"))
+
+
+def _totals(bars: DataFrame, spans: DataFrame, steps: DataFrame, bucket_ns: int) -> DataFrame:
+    """(symbol, bar_id, level, volume): the running sum of a level's steps at each bar of its spans.
+
+    spans: (symbol, level, start, stop), both ends included; steps: (symbol, level, bar_id, turn, d),
+    where turn 0 counts at its own bar and turn 2 after it. Bars meet spans by time buckets; a level
+    is one running sum, so a symbol is as many tasks as it has levels, and no row is made beyond the
+    bars and levels that come out.
+    """
+    bucket = lambda c: F.call_function("div", F.col(c), F.lit(bucket_ns))
+    where = spans.withColumn("b", F.explode(F.sequence(bucket("start"), bucket("stop"))))
+    at = bars.select("symbol", "bar_id").withColumn("b", bucket("bar_id")).join(where, ["symbol", "b"]).where("bar_id BETWEEN start AND stop")
+    both = at.select("symbol", "level", "bar_id", F.lit(1).alias("turn"), F.lit(0.0).alias("d")).unionByName(steps)
+    total = F.sum("d").over(Window.partitionBy("symbol", "level").orderBy("bar_id", "turn").rowsBetween(Window.unboundedPreceding, 0))
+    return both.select("symbol", "bar_id", "level", "turn", F.round(total, 9).alias("volume")).where("turn = 1").drop("turn")
+
+
 def window_levels(fp: DataFrame, seconds: float) -> DataFrame:
-    """(symbol, bar_id, level, volume): levels summed over the bars of [t - W, t].
+    """(symbol, bar_id, level, volume): levels summed over the bars of [t - W, t], by a difference array.
 
-    An interval self-join by buckets of W: a bar reaches its own bucket and the one before.
+    A level enters with its bar and leaves after W; levels of no bar in the window have no row. Sums
+    are rounded to 9 decimals, so that what has left leaves nothing behind.
     """
     step = round(seconds * 1e9)
-    bucket = F.call_function("div", F.col("bar_id"), F.lit(step))
-    left = fp.select("symbol", "bar_id").withColumn("b", F.explode(F.array(bucket, bucket - 1)))
-    right = fp.select("symbol", F.col("bar_id").alias("past"), bucket.alias("b"), F.transform("fp", lambda x: F.struct(x["level"].alias("level"), (x["buy_volume"] + x["sell_volume"]).alias("volume"))).alias("v"))
-    near = left.join(right, ["symbol", "b"]).where((F.col("past") <= F.col("bar_id")) & (F.col("past") >= F.col("bar_id") - step))
-    return near.select("symbol", "bar_id", F.inline("v")).groupBy("symbol", "bar_id", "level").agg(F.sum("volume").alias("volume"))
+    cells = _cells(fp)
+    order = Window.partitionBy("symbol", "level").orderBy("bar_id")
+    fresh = F.coalesce((F.col("bar_id") - F.lag("bar_id").over(order) > step).cast("int"), F.lit(1))
+    run = F.sum("_f").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    spans = cells.withColumn("_f", fresh).withColumn("_r", run).groupBy("symbol", "level", "_r").agg(F.min("bar_id").alias("start"), (F.max("bar_id") + step).alias("stop")).drop("_r")
+    enter = cells.select("symbol", "level", "bar_id", F.lit(0).alias("turn"), F.col("volume").alias("d"))
+    leave = cells.select("symbol", "level", (F.col("bar_id") + step).alias("bar_id"), F.lit(2).alias("turn"), (-F.col("volume")).alias("d"))
+    return _totals(fp, spans, enter.unionByName(leave), step)
 
 
 def bucket_levels(df: DataFrame, n_bins: int) -> DataFrame:
@@ -134,12 +158,10 @@ def profile_range(fp: DataFrame, seconds: float, start_ns: int, end_ns: int, n_b
 def profile_developing(fp: DataFrame, start_ns: int, end_ns: int, n_bins: int = 27, percent: float = 68.34) -> DataFrame:
     """poc_area of the levels accumulated from the start of the session to each bar."""
     f = between(fp, start_ns, end_ns)
-    cells = f.select("symbol", "bar_id", F.inline("fp")).select("symbol", "bar_id", "level", (F.col("buy_volume") + F.col("sell_volume")).alias("volume"))
-    first = cells.groupBy("symbol", "level").agg(F.min("bar_id").alias("since"))
-    grid = f.select("symbol", "bar_id").join(first, "symbol").where("bar_id >= since")
-    dense = grid.join(cells, ["symbol", "bar_id", "level"], "left")
-    total = F.sum(F.coalesce("volume", F.lit(0.0))).over(Window.partitionBy("symbol", "level").orderBy("bar_id").rowsBetween(Window.unboundedPreceding, 0))
-    return poc_area(bucket_levels(dense.select("symbol", "bar_id", "level", total.alias("volume")), n_bins), percent)
+    cells = _cells(f)
+    spans = cells.groupBy("symbol", "level").agg(F.min("bar_id").alias("start")).withColumn("stop", F.lit(end_ns))
+    steps = cells.select("symbol", "level", "bar_id", F.lit(0).alias("turn"), F.col("volume").alias("d"))
+    return poc_area(bucket_levels(_totals(f, spans, steps, max(1, (end_ns - start_ns) // 64)), n_bins), percent)
 
 
 def trim_zeros(df: DataFrame) -> DataFrame:

@@ -109,17 +109,37 @@ class TripleBarrier:
         return self.labels
 
     def compute_weights(self, trades: DataFrame, normalize: bool = False) -> DataFrame:
+        return info_weights(trades, self._labelled(), normalize)
+
+    def _labelled(self) -> DataFrame:
         if self.labels is None:
             raise ValueError("labels are not computed")
-        return info_weights(trades, self.labels, normalize)
+        return self.labels
+
+    def event_count(self) -> int:
+        return self.features.count()
+
+    def first_event(self) -> int | None:
+        """Time of the first event over all symbols, in ns."""
+        return self.features.agg(F.min("ts_ns")).first()[0]
+
+    def last_event(self) -> int | None:
+        return self.features.agg(F.max("ts_ns")).first()[0]
+
+    def target_returns(self) -> DataFrame:
+        return self.features.select("symbol", "ts_ns", "target")
+
+    def event_labels(self) -> DataFrame:
+        return self._labelled().select("symbol", "event_idx", "label")
+
+    def event_returns(self) -> DataFrame:
+        return self._labelled().select("symbol", "event_idx", "ret")
 
     def event_range(self) -> DataFrame:
         return self.features.groupBy("symbol").agg(F.count(F.lit(1)).alias("events"), F.min("ts_ns").alias("first_ns"), F.max("ts_ns").alias("last_ns"))
 
     def full_output(self) -> DataFrame:
-        if self.labels is None:
-            raise ValueError("labels are not computed")
-        return self.features.join(self.labels.withColumnRenamed("start_ns", "ts_ns").drop("target"), ["symbol", "ts_ns"])
+        return self.features.join(self._labelled().withColumnRenamed("start_ns", "ts_ns").drop("target"), ["symbol", "ts_ns"])
 
 
 def concurrency(trades: DataFrame, labels: DataFrame) -> DataFrame:

@@ -179,6 +179,48 @@ class Identity(Transform):
         return df
 
 
+class Arity(Transform):
+    """Checks how many columns a transform takes and gives; the four subclasses are what a user's own transform derives from."""
+
+    one_in = one_out = False
+
+    def _set(self, inputs: str | list[str], outputs: str | list[str], **params: object) -> None:
+        for what, names, one in (("input", inputs, self.one_in), ("output", outputs, self.one_out)):
+            if isinstance(names, str) != one or (not one and not names):
+                raise ValueError(f"{type(self).__name__} needs {'one' if one else 'a list of'} {what} name{'s' * (not one)}")
+        super()._set(inputs, outputs, **params)
+
+    def add(self, df: DataFrame, ax: Axis) -> DataFrame:
+        self.validate(df.columns)
+        got = self.columns(ax, *map(ref, self.requires))
+        got = [got] if isinstance(got, Column) else list(got)
+        if len(got) != len(self.produces):
+            raise ValueError(f"{len(got)} results for {len(self.produces)} outputs")
+        return df.withColumns(dict(zip(self.produces, got, strict=True)))
+
+
+class SISO(Arity):
+    """One column in, one out."""
+
+    one_in = one_out = True
+
+
+class MISO(Arity):
+    """Several columns in, one out."""
+
+    one_out = True
+
+
+class SIMO(Arity):
+    """One column in, several out."""
+
+    one_in = True
+
+
+class MIMO(Arity):
+    """Several columns in, several out."""
+
+
 class TimeCues(Transform):
     """Cyclical time of day and week and session flags."""
 
@@ -441,6 +483,30 @@ class CUSUMTest(Sequential):
         return lambda y: kernels.cusum_scores(y, w, u, a)
 
 
+class CUSUMDeveloping(Sequential):
+    """The structural-break statistics over all rows so far with their critical values, up and down."""
+
+    def __init__(self, warmup_period: int = 30, input_col: str = "close") -> None:
+        outs = [f"cusum_{what}_{side}" for what in ("stat", "crit") for side in ("up", "down")]
+        self._set(input_col, outs, warmup_period=warmup_period, input_col=input_col)
+
+    def fold(self) -> Callable:
+        n = self.params["warmup_period"]
+        return lambda y: tuple(kernels.cusum_test_developing(y, n).T)
+
+
+def cusum_last(df: DataFrame, price: str = "close", by: str = "symbol", order: str = "ts_ns") -> DataFrame:
+    """(by, stat_up, stat_down, crit_up, crit_down): the expanding test at each series' last row."""
+    import pandas as pd
+
+    def last(pdf: pd.DataFrame) -> pd.DataFrame:
+        got = kernels.cusum_test_last(pdf.sort_values(order)[price].to_numpy(float))
+        return pd.DataFrame([(pdf[by].iloc[0], *(None if np.isnan(x) else float(x) for x in got))], columns=[by, "stat_up", "stat_down", "crit_up", "crit_down"])
+
+    kind = df.schema[by].dataType.simpleString()
+    return df.select(by, order, price).groupBy(by).applyInPandas(last, f"{by} {kind}, stat_up double, stat_down double, crit_up double, crit_down double")
+
+
 class ApproximateEntropy(Sequential):
     """Approximate entropy of the trailing window."""
 
