@@ -218,6 +218,60 @@ def test_store_round_trip(spark, tmp_path):
     assert s.read_bars("A").count() > 0
 
 
+def test_store_keeps_the_flags_of_other_months(spark, tmp_path):
+    s = store.TradeStore(spark, str(tmp_path / "store"))
+    day, start = 86_400 * NS, 1_704_067_200 * NS
+    jan = trades(spark, [1, 2, 3], ts=[start, start + day, start + 9 * day]).withColumn("id", F.when(F.col("seq") == 2, 7).otherwise(F.col("id")))
+    feb, again = trades(spark, [4, 5], ts=[start + 40 * day, start + 41 * day]), trades(spark, [6], ts=[start + 12 * day])
+    flags = lambda: {r.month: (r.record_count, r.data_integrity_ok) for r in s._read("meta").collect()}
+    s.save(jan, integrity_table=T.integrity(jan))
+    assert flags() == {"2024-01": (3, False)} and s.integrity("A").count() == 1 and s.mean_missing_percent() > 0
+    s.save(feb, integrity_table=T.integrity(feb))
+    assert flags() == {"2024-01": (3, False), "2024-02": (2, True)}
+    assert [r.month for r in s.integrity_summary().collect()] == ["2024-01"]
+    s.save(again, overwrite_month=False)  # a month that is added to stays unsound
+    assert flags() == {"2024-01": (4, False), "2024-02": (2, True)}
+    s.save(again)  # written anew without gaps it is sound
+    assert flags() == {"2024-01": (1, True), "2024-02": (2, True)} and not s.integrity().count() and s.mean_missing_percent() is None
+    assert [r.ts_ns for r in s.load("A", ordered=True).collect()] == [start + 12 * day, start + 40 * day, start + 41 * day]
+
+
+def test_symbols_of_digits_stay_strings(spark, tmp_path):
+    s = store.TradeStore(spark, str(tmp_path / "store"))
+    s.save(trades(spark, [1, 2]).withColumn("symbol", F.lit("007")))
+    assert s.load("007").first().symbol == "007" and [tuple(r) for r in s.months().collect()] == [("007", "1970-01")]
+
+
+def test_bar_catalog_and_whole_days(spark, tmp_path):
+    s = store.TradeStore(spark, str(tmp_path / "store"))
+    day, start = 86_400 * NS, 1_704_067_200 * NS
+    s.save(trades(spark, [1, 2, 3, 4], ts=[start + k * day // 2 + 5 for k in range(4)]))
+    with pytest.raises(KeyError):
+        s.bar_range()
+    s.add_time_bars(3600.0)
+    first, last = s.bar_range("A")
+    assert (first, last) == tuple(s.bar_keys().agg(F.min("first_ns"), F.max("last_ns")).first())
+    assert s.read_bars("A", end_ns=start + day).agg(F.max("bar_id")).first()[0] == min(last, start + 2 * day - 3600 * NS)
+    assert [r.bar_id for r in s.read_bars("A", end_ns=start + day, seconds=86_400).collect()] == [start]
+
+
+def test_prices_that_are_not_positive_move_nothing():
+    p = np.array([10.0, 11.0, 0.0, 12.0, 12.5, -1.0, 13.0, 14.0])
+    r = K.log_returns(p)
+    assert np.flatnonzero(~np.isnan(r)).tolist() == [1, 4, 7]
+    assert K.cusum_events(p, 0.05).tolist() == [False, True, False, False, False, False, False, True]
+    closes, first = K.cusum_closes(np.arange(8), p, np.full(8, 0.05), 1e-4, 1.0)
+    assert closes.tolist() == [False, True, False, False, False, False, False, True] and first == 0
+    up = 100 * np.exp(np.cumsum(np.random.default_rng(3).normal(0, 0.01, 80)))
+    whole = K.cusum_test_developing(up, 10)
+    assert np.allclose(K.cusum_test_last(up), whole[-1])
+    bad = up.copy()
+    bad[40] = 0
+    assert np.isnan(K.cusum_test_developing(bad, 10)[40:]).all() and np.allclose(K.cusum_test_developing(bad, 10)[:40], whole[:40], equal_nan=True)
+    rolled, clean = K.cusum_test_rolling(bad, 20, 10), K.cusum_test_rolling(up, 20, 10)
+    assert np.isnan(rolled[40:61]).all() and np.allclose(rolled[61:], clean[61:]) and np.isnan(K.cusum_test_last(bad)).all()
+
+
 def test_zip_scan_and_names(spark, tmp_path):
     import zipfile
 
@@ -232,6 +286,124 @@ def test_zip_scan_and_names(spark, tmp_path):
         archives.market_path("moon")
 
 
+def test_checksum_files_and_ingest(spark, tmp_path):
+    import hashlib
+    import zipfile
+
+    remote, local = tmp_path / "remote" / "spot" / "monthly" / "trades" / "ABC", tmp_path / "local"
+    remote.mkdir(parents=True)
+    local.mkdir()
+    for m, start, good in (("2024-01", 1_704_067_200_000, True), ("2024-02", 1_706_745_600_000, False)):
+        name = f"ABC-trades-{m}.zip"
+        with zipfile.ZipFile(remote / name, "w") as z:
+            z.writestr("a.csv", "".join(f"{k},{10 + k},1,1,{start + 1000 * k},true,true\n" for k in range(5)))
+        sum_ = hashlib.sha256((remote / name).read_bytes()).hexdigest() if good else "0" * 64
+        (remote / f"{name}.CHECKSUM").write_text(f"{sum_}  {name}\n")
+    got = archives.ingest(spark, f"file://{tmp_path}/remote", "ABC", "spot", "2024-01", "2024-02", str(local), str(tmp_path / "store"))
+    assert got == {"2024-01": True, "2024-02": False}
+    s = store.TradeStore(spark, str(tmp_path / "store"))
+    assert s.load("ABC").count() == 5 and s.read_bars("ABC").count() >= 5
+    for name in ("ABC_spot_2401-2402", "ABC_spot_2312-2401", "ABC_um_2401-2409", "other"):
+        (tmp_path / "stores" / name).mkdir(parents=True)
+    at = archives.find_store(str(tmp_path / "stores"), "ABC", "spot")
+    assert at.endswith("ABC_spot_2401-2402") and archives.find_store(str(tmp_path / "stores"), "XYZ", "spot") is None
+    assert archives.extend_name(at, "2024-02", "2024-05").endswith("ABC_spot_2401-2405")
+
+
+def test_feed_types(spark):
+    good = "symbol string, id long, ts long, price double, amount double"
+    row = ("A", 1, 1_700_000_000, 1.0, 1.0)
+    assert T.preprocess(feed(spark, [row], good)).count() == 1
+    with pytest.raises(TypeError):
+        T.preprocess(feed(spark, [("A", "1", *row[2:])], good.replace("id long", "id string")))
+    with pytest.raises(TypeError):
+        T.preprocess(feed(spark, [(*row[:3], "1", 1.0)], good.replace("price double", "price string")))
+    with pytest.raises(ValueError):
+        T.preprocess(feed(spark, [row], good).drop("id"))
+
+
+def test_arity_is_checked(spark):
+    class Double(X.SISO):
+        def __init__(self, input_col="close"):
+            self._set(input_col, "double", input_col=input_col)
+
+        def columns(self, ax, x):
+            return 2 * x
+
+    class Both(X.MIMO):
+        def __init__(self, results=2):
+            self._set(["close", "volume"], ["sum", "gap"], results=results)
+
+        def columns(self, ax, a, b):
+            return [a + b, a - b][: self.params["results"]]
+
+    df = spark.createDataFrame([("A", 1, 3.0, 4.0)], "symbol string, ts_ns long, close double, volume double")
+    ax = series.Axis()
+    assert Double()(df, ax).first()["close_double"] == 6.0
+    assert Both()(df, ax).select("sum", "gap").first() == (7.0, -1.0)
+    with pytest.raises(ValueError):
+        Both(1)(df, ax)
+    with pytest.raises(ValueError):
+        Double(["close", "volume"])
+    with pytest.raises(ValueError):
+        Double("missing")(df, ax)
+
+
+def test_structural_break_frames(spark):
+    p = 100 * np.exp(np.cumsum(np.random.default_rng(8).normal(0, 0.01, 60)))
+    df = spark.createDataFrame([("A", k, float(x)) for k, x in enumerate(p)] + [("B", 0, 1.0)], "symbol string, ts_ns long, close double")
+    want = K.cusum_test_developing(p, 20)
+    t = X.CUSUMDeveloping(20)
+    got = [[r[c] for c in t.produces] for r in t(df, series.Axis()).where("symbol = 'A'").orderBy("ts_ns").collect()]
+    assert np.allclose(np.array(got, float), want, equal_nan=True)
+    last = {r.symbol: tuple(r)[1:] for r in X.cusum_last(df).collect()}
+    assert np.allclose(last["A"], want[-1]) and last["B"] == (None,) * 4
+
+
+def test_label_accessors(spark):
+    f = spark.createDataFrame([("A", k * NS, 0.01) for k in range(4)], "symbol string, ts_ns long, vol double")
+    tb = L.TripleBarrier(f, "vol", 0.001, (1.0, 1.0), 2.0)
+    assert (tb.event_count(), tb.first_event(), tb.last_event()) == (4, 0, 3 * NS)
+    with pytest.raises(ValueError):
+        tb.event_labels()
+    tb.compute_labels(trades(spark, [1, 2, 3, 4, 5, 6]))
+    assert tb.event_labels().count() == tb.event_returns().count() == 4 and tb.target_returns().columns == ["symbol", "ts_ns", "target"]
+
+
+def test_logging_leaves_the_root_alone(tmp_path):
+    import logging
+
+    from tickloom import log
+
+    root = list(logging.getLogger().handlers)
+    path = tmp_path / "logs" / "run.log"
+    for _ in range(2):
+        logger = log.setup_logging("ERROR", "DEBUG", str(path))
+    log.get_logger("part").debug("told")
+    assert logging.getLogger().handlers == root and len(logger.handlers) == 2 and path.read_text().count("told") == 1
+    with pytest.raises(ValueError):
+        log.setup_logging("loud")
+    log.setup_logging("ERROR")
+
+
+def test_window_profiles_equal_brute_force(spark):
+    rng = np.random.default_rng(6)
+    made, at = [], 0
+    for _ in range(60):
+        at += int(rng.integers(1, 9)) * NS
+        made.append((at, [(int(k), float(rng.integers(0, 4)), float(rng.integers(0, 3))) for k in range(int(rng.integers(0, 6)), int(rng.integers(7, 12)))]))
+    cell = "array<struct<level:int,buy_volume:double,sell_volume:double>>"
+    fp = spark.createDataFrame([("A", t, c) for t, c in made], f"symbol string, bar_id long, fp {cell}")
+    got = {(r.bar_id, r.level): r.volume for r in FP.window_levels(fp, 7.0).collect()}
+    want = {}
+    for t, _ in made:
+        for past, cells in made:
+            if t - 7 * NS <= past <= t:
+                for level, b, s in cells:
+                    want[t, level] = want.get((t, level), 0.0) + b + s
+    assert got == want
+
+
 def test_streaming_samplers_equal_batch(spark, tmp_path):
     from tickloom.streaming import bars as SB
 

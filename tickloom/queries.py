@@ -6,18 +6,20 @@ Doubles are rounded to 6 decimals on both sides.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.series import Axis
+from .functions.series import Axis, div
 from .operators import bars as B
 from .operators import footprint as FP
 from .operators import labels as L
 from .operators.joins import asof
 from .plans import transforms as X
 from .plans.features import Compose, Feature, FeatureKit
+from .session import scratch
 from .sources import store as S
 from .sources import trades as T
 
@@ -73,8 +75,8 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six-hour bars with buy and sell volume and the one-bar return."""
     t = B.time_bars(trades(spark, sf_dir), HOURS6)
     part = lambda k: F.coalesce(F.sum(F.when(F.col("side") == k, F.col("amount"))), F.lit(0.0))
-    o = t.groupBy("symbol", "bar_id").agg(F.min_by("price", "seq").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "seq").alias("close"), F.sum("amount").alias("volume"), (F.sum(F.col("price") * F.col("amount")) / F.sum("amount")).alias("vwap"), F.count(F.lit(1)).alias("trades"), part(1).alias("volume_buy"), part(-1).alias("volume_sell"))
-    return o.withColumnRenamed("bar_id", "ts_ns").withColumn("ret1", F.col("close") / AX.lag(F.col("close")) - 1)
+    o = t.groupBy("symbol", "bar_id").agg(F.min_by("price", "seq").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "seq").alias("close"), F.sum("amount").alias("volume"), div(F.sum(F.col("price") * F.col("amount")), F.sum("amount")).alias("vwap"), F.count(F.lit(1)).alias("trades"), part(1).alias("volume_buy"), part(-1).alias("volume_sell"))
+    return o.withColumnRenamed("bar_id", "ts_ns").withColumn("ret1", div(F.col("close"), AX.lag(F.col("close"))) - 1)
 
 
 def feature(name: str, transform: X.Transform, expr: str | None = None, kinds: str = "double", inner: str = "b") -> None:
@@ -128,10 +130,14 @@ def _(s, d):
     return T.missing_percent(T.from_events(s, d))
 
 
-@register("pre_05_merge_split", "SELECT symbol, run - 1 AS seq, min(ts_ns) AS ts_ns, arg_min(price, id) AS price, sum(amount) AS amount FROM (SELECT *, sum(n) OVER (PARTITION BY symbol ORDER BY id)::BIGINT AS run FROM (SELECT *, CASE WHEN ts_ns // 3600000000000 = lag(ts_ns // 3600000000000) OVER (PARTITION BY symbol ORDER BY id) AND price = lag(price) OVER (PARTITION BY symbol ORDER BY id) THEN 0 ELSE 1 END AS n FROM (SELECT symbol, id, ts_ns, amount, 100 AS price FROM t))) GROUP BY symbol, run", "symbol seq", "amount")
+@register("pre_05_merge_split", """SELECT symbol, run - 1 AS seq, min(ts_ns) AS ts_ns, min(id) AS id, side::TINYINT AS side, arg_min(price, seq) AS price, sum(amount) AS amount FROM (
+  SELECT *, sum(fresh) OVER (PARTITION BY symbol ORDER BY seq)::BIGINT AS run FROM (
+  SELECT *, CASE WHEN ts_ns = lag(ts_ns) OVER o AND abs(price - lag(price) OVER o) < 1e-8 AND side = lag(side) OVER o THEN 0 ELSE 1 END AS fresh
+  FROM (SELECT symbol, seq, id, amount, CASE WHEN id % 3 = 0 THEN -1 ELSE 1 END AS side, ts_ns - ts_ns % 21600000000000 AS ts_ns, floor(price / 50) * 50 AS price FROM t) WINDOW o AS (PARTITION BY symbol ORDER BY seq))) GROUP BY symbol, run, side""", "symbol seq ts_ns id side", "price amount")
 def _(s, d):
-    t = T.sort_trades(T.from_events(s, d)).withColumns({"price": F.lit(100.0), "ts_ns": T.round_time(F.col("ts_ns"), "s")}).withColumn("ts_ns", F.col("ts_ns") - F.col("ts_ns") % 3_600_000_000_000)
-    return T.merge_split(t).select("symbol", "seq", "amount")
+    """Trades on a coarse grid of times and prices, with a side, so that every rule merges and every rule parts some."""
+    t = T.sort_trades(T.from_events(s, d)).withColumns({"price": F.floor(F.col("price") / 50) * 50.0, "ts_ns": F.col("ts_ns") - F.col("ts_ns") % 21_600_000_000_000, "is_buyer_maker": F.col("id") % 3 == 0})
+    return T.merge_split(t).select("symbol", "seq", "ts_ns", "id", "side", "price", "amount")
 
 
 @register("pre_06_rounding", "SELECT symbol, seq, ts_ns - ts_ns % 1000000000 AS ts_ns FROM t", "symbol seq ts_ns")
@@ -139,15 +145,17 @@ def _(s, d):
     return trades(s, d).select("symbol", "seq", T.round_time(F.col("ts_ns"), "s").alias("ts_ns"))
 
 
-@register("pre_01_full_chain", "SELECT symbol, seq, ts_ns - ts_ns % 1000000 AS ts_ns, side::TINYINT AS side, price FROM t", "symbol seq ts_ns side", "price")
+@register("pre_01_full_chain", "SELECT symbol, seq, ts_ns - ts_ns % 1000000 AS ts_ns, side::TINYINT AS side, price, amount FROM t", "symbol seq ts_ns side", "price amount")
 def _(s, d):
     feed = T.from_events(s, d).withColumn("ts", F.expr("ts_ns div 1000")).drop("ts_ns")
-    return T.preprocess(feed, resolution="ms").select("symbol", "seq", "ts_ns", "side", "price")
+    return T.preprocess(feed, resolution="ms").select("symbol", "seq", "ts_ns", "side", "price", "amount")
 
 
-@register("pre_09_in_order", "SELECT symbol, true AS ordered FROM t GROUP BY symbol", "symbol ordered")
+@register("pre_09_in_order", "SELECT symbol, count(*) FILTER (ts_ns < p) = 0 AS ordered FROM (SELECT symbol, ts_ns, lag(ts_ns) OVER (PARTITION BY symbol ORDER BY price, id) AS p FROM t WHERE price > 70) GROUP BY symbol", "symbol ordered")
 def _(s, d):
-    return T.in_order(trades(s, d))
+    """Whether each symbol's prices above 70, taken in ascending order, also come in order of time."""
+    t = trades(s, d).where("price > 70").withColumn("seq", F.row_number().over(Axis(order=["price", "id"]).whole))
+    return T.in_order(t)
 
 
 @register("pre_12_median3", "SELECT symbol, seq, quantile_cont(x, 0.5) AS m FROM (SELECT symbol, seq, unnest([price, amount, 50.0]) AS x FROM t) GROUP BY symbol, seq", "symbol seq", "m")
@@ -155,10 +163,13 @@ def _(s, d):
     return trades(s, d).select("symbol", "seq", T.median3(F.col("price"), F.col("amount"), F.lit(50.0)).alias("m"))
 
 
-@register("pre_10_tick_size")
+@register("pre_10_tick_size", """SELECT symbol, list_reduce(w, lambda a, b: gcd(a, b)) / sc AS tick, round(m, (1 - floor(log10(m)))::INT) AS legacy FROM (
+  SELECT symbol, m, sc, list_transform(st, lambda x: round_even(x * sc, 0)::BIGINT) AS w FROM (
+  SELECT symbol, st, list_median(st) AS m, power(10.0::DOUBLE, -floor(log10(list_min(st)))) AS sc FROM (
+  SELECT symbol, list_transform(range(1, len(ps)), lambda i: ps[i + 1] - ps[i]) AS st FROM (
+  SELECT symbol, list_sort(list(DISTINCT round(price, 12))) AS ps FROM t WHERE seq < 10000 GROUP BY symbol))))""", "symbol", "tick legacy")
 def _(s, d):
-    t = T.ordered_trades(s, d, single=True)
-    return s.createDataFrame([(T.tick_size(t), T.tick_size_median(t))], "tick double, legacy double")
+    return T.tick_sizes(trades(s, d))
 
 
 @register("scn_04_view", "SELECT symbol, seq FROM t WHERE ts_ns BETWEEN 1704500000000000000 AND 1705500000000000000", "symbol seq")
@@ -176,6 +187,23 @@ def _(s, d):
     return S.gaps(trades(s, d), 36_000_000_000_000)
 
 
+@register("sto_01_store_round_trip", """SELECT m.symbol, m.month, record_count, first_ns, last_ns, n_in_range, missing_pct, coalesce(gaps, 0) = 0 AS data_integrity_ok, coalesce(gaps, 0) AS gaps FROM (
+  SELECT symbol, month, count(*) AS record_count, min(ts_ns) AS first_ns, max(ts_ns) AS last_ns, count(*) FILTER (ts_ns BETWEEN 1706500000000000000 AND 1707000000000000000) AS n_in_range, 100.0 * (max(id) - min(id) + 1 - count(DISTINCT id)) / count(*) AS missing_pct
+  FROM (SELECT *, strftime(make_timestamp(ts_ns // 1000), '%Y-%m') AS month FROM (SELECT symbol, id, ts_ns + 1296000000000000 AS ts_ns FROM t)) GROUP BY 1, 2) m
+  LEFT JOIN (SELECT symbol, strftime(make_timestamp((ts_ns + 1296000000000000) // 1000), '%Y-%m') AS month, count(*) AS gaps FROM (
+    SELECT symbol, id, ts_ns, lag(id) OVER (PARTITION BY symbol ORDER BY id) AS p, lag(ts_ns) OVER (PARTITION BY symbol ORDER BY id) AS pt FROM t) WHERE id - p > 1 AND ts_ns - pt > 86400000000000 GROUP BY 1, 2) g ON g.symbol = m.symbol AND g.month = m.month""", "symbol month record_count first_ns last_ns n_in_range data_integrity_ok gaps", "missing_pct")
+def _(s, d):
+    """Trades moved by 15 days, so that they span two months, are saved month by month; metadata, flags, gaps and a range are read back."""
+    t = trades(s, d).withColumn("ts_ns", F.col("ts_ns") + 1_296_000_000_000_000)
+    st = S.TradeStore(s, scratch(s, "store"))
+    gaps = T.integrity(t, 86_400_000_000_000)
+    for month in ("2024-01", "2024-02"):
+        st.save(t.where(S.month_of(F.col("ts_ns")) == month), integrity_table=gaps.where(S.month_of(F.col("post_gap_ns")) == month))
+    ranged = st.load(start_ns=1_706_500_000_000_000_000, end_ns=1_707_000_000_000_000_000).groupBy("symbol", "month").agg(F.count(F.lit(1)).alias("n_in_range"))
+    found = st.integrity().groupBy("symbol", "month").agg(F.count(F.lit(1)).alias("gaps"))
+    return st.metadata().join(ranged, ["symbol", "month"], "left").join(found, ["symbol", "month"], "left").na.fill(0, ["n_in_range", "gaps"]).select("symbol", "month", "record_count", "first_ns", "last_ns", "n_in_range", "missing_pct", "data_integrity_ok", "gaps")
+
+
 # ---- samplers and bar aggregations ------------------------------------------------------------------
 
 OHLCV = "arg_min(price, seq) AS open, max(price) AS high, min(price) AS low, arg_max(price, seq) AS close, sum(amount) AS volume, sum(price * amount) / sum(amount) AS vwap, count(*) AS trades, quantile_cont(amount, 0.5) AS median_trade_size"
@@ -187,12 +215,12 @@ def _(s, d):
     return B.ohlcv(B.time_bars(trades(s, d), HOURS6)).drop("last_ns")
 
 
-@register("bar_01_time_filled", """SELECT c.symbol, c.ts_ns AS bar_id, coalesce(trades, 0) AS trades, coalesce(volume, 0) AS volume, coalesce(vwap, 0) AS vwap,
-  coalesce(last_value(close IGNORE NULLS) OVER (PARTITION BY c.symbol ORDER BY c.ts_ns ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), p0) AS close
+@register("bar_01_time_filled", """SELECT c.symbol, c.ts_ns AS bar_id, coalesce(trades, 0) AS trades, coalesce(volume, 0) AS volume, coalesce(vwap, 0) AS vwap, coalesce(median_trade_size, 0) AS median_trade_size, coalesce(open, lc) AS open, coalesce(high, lc) AS high, coalesce(low, lc) AS low, lc AS close
+  FROM (SELECT c.symbol, c.ts_ns, trades, volume, vwap, median_trade_size, open, high, low, coalesce(last_value(close IGNORE NULLS) OVER (PARTITION BY c.symbol ORDER BY c.ts_ns ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), p0) AS lc
   FROM (SELECT symbol, p0, unnest(generate_series(a // 21600000000000 * 21600000000000 + 21600000000000, (z + 21600000000000 - 1) // 21600000000000 * 21600000000000 + 21600000000000, 21600000000000)) AS ts_ns
-        FROM (SELECT symbol, min(ts_ns) AS a, max(ts_ns) AS z, arg_min(price, seq) AS p0 FROM t GROUP BY symbol)) c LEFT JOIN b0 ON b0.symbol = c.symbol AND b0.ts_ns = c.ts_ns""", "symbol bar_id trades", "volume vwap close")
+        FROM (SELECT symbol, min(ts_ns) AS a, max(ts_ns) AS z, arg_min(price, seq) AS p0 FROM t GROUP BY symbol)) c LEFT JOIN b0 ON b0.symbol = c.symbol AND b0.ts_ns = c.ts_ns) c""", *OUT)
 def _(s, d):
-    return B.TimeBars(trades(s, d), HOURS6).build_ohlcv().select("symbol", "bar_id", "trades", "volume", "vwap", "close")
+    return B.TimeBars(trades(s, d), HOURS6).build_ohlcv().select(*OUT[0].split(), *OUT[1].split())
 
 
 @register("bar_02_tick", f"SELECT symbol, seq // 5 AS bar_id, {OHLCV} FROM (SELECT *, max(seq) OVER (PARTITION BY symbol) + 1 AS n FROM t) WHERE seq >= 1 AND (seq // 5 + 1) * 5 <= n GROUP BY symbol, seq // 5", *OUT)
@@ -217,24 +245,31 @@ def _(s, d):
     return B.ohlcv(B.dollar_bars(trades(s, d), 20_000.0)).drop("last_ns")
 
 
-@register("bar_05_cusum")
+@register("bar_05_cusum", f"""WITH RECURSIVE sg AS (SELECT symbol, seq, ts_ns, price, CASE WHEN seq >= 3 THEN stddev_samp(price) OVER (PARTITION BY symbol ORDER BY seq ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) / price END AS sigma,
+    coalesce(lead(ts_ns) OVER (PARTITION BY symbol ORDER BY seq) = ts_ns, false) AS tied FROM t),
+  r(symbol, seq, price, s, pos, neg, closed) AS (
+  SELECT symbol, seq, price, sigma, 0.0::DOUBLE, 0.0::DOUBLE, 0 FROM sg WHERE seq = 3
+  UNION ALL SELECT symbol, seq, price, s, CASE WHEN NOT tied AND p >= h THEN 0.0 ELSE p END, CASE WHEN NOT tied AND p < h AND -n >= h THEN 0.0 ELSE n END, CASE WHEN NOT tied AND (p >= h OR -n >= h) THEN 1 ELSE 0 END
+  FROM (SELECT sg.symbol, sg.seq, sg.price, sg.tied, coalesce(sg.sigma, r.s) AS s, greatest(coalesce(sg.sigma, r.s), 5e-4) AS h, greatest(0.0, r.pos + ln(sg.price / r.price)) AS p, least(0.0, r.neg + ln(sg.price / r.price)) AS n FROM r JOIN sg ON sg.symbol = r.symbol AND sg.seq = r.seq + 1)),
+  f AS (SELECT *, coalesce(sum(closed) OVER (PARTITION BY symbol ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS bar_id, sum(closed) OVER (PARTITION BY symbol) AS n FROM r)
+  SELECT symbol, bar_id, {OHLCV}, arg_max(sigma, seq) AS sigma FROM (SELECT t.*, f.bar_id, f.n, sg.sigma FROM f JOIN t ON t.symbol = f.symbol AND t.seq = f.seq JOIN sg ON sg.symbol = f.symbol AND sg.seq = f.seq) WHERE seq > 3 AND bar_id < n GROUP BY symbol, bar_id""", OUT[0], OUT[1] + " sigma")
 def _(s, d):
-    t = trades(s, d).withColumn("sigma", F.when(F.col("seq") >= 3, F.stddev_samp("price").over(Axis(order="seq").rows(4)) / F.col("price")))
+    t = trades(s, d).withColumn("sigma", F.when(F.col("seq") >= 3, div(F.stddev_samp("price").over(Axis(order="seq").rows(4)), F.col("price"))))
     cb = B.cusum_bars(t, "sigma", 5e-4, 1.0)
     return B.ohlcv(cb).drop("last_ns").join(B.cusum_sigma(cb), ["symbol", "bar_id"])
 
 
 @register("agg_02_directional", """SELECT symbol, bar_id, count(*) FILTER (side = 1) AS ticks_buy, count(*) FILTER (side = -1) AS ticks_sell,
-  coalesce(sum(amount) FILTER (side = 1), 0) AS volume_buy, coalesce(sum(price * amount) FILTER (side = -1), 0) AS dollars_sell,
-  coalesce(sum(spread), 0) / nullif(count(*) FILTER (side <> 0), 0) AS mean_spread, coalesce(max(spread), 0) AS max_spread, min(ct) AS cum_ticks_min, max(ct) AS cum_ticks_max, min(cv) AS cum_volumes_min, max(cd) AS cum_dollars_max FROM (
+  coalesce(sum(amount) FILTER (side = 1), 0) AS volume_buy, coalesce(sum(amount) FILTER (side = -1), 0) AS volume_sell, coalesce(sum(price * amount) FILTER (side = 1), 0) AS dollars_buy, coalesce(sum(price * amount) FILTER (side = -1), 0) AS dollars_sell,
+  coalesce(sum(spread), 0) / nullif(count(*) FILTER (side <> 0), 0) AS mean_spread, coalesce(max(spread), 0) AS max_spread, min(ct) AS cum_ticks_min, max(ct) AS cum_ticks_max, min(cv) AS cum_volumes_min, max(cv) AS cum_volumes_max, min(cd) AS cum_dollars_min, max(cd) AS cum_dollars_max FROM (
   SELECT *, CASE WHEN side <> (CASE WHEN n = 1 THEN 0 ELSE coalesce(ps, side) END) THEN abs(price - pp) END AS spread,
          CASE WHEN side <> 0 THEN sum(side) OVER r END AS ct, CASE WHEN side <> 0 THEN sum(side * amount) OVER r END AS cv, CASE WHEN side <> 0 THEN sum(side * (price * amount)) OVER r END AS cd
   FROM (SELECT k.*, p.ps, p.pp, count(*) OVER (PARTITION BY k.symbol, bar_id) AS n FROM k JOIN (SELECT symbol, seq, lag(side) OVER (PARTITION BY symbol ORDER BY seq) AS ps, lag(price) OVER (PARTITION BY symbol ORDER BY seq) AS pp FROM t) p ON p.symbol = k.symbol AND p.seq = k.seq)
-  WINDOW r AS (PARTITION BY symbol, bar_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) GROUP BY symbol, bar_id""", "symbol bar_id ticks_buy ticks_sell", "volume_buy dollars_sell mean_spread max_spread cum_ticks_min cum_ticks_max cum_volumes_min cum_dollars_max")
+  WINDOW r AS (PARTITION BY symbol, bar_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) GROUP BY symbol, bar_id""", "symbol bar_id ticks_buy ticks_sell", "volume_buy volume_sell dollars_buy dollars_sell mean_spread max_spread cum_ticks_min cum_ticks_max cum_volumes_min cum_volumes_max cum_dollars_min cum_dollars_max")
 def _(s, d):
     t = trades(s, d)
     out = B.directional(t, B.time_bars(t, HOURS6))
-    return out.select("symbol", "bar_id", "ticks_buy", "ticks_sell", "volume_buy", "dollars_sell", "mean_spread", "max_spread", F.col("cum_ticks_min").cast("double").alias("cum_ticks_min"), F.col("cum_ticks_max").cast("double").alias("cum_ticks_max"), "cum_volumes_min", "cum_dollars_max")
+    return out.select("symbol", "bar_id", "ticks_buy", "ticks_sell", "volume_buy", "volume_sell", "dollars_buy", "dollars_sell", "mean_spread", "max_spread", F.col("cum_ticks_min").cast("double").alias("cum_ticks_min"), F.col("cum_ticks_max").cast("double").alias("cum_ticks_max"), "cum_volumes_min", "cum_volumes_max", "cum_dollars_min", "cum_dollars_max")
 
 
 @register("agg_03_trade_size", "SELECT symbol, bar_id, ln(1 + avg(amount) / 100.0) AS mean_size_rel, ln(1 + quantile_cont(amount, 0.95) / 100.0) AS size_95_rel, coalesce(sum(amount) FILTER (amount > 100.0), 0) / sum(amount) AS pct_block, CASE WHEN count(*) = 1 THEN 0 ELSE 1 - sum(amount * amount) / (sum(amount) * sum(amount)) END AS size_gini FROM k GROUP BY symbol, bar_id", "symbol bar_id", "mean_size_rel size_95_rel pct_block size_gini")
@@ -280,7 +315,14 @@ def _(s, d):
     return FP.unnest(footprint(s, d), 10.0).select("symbol", "bar_id", "level", "price_level")
 
 
-@register("agg_06_footprint_runs")
+@register("agg_06_footprint_runs", f"""WITH x AS (SELECT symbol, bar_id, level, buy_volume + sell_volume AS v, coalesce(sell_volume > 1.5 * lead(buy_volume) OVER w, false) AS si, coalesce(buy_volume > 1.5 * lag(sell_volume) OVER w, false) AS bi FROM ({FP_CTE}) WINDOW w AS (PARTITION BY symbol, bar_id ORDER BY level)),
+  y AS (SELECT *, CASE WHEN bi AND NOT si THEN 1 WHEN si AND NOT bi THEN -1 ELSE 0 END AS sg FROM x),
+  z AS (SELECT *, CASE WHEN sg = lag(sg) OVER (PARTITION BY symbol, bar_id ORDER BY level) THEN 0 ELSE 1 END AS fresh FROM y),
+  q AS (SELECT *, sum(fresh) OVER (PARTITION BY symbol, bar_id ORDER BY level) AS run, sum(v * level) OVER (PARTITION BY symbol, bar_id) / nullif(sum(v) OVER (PARTITION BY symbol, bar_id), 0) AS mean FROM z),
+  runs AS (SELECT symbol, bar_id, run, any_value(sg) * count(*) AS signed, count(*) AS len, min(level) AS lowest FROM q WHERE sg <> 0 GROUP BY 1, 2, 3),
+  best AS (SELECT symbol, bar_id, arg_max(signed, (len, -lowest)) AS signed FROM runs GROUP BY 1, 2),
+  m AS (SELECT symbol, bar_id, count(*) FILTER (bi) AS nb, count(*) FILTER (si) AS ns, sum(v * power(level - mean, 2)) / nullif(sum(v), 0) AS var, sum(v * power(level - mean, 3)) / nullif(sum(v), 0) AS third FROM q GROUP BY 1, 2)
+  SELECT m.symbol, m.bar_id, coalesce(signed, 0)::INT AS imbalance_run, nb::INT AS n_buy_imbalance, ns::INT AS n_sell_imbalance, CASE WHEN var > 0 THEN third / power(var, 1.5) ELSE 0 END AS vp_skew, true AS valid FROM m LEFT JOIN best ON best.symbol = m.symbol AND best.bar_id = m.bar_id""", "symbol bar_id imbalance_run n_buy_imbalance n_sell_imbalance valid", "vp_skew")
 def _(s, d):
     return footprint(s, d).select("symbol", "bar_id", "imbalance_run", "n_buy_imbalance", "n_sell_imbalance", "vp_skew", FP.is_valid(F.col("fp")).alias("valid"))
 
@@ -290,12 +332,28 @@ def _(s, d):
     return FP.window_levels(footprint(s, d), 3 * 86_400)
 
 
-@register("vp_07_profile_rolling")
+#: point of control and value area of the (symbol, bar_id, level, volume) of ``lv``, in 9 bins
+AREA = """WITH RECURSIVE lv AS ({levels}),
+  e AS (SELECT *, lo + b * wd AS st, ceil((hi + wd - lo) / wd) - 1 AS edge FROM (SELECT *, floor((level - lo) / wd) AS b FROM (
+    SELECT *, wd0 + CASE WHEN wd0 % 2 = 0 THEN 1 ELSE 0 END AS wd FROM (SELECT *, greatest(1, floor((hi - lo) / 9)) AS wd0 FROM (
+    SELECT *, min(level) OVER (PARTITION BY symbol, bar_id) AS lo, max(level) OVER (PARTITION BY symbol, bar_id) AS hi FROM lv))))),
+  n AS (SELECT symbol, bar_id, CASE WHEN b >= edge THEN hi ELSE floor((2 * st + wd - 1) / 2) END::INT AS level, sum(volume) AS volume FROM e GROUP BY 1, 2, 3),
+  a AS (SELECT symbol, bar_id, list(level ORDER BY level) AS ls, list(volume ORDER BY level) AS v FROM n GROUP BY 1, 2),
+  g(symbol, bar_id, ls, v, p, l, h, held) AS (
+    SELECT symbol, bar_id, ls, v, list_position(v, list_max(v)), list_position(v, list_max(v)), list_position(v, list_max(v)), list_max(v) FROM a
+    UNION ALL SELECT symbol, bar_id, ls, v, p, CASE WHEN dn >= up THEN greatest(l - 2, 1) ELSE l END, CASE WHEN up >= dn THEN least(h + 2, len(v)) ELSE h END, held + CASE WHEN up >= dn THEN up ELSE 0 END + CASE WHEN dn >= up THEN dn ELSE 0 END
+    FROM (SELECT *, CASE WHEN h < len(v) THEN list_sum(v[h + 1:h + 2]) ELSE -1 END AS up, CASE WHEN l > 1 THEN list_sum(v[greatest(l - 2, 1):l - 1]) ELSE -1 END AS dn FROM g WHERE held < list_sum(v) * 68.34 / 100 AND (l > 1 OR h < len(v)))),
+  z AS (SELECT * FROM g WHERE NOT (held < list_sum(v) * 68.34 / 100 AND (l > 1 OR h < len(v))))
+  SELECT symbol, bar_id, ls[p] AS poc, ls[h] AS hva, ls[l] AS lva, CASE WHEN list_sum(v) <> 0 THEN coalesce(list_sum(v[p + 1:]), 0) / list_sum(v) ELSE 0 END AS pct_above FROM z"""
+AREA_OUT = ("symbol bar_id poc hva lva", "pct_above")
+
+
+@register("vp_07_profile_rolling", AREA.format(levels=f"SELECT a.symbol, a.bar_id, f.level::INT AS level, sum(buy_volume + sell_volume) AS volume FROM (SELECT symbol, bar_id FROM (SELECT DISTINCT symbol, bar_id, min(bar_id) OVER (PARTITION BY symbol) AS fb FROM k) WHERE bar_id >= fb + 259200000000000) a JOIN ({FP_CTE}) f ON f.symbol = a.symbol AND f.bar_id BETWEEN a.bar_id - 259200000000000 AND a.bar_id GROUP BY 1, 2, 3"), *AREA_OUT)
 def _(s, d):
     return FP.profile_rolling(footprint(s, d), 3 * 86_400, 9)
 
 
-@register("vp_09_profile_developing")
+@register("vp_09_profile_developing", AREA.format(levels=f"SELECT a.symbol, a.bar_id, f.level::INT AS level, sum(buy_volume + sell_volume) AS volume FROM (SELECT DISTINCT symbol, bar_id FROM k WHERE bar_id BETWEEN 1704500000000000000 AND 1705000000000000000) a JOIN ({FP_CTE}) f ON f.symbol = a.symbol AND f.bar_id BETWEEN 1704500000000000000 AND a.bar_id GROUP BY 1, 2, 3"), *AREA_OUT)
 def _(s, d):
     return FP.profile_developing(footprint(s, d), 1_704_500_000_000_000_000, 1_705_000_000_000_000_000, 9)
 
@@ -303,7 +361,16 @@ def _(s, d):
 # ---- features -----------------------------------------------------------------------------------------
 
 feature("fn_09_identity", X.Identity("close"), "close")
-feature("fn_10_time_cues", X.TimeCues(), None)
+TAU = "2 * pi()"
+DAY_S, WEEKDAY = "(ts_ns // 1000000000 % 86400)", "((ts_ns // 86400000000000 + 3) % 7)"
+
+
+@register("fn_10_time_cues", f"""SELECT symbol, ts_ns, sin({TAU} * {DAY_S} / 86400) AS sin_td, cos({TAU} * {DAY_S} / 86400) AS cos_td, sin({TAU} * {WEEKDAY} / 7) AS sin_dw, cos({TAU} * {WEEKDAY} / 7) AS cos_dw,
+  hr < 8 AS asia, hr >= 7 AND hr < 15 AS eu, hr >= 13 AND hr < 21 AS us, hr IN (0, 7, 13) AND mi = 0 AS sess_x, mi = 0 AS top_hr FROM (SELECT symbol, ts_ns, {DAY_S} // 3600 AS hr, {DAY_S} % 3600 // 60 AS mi FROM b)""", "symbol ts_ns asia eu us sess_x top_hr", "sin_td cos_td sin_dw cos_dw")
+def _(s, d):
+    return X.TimeCues()(bars(s, d), AX).select("symbol", "ts_ns", *[F.col(f"close_{c}").alias(c) for c in X.TimeCues.NAMES])
+
+
 feature("fn_11_parkinson", X.ParkinsonRange(), "power(ln(high / low), 2) / (4 * ln(2))")
 feature("fn_12_candle_shape", X.CandleShape(), "(high - greatest(open, close)) / (high - low + 1e-12) AS wick_up_ratio, (least(open, close) - low) / (high - low + 1e-12) AS wick_dn_ratio, abs(close - open) / (high - low + 1e-12) AS body_ratio, (vwap - open) / open AS vwap_drift")
 feature("ret_01_lag", X.Lag(3), "lag(close, 3) OVER o")
@@ -332,22 +399,41 @@ feature("win_17_variance_ratio", X.VarianceRatio14(8), f"CASE WHEN count(r) {w(8
 feature("win_18_trend_slope", X.TrendSlope(6), guarded(6, f"degrees(atan(regr_slope(ln(close), i) {w(6)}))"))
 feature("win_20_atr", X.ATR(5), guarded(5, f"avg(tr) {w(5)}"), inner="(SELECT *, CASE WHEN i = 1 THEN high - low ELSE greatest(high - low, abs(high - p), abs(low - p)) END AS tr FROM (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY ts_ns) AS p FROM b))")
 feature("win_21_bar_rate", X.BarRate(window=86_400.0), "count(*) OVER (PARTITION BY symbol ORDER BY ts_ns RANGE BETWEEN 86400000000000 PRECEDING AND CURRENT ROW) * (3600.0 / 86400)")
-feature("win_22_hurst", X.HurstExponent(12))
-feature("win_23_apen", X.ApproximateEntropy(12))
+HURST = [math.log(n) - math.log(8) / 2 for n in (1, 2, 4, 8)]
+feature("win_22_hurst", X.HurstExponent(12), f"CASE WHEN {full(12, 'ret1')} AND s1 > 0 AND s2 > 0 AND s4 > 0 AND s8 > 0 THEN ({' + '.join(f'({x!r}) * ln(s{n})' for x, n in zip(HURST, (1, 2, 4, 8)))}) / {sum(x * x for x in HURST)!r} END", inner="(SELECT *, " + ", ".join(f"stddev_pop(d{n}) {w(12 - n)} AS s{n}" for n in (1, 2, 4, 8)) + " FROM (SELECT *, " + ", ".join(f"c - lag(c, {n}) OVER (PARTITION BY symbol ORDER BY ts_ns) AS d{n}" for n in (1, 2, 4, 8)) + " FROM (SELECT *, sum(ret1) OVER (PARTITION BY symbol ORDER BY ts_ns) AS c FROM b)))")
+PHI = "list_avg(list_transform(range(1, {n} + 1), lambda i: ln(list_avg(list_transform(range(1, {n} + 1), lambda j: CASE WHEN {near} THEN 1.0 ELSE 0.0 END)))))"
+NEAR = [" AND ".join(f"abs(xs[i + {x}] - xs[j + {x}]) <= rad" for x in range(n)) for n in (2, 3)]
+feature("win_23_apen", X.ApproximateEntropy(12), f"CASE WHEN len(xs) = 12 AND rad > 0 THEN {PHI.format(n=11, near=NEAR[0])} - {PHI.format(n=10, near=NEAR[1])} END", inner=f"(SELECT symbol, ts_ns, CASE WHEN {full(12, 'ret1')} THEN list(ret1) {w(12)} END AS xs, 0.2 * stddev_pop(ret1) {w(12)} AS rad FROM b)")
 feature("win_24_orb", X.ORBBreak(), "CASE WHEN ok AND close > hi THEN 1 ELSE 0 END AS orb_long, CASE WHEN ok AND close < lo THEN 1 ELSE 0 END AS orb_short", "int", inner="(SELECT *, n >= 4 AND t0 % 86400000000000 = 0 AND kk > 4 AS ok, max(CASE WHEN kk <= 4 THEN high END) OVER (PARTITION BY symbol, dy) AS hi, min(CASE WHEN kk <= 4 THEN low END) OVER (PARTITION BY symbol, dy) AS lo FROM (SELECT *, ts_ns // 86400000000000 AS dy, row_number() OVER (PARTITION BY symbol, ts_ns // 86400000000000 ORDER BY ts_ns) AS kk, count(*) OVER (PARTITION BY symbol, ts_ns // 86400000000000) AS n, min(ts_ns) OVER (PARTITION BY symbol, ts_ns // 86400000000000) AS t0 FROM b))")
 SELF = "(SELECT a.symbol, a.ts_ns, {value} AS v FROM b a JOIN b c ON c.symbol = a.symbol AND c.i <= a.i GROUP BY a.symbol, a.ts_ns)"
 feature("rec_01_ewma", X.EWMA(5, input_col="close"), "v", inner=SELF.format(value="sum(c.close * power(2.0 / 3, a.i - c.i)) / sum(power(2.0 / 3, a.i - c.i))"))
-feature("rec_02_ewms", X.EWMS(5, input_col="close"))
-feature("rec_03_ewmst", X.EWMST(86_400.0, input_col="ret1"))
-feature("rec_04_ewmst_mean0", X.EWMST(86_400.0, input_col="ret1", mean0=True))
+feature("rec_02_ewms", X.EWMS(5, input_col="close"), "CASE WHEN a0 - a2 / a0 > 0 THEN sqrt(greatest(sq / a0 - power(su / a0, 2), 0) * a0 / (a0 - a2 / a0)) END", inner="(SELECT a.symbol, a.ts_ns, sum(power(2.0 / 3, a.i - c.i)) AS a0, sum(power(4.0 / 9, a.i - c.i)) AS a2, sum(c.close * power(2.0 / 3, a.i - c.i)) AS su, sum(c.close * c.close * power(2.0 / 3, a.i - c.i)) AS sq FROM b a JOIN b c ON c.symbol = a.symbol AND c.i <= a.i GROUP BY a.symbol, a.ts_ns)")
+DECAY = """(WITH RECURSIVE r(symbol, ts_ns, i, w, w2, m, s) AS (
+  SELECT symbol, ts_ns, i, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM b WHERE i = 1
+  UNION ALL SELECT symbol, ts_ns, i, (1 - a) * w + a, (1 - a) * (1 - a) * w2 + a * a, (1 - a) * m + a * x, (1 - a) * s + a * x * x
+  FROM (SELECT b.symbol, b.ts_ns, b.i, r.w, r.w2, r.m, r.s, coalesce(b.ret1, 0) AS x, 1 - exp(-(b.ts_ns - r.ts_ns) / 86400000000000.0::DOUBLE) AS a FROM r JOIN b ON b.symbol = r.symbol AND b.i = r.i + 1)) SELECT * FROM r)"""
+feature("rec_03_ewmst", X.EWMST(86_400.0, input_col="ret1"), "CASE WHEN w > 0 AND w - w2 / w > 0 THEN greatest(sqrt(greatest(s / w - power(m / w, 2), 0) * w / (w - w2 / w)), 1e-12) END", inner=DECAY)
+feature("rec_04_ewmst_mean0", X.EWMST(86_400.0, input_col="ret1", mean0=True), "CASE WHEN w > 0 THEN greatest(sqrt(s / w), 1e-12) END", inner=DECAY)
 feature("rec_05_duration_ewma", X.BarDurationEWMA(5), "v", inner=SELF.format(value="sum(c.du * power(2.0 / 3, a.i - c.i)) / sum(CASE WHEN c.du IS NOT NULL THEN power(2.0 / 3, a.i - c.i) END)").replace("FROM b a JOIN b c", "FROM b a JOIN (SELECT *, (ts_ns - lag(ts_ns) OVER (PARTITION BY symbol ORDER BY ts_ns)) / 1e9 AS du FROM b) c"))
 feature("rec_06_rsi", X.RSIWilder(5), "v", inner="""(SELECT symbol, ts_ns, CASE WHEN i > 5 AND l > 0 THEN 100 - 100 / (1 + g / l) END AS v FROM (
   SELECT a.symbol, a.ts_ns, any_value(a.i) AS i, sum(greatest(c.dd, 0) * power(0.8, greatest(a.i - greatest(c.i, 6), 0)) * 0.2) AS g, sum(greatest(-c.dd, 0) * power(0.8, greatest(a.i - greatest(c.i, 6), 0)) * 0.2) AS l
   FROM b a JOIN (SELECT *, coalesce(close - lag(close) OVER (PARTITION BY symbol ORDER BY ts_ns), 0) AS dd FROM b) c ON c.symbol = a.symbol AND c.i <= a.i GROUP BY a.symbol, a.ts_ns))""")
-feature("rec_07_atr_ema", X.ATR(5, ema_based=True, normalize=True))
-feature("rec_08_adx", X.ADX(5))
+RANGES = "(SELECT *, CASE WHEN i = 1 THEN high - low ELSE greatest(high - low, abs(high - p), abs(low - p)) END AS tr, high - ph AS up, pl - low AS dn FROM (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY ts_ns) AS p, lag(high) OVER (PARTITION BY symbol ORDER BY ts_ns) AS ph, lag(low) OVER (PARTITION BY symbol ORDER BY ts_ns) AS pl FROM b))"
+feature("rec_07_atr_ema", X.ATR(5, ema_based=True, normalize=True), "CASE WHEN i >= 5 THEN v / mid END", inner=f"(SELECT a.symbol, a.ts_ns, any_value(a.i) AS i, any_value((a.high + a.low) / 2) AS mid, sum(c.tr * 0.2 * power(0.8, a.i - greatest(c.i, 5))) AS v FROM b a JOIN {RANGES} c ON c.symbol = a.symbol AND c.i <= a.i GROUP BY a.symbol, a.ts_ns)")
+#: row i holds the (i - 1)-th move; the first five are summed, later sums lose a fifth at each step
+DX = f"(SELECT a.symbol, a.ts_ns, any_value(a.i) AS i, sum(c.tr * power(0.8, a.i - greatest(c.i, 6))) AS st, sum(CASE WHEN c.up > c.dn AND c.up > 0 THEN c.up ELSE 0 END * power(0.8, a.i - greatest(c.i, 6))) AS sp, sum(CASE WHEN c.dn > c.up AND c.dn > 0 THEN c.dn ELSE 0 END * power(0.8, a.i - greatest(c.i, 6))) AS sm FROM b a JOIN {RANGES} c ON c.symbol = a.symbol AND c.i BETWEEN 2 AND a.i WHERE a.i >= 6 GROUP BY a.symbol, a.ts_ns)"
+feature("rec_08_adx", X.ADX(5), "v", inner=f"(SELECT a.symbol, a.ts_ns, CASE WHEN any_value(a.i) >= 10 THEN sum(c.dx * 0.2 * power(0.8, a.i - greatest(c.i, 10))) ELSE 0 END AS v FROM b a LEFT JOIN (SELECT symbol, i, CASE WHEN st > 0 AND sp + sm > 0 THEN 100 * abs(sp - sm) / (sp + sm) ELSE 0 END AS dx FROM {DX}) c ON c.symbol = a.symbol AND c.i <= a.i GROUP BY a.symbol, a.ts_ns)")
 feature("rec_09_dir_run_len", X.DirRunLen(), "CASE WHEN sg = 0 THEN 0 ELSE row_number() OVER (PARTITION BY symbol, run ORDER BY ts_ns) END::INT", "int", inner="(SELECT *, sum(n) OVER (PARTITION BY symbol ORDER BY ts_ns) AS run FROM (SELECT *, CASE WHEN sg = lag(sg) OVER (PARTITION BY symbol ORDER BY ts_ns) THEN 0 ELSE 1 END AS n FROM (SELECT *, coalesce(sign(ret1), 0) AS sg FROM b)))")
-feature("rec_10_cusum_test", X.CUSUMTest(16, 8, 20))
+#: over the last 17 closes (all, while there are fewer), from the ninth row on
+CSW = """(SELECT *, least(i - 1 - coalesce(max(CASE WHEN cumote_up16_flag > 0 THEN i - 1 END) OVER o2, 0), 20)::DOUBLE AS cumote_up16_age, least(i - 1 - coalesce(max(CASE WHEN cumote_down16_flag > 0 THEN i - 1 END) OVER o2, 0), 20)::DOUBLE AS cumote_down16_age FROM (
+  SELECT *, CASE WHEN cumote_up16_score > 0 THEN 1.0 ELSE 0.0 END AS cumote_up16_flag, CASE WHEN cumote_down16_score > 0 THEN 1.0 ELSE 0.0 END AS cumote_down16_flag FROM (
+  SELECT b.symbol, b.ts_ns, b.i, CASE WHEN up IS NOT NULL THEN least(greatest(up, -10), 10) END AS cumote_up16_score, CASE WHEN dn IS NOT NULL THEN least(greatest(dn, -10), 10) END AS cumote_down16_score FROM b LEFT JOIN (
+    SELECT symbol, i, max(x) - sqrt(4.6 + ln(arg_max(gap, x))) AS up, max(-x) - sqrt(4.6 + ln(arg_max(gap, -x))) AS dn FROM (
+      SELECT a.symbol, a.i, a.i - c.i AS gap, (ln(a.close) - ln(c.close)) / (sd * sqrt(a.i - c.i)) AS x
+      FROM (SELECT *, sqrt((sum(mv * mv) OVER (PARTITION BY symbol ORDER BY i ROWS BETWEEN 15 PRECEDING AND CURRENT ROW)) / (least(i - 1, 16) - 1)) AS sd FROM (SELECT *, ln(close) - ln(lag(close) OVER (PARTITION BY symbol ORDER BY i)) AS mv FROM b)) a
+      JOIN b c ON c.symbol = a.symbol AND c.i BETWEEN greatest(a.i - 16, 1) + 1 AND a.i - 2 WHERE a.i >= 9 AND sd > 0) GROUP BY symbol, i) q ON q.symbol = b.symbol AND q.i = b.i))
+  WINDOW o2 AS (PARTITION BY symbol ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
+feature("rec_10_cusum_test", X.CUSUMTest(16, 8, 20), ", ".join(f'{c.removeprefix("close_")} AS "{c}"' for c in X.CUSUMTest(16, 8, 20).produces), inner=CSW)
 
 
 @register("win_16_rolling_variance", f"SELECT symbol, ts_ns, CASE WHEN count(ret1) {w(6)} >= 3 THEN var_samp(ret1) {w(6)} END AS v FROM b", "symbol ts_ns", "v")
@@ -418,7 +504,7 @@ def _(s, d):
 
 
 def events(t: DataFrame) -> DataFrame:
-    """Every trade is an event. The SQL below still takes a quarter of them, see the README."""
+    """Every trade is an event."""
     return t.select("symbol", F.col("seq").alias("event_idx"), F.lit(0.6).alias("target"))
 
 
@@ -428,14 +514,14 @@ def labelled(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 LABELS = """j AS (SELECT e.symbol, e.seq AS event_idx, t.seq, t.ts_ns, ln(t.price) - ln(e.price) AS r, t.ts_ns - e.ts_ns >= 1000000000 AS op
-  FROM t e JOIN t ON t.symbol = e.symbol AND t.seq > e.seq AND t.ts_ns <= e.ts_ns + 172800000000000 WHERE e.seq % 4 = 1),
+  FROM t e JOIN t ON t.symbol = e.symbol AND t.seq > e.seq AND t.ts_ns <= e.ts_ns + 172800000000000),
 h AS (SELECT *, max(seq) OVER (PARTITION BY symbol, event_idx) AS la, min(CASE WHEN op AND abs(r) >= 0.6 THEN seq END) OVER (PARTITION BY symbol, event_idx) AS hi FROM j),
 l AS (SELECT symbol, event_idx, max(coalesce(hi, la)) AS touch, max(la) AS la, max(CASE WHEN seq = coalesce(hi, la) AND op THEN r END) AS ret, max(CASE WHEN op THEN greatest(r, 0) / 0.6 END) AS u, max(CASE WHEN op THEN greatest(-r, 0) / 0.6 END) AS dn
   FROM h WHERE seq <= coalesce(hi, la) GROUP BY symbol, event_idx),
 lab AS (SELECT e.symbol, e.seq AS event_idx, coalesce(touch, e.seq) AS touch_idx, (CASE WHEN touch IS NULL THEN 0 WHEN coalesce(ret, 0) >= 0 THEN 1 ELSE -1 END)::TINYINT AS label,
   CASE WHEN touch IS NOT NULL THEN coalesce(ret, 0) END AS ret,
   CASE WHEN touch IS NULL THEN NULL WHEN touch < la THEN 1.0 ELSE least(1.0, CASE WHEN coalesce(ret, 0) > 0 THEN u / (1 + coalesce(dn, 0)) WHEN dn IS NOT NULL THEN dn / (1 + coalesce(u, 0)) END) END AS vw
-  FROM t e LEFT JOIN l ON l.symbol = e.symbol AND l.event_idx = e.seq WHERE e.seq % 4 = 1),
+  FROM t e LEFT JOIN l ON l.symbol = e.symbol AND l.event_idx = e.seq),
 cc AS (SELECT t.symbol, t.seq, t.price, count(lab.event_idx) AS c FROM t LEFT JOIN lab ON lab.symbol = t.symbol AND t.seq BETWEEN lab.event_idx AND lab.touch_idx GROUP BY 1, 2, 3),
 cr AS (SELECT *, coalesce(ln(price) - ln(lag(price) OVER (PARTITION BY symbol ORDER BY seq)), 0) AS lr FROM cc),
 u AS (SELECT lab.symbol, lab.event_idx, any_value(touch_idx) AS touch_idx, any_value(label) AS label, any_value(vw) AS vw, avg(1.0 / c) AS avg_uniqueness, abs(sum(lr / c)) AS return_attribution FROM lab JOIN cr ON cr.symbol = lab.symbol AND cr.seq BETWEEN lab.event_idx AND lab.touch_idx GROUP BY 1, 2)"""
@@ -446,7 +532,17 @@ def _(s, d):
     return labelled(s, d)[1].select("symbol", "event_idx", "touch_idx", "label", "ret", "vertical_touch_weight")
 
 
-@register("lbl_04_events_to_labels")
+EVENTS = f"""f AS (SELECT symbol, ts_ns, stddev_samp(ret1) {w(5)} AS vol FROM b),
+ft AS (SELECT symbol, ts_ns, min(seq) AS seq, arg_min(price, seq) AS price FROM t GROUP BY 1, 2),
+lt AS (SELECT symbol, max(ts_ns) AS last FROM t GROUP BY symbol),
+ev AS (SELECT f.symbol, f.vol, ft.seq AS event_idx, ft.ts_ns AS start_ns, ft.price FROM f JOIN lt ON lt.symbol = f.symbol ASOF JOIN ft ON ft.symbol = f.symbol AND ft.ts_ns >= f.ts_ns WHERE f.vol >= 0.01 AND f.ts_ns + 172800000000000 <= lt.last),
+j AS (SELECT e.symbol, e.event_idx, e.vol, t.seq, t.ts_ns, ln(t.price) - ln(e.price) AS r, t.ts_ns - e.start_ns >= 1000000000 AS op FROM ev e JOIN t ON t.symbol = e.symbol AND t.seq > e.event_idx AND t.ts_ns <= e.start_ns + 172800000000000),
+h AS (SELECT *, max(seq) OVER (PARTITION BY symbol, event_idx) AS la, min(CASE WHEN op AND abs(r) >= vol THEN seq END) OVER (PARTITION BY symbol, event_idx) AS hi FROM j),
+l AS (SELECT symbol, event_idx, max(coalesce(hi, la)) AS touch, arg_max(ts_ns, seq) AS touch_ns, max(la) AS la, coalesce(max(CASE WHEN seq = coalesce(hi, la) AND op THEN r END), 0) AS ret, max(CASE WHEN op THEN greatest(r, 0) / vol END) AS u, max(CASE WHEN op THEN greatest(-r, 0) / vol END) AS dn FROM h WHERE seq <= coalesce(hi, la) GROUP BY symbol, event_idx)"""
+
+
+@register("lbl_04_events_to_labels", f"""WITH {EVENTS} SELECT e.symbol, e.event_idx, start_ns, vol AS target, coalesce(touch, e.event_idx) AS touch_idx, coalesce(touch_ns, start_ns) AS touch_ns, (CASE WHEN touch IS NULL THEN 0 WHEN ret >= 0 THEN 1 ELSE -1 END)::TINYINT AS label, CASE WHEN touch IS NOT NULL THEN ret END AS ret,
+  CASE WHEN touch IS NULL THEN NULL WHEN touch < la THEN 1.0 ELSE least(1.0, CASE WHEN ret > 0 THEN u / (1 + coalesce(dn, 0)) WHEN dn IS NOT NULL THEN dn / (1 + coalesce(u, 0)) END) END AS vertical_touch_weight FROM ev e LEFT JOIN l ON l.symbol = e.symbol AND l.event_idx = e.event_idx""", "symbol event_idx start_ns touch_idx touch_ns label", "target ret vertical_touch_weight")
 def _(s, d):
     f = bars(s, d).select("symbol", "ts_ns", F.stddev_samp("ret1").over(AX.rows(5)).alias("vol"))
     tb = L.TripleBarrier(f, "vol", 0.01, (1.0, 1.0), VERTICAL)
