@@ -61,6 +61,23 @@ def test_tick_rule(spark, prices, side):
     assert [r[0] for r in rows(T.add_side(trades(spark, prices)), "side")] == side
 
 
+def test_days_give_what_a_whole_symbol_gives(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    raw = [("AB"[k % 2], k, int(rng.integers(0, 40)) * 3600 * 8 * NS, float(rng.integers(1, 4)), 1.0) for k in range(400)]
+    df = spark.createDataFrame(raw, "symbol string, id long, ts_ns long, price double, amount double")
+    got = []
+    for chunk in (10**18, 86_400 * NS, 3600 * NS):  # one chunk, days, and chunks of one time
+        monkeypatch.setattr(T, "CHUNK_NS", chunk)
+        got.append(sorted(map(tuple, T.add_side(T.add_seq(df)).select("symbol", "seq", "id", "side").collect())))
+    assert got[0] == got[1] == got[2] and [r[1] for r in got[0] if r[0] == "A"] == list(range(200))
+    last, side, want = None, 0, []
+    for _, _, _, p, _ in sorted((r for r in raw if r[0] == "A"), key=lambda r: (r[2], r[1])):
+        side = side if last is None or p == last else 1 if p > last else -1
+        last = p
+        want.append(side)
+    assert [r[3] for r in got[0] if r[0] == "A"] == want
+
+
 def test_tick_size(spark):
     assert T.tick_size(trades(spark, [1.0, 1.1, 1.3, 1.2])) == pytest.approx(0.1)
     assert T.tick_size(trades(spark, [1.0, 1.0])) == 0.0

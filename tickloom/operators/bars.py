@@ -24,17 +24,16 @@ def ceil_to(ts: Column, step: int) -> Column:
 def time_bars(df: DataFrame, seconds: float) -> DataFrame:
     """Right-closed, left-open buckets of the epoch grid, labelled by their close; bar_id is the close in ns."""
     step = round(seconds * 1e9)
-    first = F.min("ts_ns").over(Window.partitionBy("symbol"))
-    d = df.withColumns({"bar_id": ceil_to(F.col("ts_ns"), step), "_c0": first - F.pmod(first, F.lit(step))})
+    starts = df.groupBy("symbol").agg(F.min("ts_ns").alias("_a")).select("symbol", (F.col("_a") - F.pmod("_a", F.lit(step))).alias("_c0"))  # a row a symbol
+    d = df.withColumn("bar_id", ceil_to(F.col("ts_ns"), step)).join(starts, "symbol")
     return d.where("bar_id <> _c0").drop("_c0").withColumn("bar_ts", F.col("bar_id"))
 
 
 def tick_bars(df: DataFrame, ticks: int) -> DataFrame:
     """Closed form: row i >= 1 closes when (i + 1) mod ticks = 0; the open tail is dropped."""
+    ends = df.groupBy("symbol").agg((F.max("seq") + 1).alias("_n"))  # a row a symbol
     d = df.where("seq >= 1").withColumn("bar_id", F.floor(F.col("seq") / ticks).cast("long") if ticks > 1 else F.col("seq") - 1)
-    last = Window.partitionBy("symbol")
-    n = F.max("seq").over(last) + 1
-    return d.withColumn("_n", n).where((F.col("bar_id") + 1) * max(ticks, 1) <= F.col("_n") if ticks > 1 else F.lit(True)).drop("_n")
+    return d.join(ends, "symbol").where((F.col("bar_id") + 1) * max(ticks, 1) <= F.col("_n") if ticks > 1 else F.lit(True)).drop("_n")
 
 
 def _from_closes(df: DataFrame, close: str, first: str | None = None) -> DataFrame:

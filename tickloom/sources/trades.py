@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+CHUNK_NS = 86_400_000_000_000
 #: ns in a unit
 UNITS = {"s": 1_000_000_000, "ms": 1_000_000, "us": 1_000, "ns": 1}
 FEED = T.StructType([T.StructField("symbol", T.StringType()), T.StructField("id", T.LongType()), T.StructField("ts", T.LongType()), T.StructField("price", T.DoubleType()), T.StructField("amount", T.DoubleType()), T.StructField("is_buyer_maker", T.BooleanType())])
@@ -40,7 +41,22 @@ def sort_trades(df: DataFrame) -> DataFrame:
     """The earliest row of each id (of equal times the least price, then amount), with seq in (time, id)."""
     first = F.row_number().over(Window.partitionBy("symbol", "id").orderBy("ts_ns", "price", "amount")) == 1
     df = df.withColumn("_first", first).where("_first").drop("_first")
-    return df.withColumn("seq", F.row_number().over(by_symbol("ts_ns", "id")).cast("long") - 1)
+    return add_seq(df)
+
+
+def chunk_of(ts_ns: Column) -> Column:
+    """Day number: what ordered steps over trades are cut by, so that a symbol is many tasks."""
+    return F.call_function("div", ts_ns, F.lit(CHUNK_NS))
+
+
+def add_seq(df: DataFrame) -> DataFrame:
+    """seq counts each symbol's rows in (time, id): rows are numbered within a day, on top of the counts of the days before."""
+    d = df.withColumn("_c", chunk_of(F.col("ts_ns")))
+    days = d.groupBy("symbol", "_c").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(by_symbol("_c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    days = days.select("symbol", "_c", before.alias("_n"))
+    at = F.row_number().over(Window.partitionBy("symbol", "_c").orderBy("ts_ns", "id"))
+    return d.join(days, ["symbol", "_c"]).withColumn("seq", F.col("_n") + at.cast("long") - 1).drop("_c", "_n")
 
 
 def integrity(df: DataFrame, max_gap_ns: int = 60_000_000_000) -> DataFrame:
@@ -72,16 +88,22 @@ def round_time(ts_ns: Column, resolution: str) -> Column:
     return ts_ns - ts_ns % UNITS[resolution]
 
 
-def tick_side(order: str = "seq") -> Column:
-    """Sign of the last price change; 0 before the first."""
-    w = by_symbol(order)
-    d = F.col("price") - F.lag("price").over(w)
+def _sign(d: Column) -> Column:
     return F.when(d > 1e-12, 1).when(d < -1e-12, -1)
 
 
 def add_side(df: DataFrame) -> DataFrame:
-    w = by_symbol("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("_d", tick_side()).withColumn("side", F.coalesce(F.last("_d", ignorenulls=True).over(w), F.lit(0)).cast("tinyint")).drop("_d")
+    """Side by the tick rule, day by day: a day takes the last price and side of the days before from one row a day."""
+    d = df.withColumn("_c", chunk_of(F.col("ts_ns")))
+    w = Window.partitionBy("symbol", "_c").orderBy("seq")
+    d = d.withColumns({"_d": _sign(F.col("price") - F.lag("price").over(w)), "_first": F.row_number().over(w) == 1})
+    days = d.groupBy("symbol", "_c").agg(F.min_by("price", "seq").alias("a"), F.max_by("price", "seq").alias("z"), F.max_by("_d", F.when(F.col("_d").isNotNull(), F.col("seq"))).alias("tail"))
+    by_day = by_symbol("_c")
+    days = days.withColumn("_head", _sign(F.col("a") - F.lag("z").over(by_day)))
+    days = days.withColumn("_before", F.last(F.coalesce("tail", "_head"), ignorenulls=True).over(by_day.rowsBetween(Window.unboundedPreceding, -1))).select("symbol", "_c", "_head", "_before")
+    d = d.join(days, ["symbol", "_c"]).withColumn("_d", F.when(F.col("_first"), F.col("_head")).otherwise(F.col("_d")))
+    side = F.coalesce(F.last("_d", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.col("_before"), F.lit(0)).cast("tinyint")
+    return d.withColumn("side", side).drop("_c", "_d", "_first", "_head", "_before")
 
 
 def in_order(df: DataFrame, ts: str = "ts_ns", order: str = "seq") -> DataFrame:
@@ -186,4 +208,4 @@ def from_events(spark: SparkSession, sf_dir: str, single: bool = False) -> DataF
 def ordered_trades(spark: SparkSession, sf_dir: str, single: bool = False) -> DataFrame:
     """from_events with seq and the tick rule's side."""
     d = from_events(spark, sf_dir, single)
-    return add_side(d.withColumn("seq", F.row_number().over(by_symbol("ts_ns", "id")).cast("long") - 1))
+    return add_side(add_seq(d))
