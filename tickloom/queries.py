@@ -353,6 +353,17 @@ def _(s, d):
     return FP.profile_rolling(footprint(s, d), 3 * 86_400, 9)
 
 
+@register("vp_02_profile_range", AREA.format(levels=f"SELECT a.symbol, a.bar_id, f.level::INT AS level, sum(buy_volume + sell_volume) AS volume FROM (SELECT symbol, bar_id FROM (SELECT DISTINCT symbol, bar_id, min(bar_id) OVER (PARTITION BY symbol) AS fb FROM k WHERE bar_id BETWEEN 1704500000000000000 - 259200000000000 AND 1705500000000000000) WHERE bar_id >= fb + 259200000000000 AND bar_id >= 1704500000000000000) a JOIN ({FP_CTE}) f ON f.symbol = a.symbol AND f.bar_id BETWEEN greatest(a.bar_id - 259200000000000, 1704500000000000000 - 259200000000000) AND a.bar_id GROUP BY 1, 2, 3"), *AREA_OUT)
+def _(s, d):
+    return FP.profile_range(footprint(s, d), 3 * 86_400, 1_704_500_000_000_000_000, 1_705_500_000_000_000_000, 9)
+
+
+@register("vp_08_trim_zeros", f"SELECT symbol, bar_id, level::INT AS level, volume FROM (SELECT *, min(CASE WHEN round(volume, 8) <> 0 THEN level END) OVER (PARTITION BY symbol, bar_id) AS a, max(CASE WHEN round(volume, 8) <> 0 THEN level END) OVER (PARTITION BY symbol, bar_id) AS z FROM (SELECT symbol, bar_id, level, buy_volume AS volume FROM ({FP_CTE}))) WHERE level BETWEEN a AND z", "symbol bar_id level", "volume")
+def _(s, d):
+    """Buy volumes, which are 0 at the levels that were only sold."""
+    return FP.trim_zeros(footprint(s, d).select("symbol", "bar_id", F.inline("fp")).select("symbol", "bar_id", "level", F.col("buy_volume").alias("volume")))
+
+
 @register("vp_09_profile_developing", AREA.format(levels=f"SELECT a.symbol, a.bar_id, f.level::INT AS level, sum(buy_volume + sell_volume) AS volume FROM (SELECT DISTINCT symbol, bar_id FROM k WHERE bar_id BETWEEN 1704500000000000000 AND 1705000000000000000) a JOIN ({FP_CTE}) f ON f.symbol = a.symbol AND f.bar_id BETWEEN 1704500000000000000 AND a.bar_id GROUP BY 1, 2, 3"), *AREA_OUT)
 def _(s, d):
     return FP.profile_developing(footprint(s, d), 1_704_500_000_000_000_000, 1_705_000_000_000_000_000, 9)
@@ -436,6 +447,26 @@ CSW = """(SELECT *, least(i - 1 - coalesce(max(CASE WHEN cumote_up16_flag > 0 TH
 feature("rec_10_cusum_test", X.CUSUMTest(16, 8, 20), ", ".join(f'{c.removeprefix("close_")} AS "{c}"' for c in X.CUSUMTest(16, 8, 20).produces), inner=CSW)
 
 
+#: the expanding test at every row from the ninth on
+GROWN = """(SELECT b.symbol, b.ts_ns, b.i, q.* EXCLUDE (symbol, i) FROM b LEFT JOIN (
+  SELECT symbol, i, max(x) AS stat_up, max(-x) AS stat_down, sqrt(4.6 + ln(arg_max(gap, x))) AS crit_up, sqrt(4.6 + ln(arg_max(gap, -x))) AS crit_down FROM (
+    SELECT a.symbol, a.i, a.i - c.i AS gap, (ln(a.close) - ln(c.close)) / (sd * sqrt(a.i - c.i)) AS x
+    FROM (SELECT *, sqrt(sum(mv * mv) OVER (PARTITION BY symbol ORDER BY i) / nullif(i - 2, 0)) AS sd FROM (SELECT *, ln(close) - ln(lag(close) OVER (PARTITION BY symbol ORDER BY i)) AS mv FROM b)) a
+    JOIN b c ON c.symbol = a.symbol AND c.i BETWEEN 2 AND a.i - 2 WHERE a.i >= {first} AND sd > 0) GROUP BY symbol, i) q ON q.symbol = b.symbol AND q.i = b.i)"""
+BREAKS = ["stat_up", "stat_down", "crit_up", "crit_down"]
+
+
+@register("rec_12_cusum_developing", f"SELECT * FROM {GROWN.format(first=9)}", "symbol ts_ns", " ".join(BREAKS))
+def _(s, d):
+    t = X.CUSUMDeveloping(8)
+    return t(bars(s, d), AX).select("symbol", "ts_ns", *[F.col(c).alias(f"{c.split('_')[2]}_{c.split('_')[3]}") for c in t.produces])
+
+
+@register("rec_12_cusum_last", f"SELECT * FROM {GROWN.format(first=4)} QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts_ns DESC) = 1", "symbol", " ".join(BREAKS))
+def _(s, d):
+    return X.cusum_last(bars(s, d))
+
+
 @register("win_16_rolling_variance", f"SELECT symbol, ts_ns, CASE WHEN count(ret1) {w(6)} >= 3 THEN var_samp(ret1) {w(6)} END AS v FROM b", "symbol ts_ns", "v")
 def _(s, d):
     from .functions.series import rolling_variance
@@ -549,6 +580,12 @@ def _(s, d):
     return tb.compute_labels(trades(s, d))
 
 
+@register("lbl_05_event_range", f"SELECT symbol, count(*) AS events, min(ts_ns) AS first_ns, max(ts_ns) AS last_ns FROM (SELECT symbol, ts_ns, stddev_samp(ret1) {w(5)} AS vol FROM b) WHERE vol >= 0.01 GROUP BY symbol", "symbol events first_ns last_ns")
+def _(s, d):
+    f = bars(s, d).select("symbol", "ts_ns", F.stddev_samp("ret1").over(AX.rows(5)).alias("vol"))
+    return L.TripleBarrier(f, "vol", 0.01, (1.0, 1.0), VERTICAL).event_range()
+
+
 @register("wgt_01_uniqueness", f"WITH {LABELS} SELECT symbol, event_idx, avg_uniqueness FROM u", "symbol event_idx", "avg_uniqueness")
 def _(s, d):
     t, l = labelled(s, d)
@@ -576,6 +613,23 @@ def _(s, d):
     return L.final_weights(L.info_weights(t, l), 0.5).select("symbol", "event_idx", "label", "class_weight", "weights")
 
 
+# ---- streams ------------------------------------------------------------------------------------------
+
+
+@register("str_01_time_bars", "SELECT symbol, (ts_ns + 21600000000000 - 1) // 21600000000000 * 21600000000000 AS bar_id, arg_min(price, (ts_ns, id)) AS open, max(price) AS high, min(price) AS low, arg_max(price, (ts_ns, id)) AS close, sum(amount) AS volume, count(*) AS trades, sum(price * amount) / sum(amount) AS vwap FROM t GROUP BY 1, 2", "symbol bar_id trades", "open high low close volume vwap")
+def _(s, d):
+    """The watermarked bars of a stream of the events' files, run until it has read them all; every bar of every batch is kept."""
+    from .streaming import bars as SB
+
+    schema = s.read.parquet(f"{d}/events.parquet").schema
+    e = s.readStream.schema(schema).parquet(f"{d}/events.parque[t]")
+    t = T.as_trades(e, F.col("user_id").cast("string"))
+    out = scratch(s, "stream-bars")
+    run = SB.time_bars(t, HOURS6).writeStream.outputMode("complete").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).foreachBatch(lambda b, _: b.write.mode("overwrite").parquet(f"{out}/bars")).start()
+    run.awaitTermination()
+    return s.read.parquet(f"{out}/bars").drop("bar_end")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One-hour bars with order flow."""
     t = trades(spark, sf_dir)

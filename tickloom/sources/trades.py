@@ -200,9 +200,12 @@ def median3(a: Column, b: Column, c: Column) -> Column:
 
 def from_events(spark: SparkSession, sf_dir: str, single: bool = False) -> DataFrame:
     """The synthetic feed: a symbol per user of ``events`` (or one for all), without sides."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return as_trades(spark.read.parquet(f"{sf_dir}/events.parquet"), F.lit("ALL") if single else F.col("user_id").cast("string"))
+
+
+def as_trades(events: DataFrame, symbol: Column) -> DataFrame:
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    return e.select((F.lit("ALL") if single else F.col("user_id").cast("string")).alias("symbol"), F.col("event_id").alias("id"), (micros * 1000).alias("ts_ns"), F.col("value").alias("price"), (F.get_json_object("props", "$.k").cast("double") + 1).alias("amount"))
+    return events.select(symbol.alias("symbol"), F.col("event_id").alias("id"), (micros * 1000).alias("ts_ns"), F.col("value").alias("price"), (F.get_json_object("props", "$.k").cast("double") + 1).alias("amount"))
 
 
 def ordered_trades(spark: SparkSession, sf_dir: str, single: bool = False) -> DataFrame:
