@@ -163,7 +163,7 @@ def _(s, d):
     return trades(s, d).select("symbol", "seq", T.median3(F.col("price"), F.col("amount"), F.lit(50.0)).alias("m"))
 
 
-@register("pre_10_tick_size", """SELECT symbol, list_reduce(w, lambda a, b: gcd(a, b)) / sc AS tick, round(m, (1 - floor(log10(m)))::INT) AS legacy FROM (
+@register("pre_10_tick_size", """SELECT symbol, list_reduce(w, lambda a, b: gcd(a, b)) / sc AS tick, floor(m * power(10.0::DOUBLE, 1 - floor(log10(m))) + 0.5 + 1e-9) / power(10.0::DOUBLE, 1 - floor(log10(m))) AS legacy FROM (
   SELECT symbol, m, sc, list_transform(st, lambda x: round_even(x * sc, 0)::BIGINT) AS w FROM (
   SELECT symbol, st, list_median(st) AS m, power(10.0::DOUBLE, -floor(log10(list_min(st)))) AS sc FROM (
   SELECT symbol, list_transform(range(1, len(ps)), lambda i: ps[i + 1] - ps[i]) AS st FROM (

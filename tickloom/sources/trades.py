@@ -155,12 +155,13 @@ def common_step(steps: list[float]) -> float:
 
 
 def median_step(steps: list[float]) -> float:
-    """Legacy estimate: median step, to two significant digits."""
+    """Legacy estimate: median step, to two significant digits; a tie goes up, whatever the last bits of the difference."""
     if not steps:
         return 0.0
     s = sorted(steps)
     m = (s[len(s) // 2] + s[(len(s) - 1) // 2]) / 2
-    return round(m, 1 - floor(log10(m)))
+    scale = 10.0 ** (1 - floor(log10(m)))
+    return floor(m * scale + 0.5 + 1e-9) / scale
 
 
 def tick_sizes(df: DataFrame, most: int = 10_000) -> DataFrame:
