@@ -187,16 +187,20 @@ def _(s, d):
     return S.gaps(trades(s, d), 36_000_000_000_000)
 
 
-@register("sto_01_store_round_trip", """SELECT m.symbol, m.month, record_count, first_ns, last_ns, n_in_range, missing_pct, coalesce(gaps, 0) = 0 AS data_integrity_ok, coalesce(gaps, 0) AS gaps FROM (
+MOVED = "(SELECT 'S' || user_id % 4 AS symbol, event_id AS id, epoch_us(ts) * 1000 + 1296000000000000 AS ts_ns FROM events)"
+
+
+@register("sto_01_store_round_trip", f"""SELECT m.symbol, m.month, record_count, first_ns, last_ns, n_in_range, missing_pct, coalesce(gaps, 0) = 0 AS data_integrity_ok, coalesce(gaps, 0) AS gaps FROM (
   SELECT symbol, month, count(*) AS record_count, min(ts_ns) AS first_ns, max(ts_ns) AS last_ns, count(*) FILTER (ts_ns BETWEEN 1706500000000000000 AND 1707000000000000000) AS n_in_range, 100.0 * (max(id) - min(id) + 1 - count(DISTINCT id)) / count(*) AS missing_pct
-  FROM (SELECT *, strftime(make_timestamp(ts_ns // 1000), '%Y-%m') AS month FROM (SELECT symbol, id, ts_ns + 1296000000000000 AS ts_ns FROM t)) GROUP BY 1, 2) m
-  LEFT JOIN (SELECT symbol, strftime(make_timestamp((ts_ns + 1296000000000000) // 1000), '%Y-%m') AS month, count(*) AS gaps FROM (
-    SELECT symbol, id, ts_ns, lag(id) OVER (PARTITION BY symbol ORDER BY id) AS p, lag(ts_ns) OVER (PARTITION BY symbol ORDER BY id) AS pt FROM t) WHERE id - p > 1 AND ts_ns - pt > 86400000000000 GROUP BY 1, 2) g ON g.symbol = m.symbol AND g.month = m.month""", "symbol month record_count first_ns last_ns n_in_range data_integrity_ok gaps", "missing_pct")
+  FROM (SELECT *, strftime(make_timestamp(ts_ns // 1000), '%Y-%m') AS month FROM {MOVED}) GROUP BY 1, 2) m
+  LEFT JOIN (SELECT symbol, strftime(make_timestamp(ts_ns // 1000), '%Y-%m') AS month, count(*) AS gaps FROM (
+    SELECT symbol, id, ts_ns, lag(id) OVER (PARTITION BY symbol ORDER BY id) AS p, lag(ts_ns) OVER (PARTITION BY symbol ORDER BY id) AS pt FROM {MOVED}) WHERE id - p > 1 AND ts_ns - pt > 7200000000000 GROUP BY 1, 2) g ON g.symbol = m.symbol AND g.month = m.month""", "symbol month record_count first_ns last_ns n_in_range data_integrity_ok gaps", "missing_pct")
 def _(s, d):
-    """Trades moved by 15 days, so that they span two months, are saved month by month; metadata, flags, gaps and a range are read back."""
-    t = trades(s, d).withColumn("ts_ns", F.col("ts_ns") + 1_296_000_000_000_000)
+    """Trades of four symbols, moved by 15 days so that they span two months, are saved month by month; metadata, flags, gaps and a range are read back."""
+    e = s.read.parquet(f"{d}/events.parquet")
+    t = T.add_seq(T.as_trades(e, F.concat(F.lit("S"), F.col("user_id") % 4)).withColumn("ts_ns", F.col("ts_ns") + 1_296_000_000_000_000))
     st = S.TradeStore(s, scratch(s, "store"))
-    gaps = T.integrity(t, 86_400_000_000_000)
+    gaps = T.integrity(t, 7_200_000_000_000)
     for month in ("2024-01", "2024-02"):
         st.save(t.where(S.month_of(F.col("ts_ns")) == month), integrity_table=gaps.where(S.month_of(F.col("post_gap_ns")) == month))
     ranged = st.load(start_ns=1_706_500_000_000_000_000, end_ns=1_707_000_000_000_000_000).groupBy("symbol", "month").agg(F.count(F.lit(1)).alias("n_in_range"))
