@@ -15,6 +15,7 @@ SPACES = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 BATCH_BYTES = 4 << 20
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _roots: dict[str, str] = {}
 
@@ -52,7 +53,7 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches of this session by ``BATCH_BYTES``.
+    """Bound the Arrow batches of this session by ``BATCH_BYTES``, for good, as plans run after this returns.
 
     The default of 64 MB or 10,000 rows is held several times over by each JVM task and its Python worker.
     """
@@ -70,8 +71,16 @@ class Stage:
         return f"{self.base}/{name}"
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df and read it back; the plan starts anew from the files."""
-        df.write.mode("overwrite").parquet(self.path(name))
+        """Write df and read it back; the plan starts anew from the files, and what was shuffled for them is deleted at once."""
+        before = self.spark.conf.get(FREE_SHUFFLES, None)
+        self.spark.conf.set(FREE_SHUFFLES, "true")
+        try:
+            df.write.mode("overwrite").parquet(self.path(name))
+        finally:
+            if before is None:
+                self.spark.conf.unset(FREE_SHUFFLES)
+            else:
+                self.spark.conf.set(FREE_SHUFFLES, before)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
@@ -79,6 +88,17 @@ class Stage:
             delete(self.spark, self.path(name))
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores added where df has such a column (in any case)."""
+    held = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in held:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -103,23 +123,34 @@ def partitions_for(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def aggregate(df: DataFrame, keys: list[str], *values: Column) -> DataFrame:
+    """df.groupBy(*keys).agg(*values), to be joined to other rows by the keys.
+
+    A hash of the keys is grouped by as well, so that the result is not dealt by the keys alone. A
+    join by them then has a plain exchange on both sides, and adaptive execution can split a hot
+    key; after a groupBy by the keys it could not.
+    """
+    (extra,) = free_names(df, "_apart")
+    return df.groupBy(*keys, (F.hash(*keys) % 2).alias(extra)).agg(*values).drop(extra)
+
+
 def connected_components(stage: Stage, edges: DataFrame, tag: str, max_rounds: int = 40) -> DataFrame:
     """(id, comp) for all ids of ``edges`` (a, b longs): comp is the least id reachable.
 
     Alternating large-star and small-star steps (Kiveris et al., 2014): the number of rounds grows
-    with the logarithm of the diameter, each is two shuffles of at most the edges, map-side
-    combined, so one hub costs no task more than its share. Every round is a written table.
+    with the logarithm of the diameter. Least neighbours are aggregated map-side, and adaptive
+    execution can split a hub where the edges are joined to them. Every round is a written table.
     """
     e = stage.put(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{tag}-0")
     last, before = f"{tag}-0", None
     for k in range(1, max_rounds):
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = aggregate(both, ["u"], F.least(F.min("v"), F.first("u")).alias("m"))
+        large = stage.put(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), f"{tag}-large")
+        least = aggregate(large, ["u"], F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         e = stage.put(small, f"{tag}-{k}")
-        stage.drop(last)
+        stage.drop(last, f"{tag}-large")
         last = f"{tag}-{k}"
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
