@@ -5,23 +5,30 @@ found. A suffix array over all documents is not built: every LENGTH-byte window
 the least hash of its ``GRAM``-byte substrings, which depends on its content alone, so equal
 windows meet under equal minimisers. Runs of windows with one minimiser are segments.
 
-1. Segments (minimiser, content hash, place) are dealt by minimiser. Segments of equal content are
-   repeated as a whole and are marked at once; only minimisers with several different contents,
-   or with several places in one, go on, with one witness for each content.
-2. The contents of a minimiser are brought into one task, many minimisers to a batch. The batch's
+1. Minimisers are counted by a grouped aggregate. Segments of a minimiser that stands once cannot
+   repeat and go no further. Of the others, segments of equal content are repeated as a whole and
+   are marked at once, each content goes on with one witness.
+2. A window has half of what is beside its minimiser or more on one side of it, so different
+   contents can share one only if they agree in the hash of the half on the left or on the right
+   of the minimiser. Contents that agree with none are done; of the others the side that agrees
+   with none is cut off.
+3. The contents of a minimiser are brought into one task, many minimisers to a batch. The batch's
    suffix array and Burrows-Wheeler transform are built, and intervals are extended backwards
    breadth-first from the empty string: boundaries appear by increasing common prefix, and the
    expansion stops at LENGTH - 1. Neighbours without a boundary share LENGTH bytes or more.
-3. A minimiser whose contents hold more than ``MOST_BYTES`` is not put into one task: its windows
+4. A minimiser whose contents hold more than ``MOST_BYTES`` is not put into one task: its windows
    are hashed one by one and counted by a grouped aggregation, which is exact as well.
-4. Marks are merged per document and joined to the texts.
+5. Marks are merged per document and joined to the texts.
+
+Joins by a hot key have a plain exchange on both sides, so that adaptive execution can split it.
+Tables that no later step reads are deleted.
 
 Rows are keyed by a hash of id and text, so repeated ids with different texts are separate, and
 identical rows count as two places.
 
 Defined cases: a null text is empty; texts shorter than LENGTH lose nothing; identical documents
 of LENGTH bytes or more lose everything; an empty table gives no rows. Equality of strings is by
-64-bit hashes in steps 1 and 3 and by bytes in step 2.
+64-bit hashes in steps 1 and 4 and by bytes in step 3.
 """
 
 from __future__ import annotations
@@ -32,10 +39,9 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Stage, partitions_for
+from .common import Stage, aggregate, free_names, partitions_for
 from .textops import chunks, column_bytes, mix, powers, prefix, span_hash, trimmed
 
 LENGTH, GRAM, POSITION_BITS = 200, 24, 24
@@ -43,15 +49,18 @@ MOST_BYTES, BATCH_BYTES, PIECE = 6 << 20, 1 << 19, 1 << 20
 
 
 def segments(data: np.ndarray, offs: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(minimiser, content hash, text number, start in text, bytes, several) of every segment.
+    """(minimiser, content hash, text number, start in text, bytes, several, left, left half, right half) of every segment.
 
     The least hash is looked for by its upper 40 bits, the leftmost on a tie; ``several`` tells that
-    the minimiser stands at more than one place of the segment, which may then repeat itself.
+    the minimiser stands at more than one place of the segment, which may then repeat itself. ``left``
+    counts the bytes before the minimiser. The halves are hashes of the minimiser with ``side`` bytes
+    before or after it, 0 where the segment has fewer: no window lacks both.
     """
     n = len(data)
     if n < length:
         z = np.zeros(0, np.int64)
-        return z.astype(np.uint64), z.astype(np.uint64), z, z, z, z.astype(bool)
+        u = z.astype(np.uint64)
+        return u, u, z, z, z, z.astype(bool), z, u, u
     p = prefix(data)
     _, down = powers(n + 1)
     g = mix((p[gram:] - p[:-gram]) * down[: n - gram + 1])
@@ -71,7 +80,15 @@ def segments(data: np.ndarray, offs: np.ndarray, length: int = LENGTH, gram: int
     turn = (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])
     s = np.flatnonzero(np.append(True, turn | ~inside[:-1]) & inside)
     e = np.flatnonzero(np.append(turn | ~inside[1:], True) & inside)
-    return value[s], span_hash(p, s, e + length), doc[s], s - offs[doc[s]], e + length - s, place[s] != place[e]
+    a, end, side = place[s], e + length, half(length, gram)
+    left = np.where(a - side >= s, span_hash(p, np.maximum(a - side, 0), a + gram), np.uint64(0))
+    right = np.where(a + gram + side <= end, span_hash(p, a, np.minimum(a + gram + side, n)), np.uint64(0))
+    return value[s], span_hash(p, s, end), doc[s], s - offs[doc[s]], end - s, a != place[e], a - s, left, right
+
+
+def half(length: int, gram: int) -> int:
+    """A window of ``length`` has as many bytes on one side of its minimiser at least."""
+    return (length - gram + 1) // 2
 
 
 def suffix_order(symbols: np.ndarray, separator: np.ndarray) -> np.ndarray:
@@ -85,7 +102,7 @@ def suffix_order(symbols: np.ndarray, separator: np.ndarray) -> np.ndarray:
     for k in range(h):
         pack = (pack << 9) | np.where(k < to_sep, padded[k : n + k], 0)
     tie = np.where(to_sep < h, np.arange(n) + to_sep, 0)
-    order = np.lexsort((tie, pack))
+    order = np.argsort(pack, kind="stable")  # of equal packs, those with a separator stand in its order already
     new = np.append(True, (np.diff(pack[order]) != 0) | (np.diff(tie[order]) != 0))
     rank = np.empty(n, np.int64)
     rank[order] = np.flatnonzero(new)[np.cumsum(new) - 1]
@@ -136,8 +153,10 @@ def repeated_starts(texts: list[np.ndarray], length: int) -> list[np.ndarray]:
         total = np.cumsum(width)
         q = np.arange(total[-1]) + np.repeat(left - (total - width), width)
         k = lf[q[again[q] >= np.repeat(fresh, width)]] + 1
-        fresh = np.unique(k[~bound[k]])
-        bound[fresh] = True
+        k = k[~bound[k]]
+        bound[k] = True
+        k.sort()
+        fresh = k[np.append(True, k[1:] != k[:-1])] if len(k) else k
     k = np.flatnonzero(~bound)
     starts = np.unique(np.concatenate([sa[k - 1], sa[k]]))
     text = np.searchsorted(ends, starts, side="right")
@@ -176,19 +195,35 @@ def find_repeats(docs: DataFrame, stage: Stage, length: int = LENGTH, most_bytes
                 step = 1 << (POSITION_BITS - 1)
                 for at in range(0, len(d), step) if b == a + 1 else (0,):  # a very long text in overlapping parts
                     part = d[at : at + step + length - 1] if b == a + 1 else d
-                    m, c, doc, start, size, several = segments(part, o if b > a + 1 else np.array([0, len(part)]), length)
-                    yield pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), pa.array(c.view(np.int64)), pa.array(rks[a:b][doc]), pa.array((start + at).astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(several)], ["anchor", "content", "rk", "start", "bytes", "several"])
-
-    segs = docs.mapInArrow(trimmed(cut), "anchor long, content long, rk long, start int, bytes int, several boolean")
-    order = W.partitionBy("anchor").orderBy("content", "rk", "start")
-    whole = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    s = segs.select("*", F.lag("content").over(order).alias("p"), F.lead("content").over(order).alias("n"), F.min("content").over(whole).alias("lo"), F.max("content").over(whole).alias("hi"))
-    same = lambda c: F.coalesce(F.col(c) == F.col("content"), F.lit(False))
-    s = s.select("anchor", "content", "rk", "start", "bytes", (same("p") | same("n")).alias("dup"), (~same("p") & ((F.col("lo") != F.col("hi")) | F.col("several"))).alias("witness")).where("dup OR witness")
-    s = s.withColumn("held", F.sum(F.when(F.col("witness"), F.col("bytes").cast("long"))).over(W.partitionBy("anchor")))
-    s = stage.put(s.withColumn("hot", F.col("held") > most_bytes).drop("held", "content"), "shared")
-
-    places = s.where("witness").groupBy("rk").agg(F.collect_list(F.struct("anchor", "start", "bytes", "dup", "hot")).alias("places"))
+                    m, c, doc, start, size, several, left, hl, hr = segments(part, o if b > a + 1 else np.array([0, len(part)]), length)
+                    halves = [pa.array(h.view(np.int64), mask=h == 0) for h in (hl, hr)]
+                    yield pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), pa.array(c.view(np.int64)), pa.array(rks[a:b][doc]), pa.array((start + at).astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(several), pa.array(left.astype(np.int32)), *halves], ["anchor", "content", "rk", "start", "bytes", "several", "left", "hl", "hr"])
+
+    segs = stage.put(docs.mapInArrow(trimmed(cut), "anchor long, content long, rk long, start int, bytes int, several boolean, left int, hl long, hr long"), "segments")
+    anchors = aggregate(segs, ["anchor"], F.count("*").alias("n"), (F.min("content") < F.max("content")).alias("mixed"), F.max("several").alias("bent"))
+    open_ = stage.put(segs.join(anchors.where("n > 1 OR bent").drop("n"), "anchor"), "open")
+    stage.drop("segments")
+    # a content's first place is its witness; all columns of a row are the same row's
+    first = [F.first(c).alias(c) for c in ("rk", "start", "bytes", "left", "hl", "hr", "mixed", "bent")]
+    contents = stage.put(open_.groupBy("anchor", "content").agg((F.count("*") > 1).alias("dup"), *first), "contents")
+    marked = stage.put(open_.join(contents.where("dup").select("anchor", "content"), ["anchor", "content"], "left_semi").select("rk", "start", "bytes"), "marked")
+    stage.drop("open")
+
+    tagged = {c: F.when(F.col(c).isNotNull(), F.xxhash64(F.lit(c), "anchor", c)) for c in ("hl", "hr")}
+    wide = contents.where("mixed OR bent").withColumns(tagged)
+    sides = wide.where("NOT bent").select(F.explode(F.array("hl", "hr")).alias("h")).where("h IS NOT NULL").groupBy("h").count().where("count > 1").select("h")
+    sides = stage.put(sides, "sides")
+    for c in ("hl", "hr"):
+        wide = wide.join(sides.select(F.col("h").alias(c), F.lit(True).alias(f"same_{c}")), c, "left")
+    near = wide.where("bent OR same_hl OR same_hr")
+    reach = half(length, GRAM) - 1  # bytes that a window has beyond the minimiser on a side that agrees with none
+    cut_left = F.when(~F.col("bent") & F.col("same_hl").isNull(), F.greatest(F.lit(0), F.col("left") - reach)).otherwise(0)
+    end = F.when(~F.col("bent") & F.col("same_hr").isNull(), F.least("bytes", F.col("left") + GRAM + reach)).otherwise(F.col("bytes"))
+    near = near.select("anchor", "rk", (F.col("start") + cut_left).cast("int").alias("start"), (end - cut_left).cast("int").alias("bytes"), "dup")
+    near = stage.put(near.where(F.col("bytes") >= length), "near")
+    held = stage.put(near.groupBy("anchor").agg(F.sum(F.col("bytes").cast("long")).alias("held")).where(F.col("held") > most_bytes).select("anchor", F.lit(True).alias("hot")), "hot")
+    places = aggregate(near.join(held, "anchor", "left"), ["rk"], F.collect_list(F.struct("anchor", "start", "bytes", "dup", "hot")).alias("places"))
+    stage.drop("contents", "sides")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,6 +239,7 @@ def find_repeats(docs: DataFrame, stage: Stage, length: int = LENGTH, most_bytes
 
     texts = docs.join(places, "rk").select("rk", "text", "places").mapInArrow(trimmed(fetch), "anchor long, rk long, start int, dup boolean, hot boolean, content binary")
     texts = stage.put(texts, "witnesses")
+    stage.drop("near")
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, last = [], 0, None
@@ -220,9 +256,11 @@ def find_repeats(docs: DataFrame, stage: Stage, length: int = LENGTH, most_bytes
             yield _batch(held, length)
 
     cold = texts.where("NOT hot").select("anchor", "rk", "start", "dup", "content").repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(trimmed(expand), MARK)
-    marks = stage.put(s.where("dup").select("rk", "start", "bytes").unionByName(cold), "marks")
-    if s.where("hot").limit(1).count():
-        marks = marks.unionByName(_hot_windows(texts.where("hot"), stage, length))
+    marks = stage.put(marked.unionByName(cold), "marks")
+    if held.limit(1).count():
+        marks = stage.put(marks.unionByName(_hot_windows(texts.where("hot"), stage, length)), "all-marks")
+        stage.drop("marks", "windows")
+    stage.drop("witnesses", "marked", "hot")
     return marks
 
 
@@ -246,18 +284,19 @@ def _hot_windows(texts: DataFrame, stage: Stage, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(n, rks[k], np.int64)), pa.array((at + starts[k]).astype(np.int32)), pa.array(np.full(n, dups[k], bool))], ["h", "rk", "start", "dup"])
 
     w = stage.put(texts.select("rk", "start", "dup", "content").mapInArrow(trimmed(hashes), "h long, rk long, start int, dup boolean"), "windows")
-    twice = w.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    twice = aggregate(w, ["h"], F.count("*").alias("n")).where("n > 1").select("h")
     return w.where("NOT dup").join(twice, "h", "left_semi").select("rk", "start", F.lit(length).cast("int").alias("bytes"))
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, most_bytes: int = MOST_BYTES) -> DataFrame:
     """docs with n_bytes long, spans array<struct<start, end>> (removed byte runs) and kept binary, in place of columns of those names."""
     stage = Stage(docs.sparkSession, "repeats")
-    keep = [c for c in docs.columns if c not in ("n_bytes", "spans", "kept", "_rk", "_marks")]
-    keyed = docs.select(*keep, F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in keep if dict(docs.dtypes)[c] in ("string", "bigint", "int")]).alias("_rk"))
-    marks = find_repeats(keyed.select(F.col("_rk").alias("rk"), F.coalesce(F.col(text), F.lit("")).alias("text")), stage, length, most_bytes)
-    lists = marks.groupBy(F.col("rk").alias("_rk")).agg(F.collect_set(F.struct("start", "bytes")).alias("_marks"))
-    joined = keyed.join(lists, "_rk", "left").withColumn("_t", F.coalesce(F.col(text), F.lit("")))
+    keep = [c for c in docs.columns if c not in ("n_bytes", "spans", "kept")]
+    rk, found, body, out = free_names(docs, "_rk", "_marks", "_t", "_o")
+    keyed = docs.select(*keep, F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in keep if dict(docs.dtypes)[c] in ("string", "bigint", "int")]).alias(rk))
+    marks = find_repeats(keyed.select(F.col(rk).alias("rk"), F.coalesce(F.col(text), F.lit("")).alias("text")), stage, length, most_bytes)
+    lists = aggregate(marks.withColumnRenamed("rk", rk), [rk], F.collect_set(F.struct("start", "bytes")).alias(found))
+    joined = keyed.join(lists, rk, "left").withColumn(body, F.coalesce(F.col(text), F.lit("")))
 
     @F.pandas_udf("n_bytes long, spans array<struct<start:int,end:int>>, kept binary")
     def strip(texts: pd.Series, marks: pd.Series) -> pd.DataFrame:
@@ -278,4 +317,4 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, mo
             rows.append((len(b), [{"start": a, "end": e} for a, e in spans], kept))
         return pd.DataFrame(rows, columns=["n_bytes", "spans", "kept"])
 
-    return joined.withColumn("_o", strip("_t", "_marks")).select(*keep, "_o.n_bytes", "_o.spans", "_o.kept")
+    return joined.withColumn(out, strip(body, found)).select(*keep, f"{out}.n_bytes", f"{out}.spans", f"{out}.kept")
