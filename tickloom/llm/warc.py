@@ -8,19 +8,20 @@ writes a sidecar index of (offset, length) per record. ``read_records`` seeks to
 Streams are handled in blocks of ``BLOCK`` bytes; memory holds one record's payload at most while
 writing and one block while normalising. Files are written under a name of the task's attempt and
 renamed when complete, so that a repeated or speculative task leaves one whole file. They go to a
-shared folder by ``pyarrow.fs``, which opens file, hdfs, s3 and gs paths.
+shared folder by ``pyarrow.fs``, which opens file, hdfs, s3 (also s3a) and gs paths.
 
 Records (WARC/1.1): ``response`` holds an HTTP block with the payload; ``revisit`` (profile
 identical-payload-digest) holds no payload but its digest, length and the record it refers to.
 
-Defined cases: a null payload is empty; an empty table gives empty archives; repeated ids give
-repeated records; payloads of any length and with any bytes survive, also text that looks like
+Defined cases: a null payload is empty; an empty table gives empty archives; every row is a record,
+also one without an id (its record id is ``urn:page:``) and a repeated one (see ``classify``); payloads of any length and with any bytes survive, also text that looks like
 WARC headers, as records are cut by their length alone.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -31,27 +32,42 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stage, partitions_for
+from .common import Stage, aggregate, partitions_for
 
 BLOCK = 1 << 18
 GZIP = 31
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "path string, records long"
+COPIES = 10_000
 INDEX = "path string, offset long, length long, record_id string, record_type string"
 
 
-def classify(df: DataFrame, key: str, payload: str, least_bytes: int = 100) -> DataFrame:
-    """Adds digest, size, record_type and refers_to: of equal payloads of ``least_bytes`` or more, the smallest key is the response.
+def classify(df: DataFrame, key: str, payload: str, stage: Stage, least_bytes: int = 100) -> DataFrame:
+    """(key, payload, digest, size, record_type, refers_to): of equal payloads of ``least_bytes`` or more, one row with the smallest key is the response.
 
-    Only (key, digest) is joined, never a payload; the aggregation combines map-side and the join's
-    hot digests are split by adaptive execution.
+    The roles are settled on (key, digest) alone, counted map-side, and written; only rows that are
+    no plain response are in that table. It is joined back to the payloads once, by key and digest.
+    A row without a key revisits the smallest key; if no equal payload has a key, one such row is
+    the response. Of repeated rows (key and payload equal) one is the response, the others revisit
+    it: as a revisit holds no payload, these are made from their count.
     """
     body = F.encode(F.coalesce(F.col(payload), F.lit("")), "UTF-8")
     d = df.select(F.col(key).alias("key"), F.coalesce(F.col(payload), F.lit("")).alias("payload"), F.sha2(body, 256).alias("digest"), F.length(body).cast("long").alias("size"))
-    least = d.where(F.col("size") >= least_bytes).groupBy("digest").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    twins = d.where(F.col("size") >= least_bytes).select("key", "digest").join(least, "digest").where("key <> first").groupBy("key", "digest").agg(F.first("first").alias("refers_to"))
-    out = d.join(twins, ["key", "digest"], "left")
-    return out.select("key", "payload", "digest", "size", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit").alias("record_type"), "refers_to")
+    counted = stage.put(d.where(F.col("size") >= least_bytes).groupBy("key", "digest").agg(F.count("*").alias("n"), F.first("size").alias("size")), "counted")
+    least = aggregate(counted, ["digest"], F.min("key").alias("refers_to"), F.sum("n").alias("all")).where("all > 1").select("digest", "refers_to")
+    roles = counted.join(least, "digest").withColumn("one", F.col("key").eqNullSafe(F.col("refers_to")))
+    roles = stage.put(roles.where("NOT one OR n > 1").select(F.col("key").alias("k"), F.col("digest").alias("g"), "refers_to", "one", "n", F.col("size").alias("bytes")), "roles")
+    stage.drop("counted")
+    joined = d.join(roles.select("k", "g", "refers_to", "one"), d["key"].eqNullSafe(F.col("k")) & (d["digest"] == F.col("g")), "left")
+    out = joined.where("one IS NULL OR NOT one").select("key", "payload", "digest", "size", F.when(F.col("one").isNull(), "response").otherwise("revisit").alias("record_type"), "refers_to")
+    doubled = roles.where("one")
+    if not doubled.limit(1).count():
+        return out
+    first = joined.where("one").select("key", "payload", "digest", "size").dropDuplicates(["key", "digest"]).select("*", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
+    # the rest of a count, in blocks that are dealt out before they become rows
+    blocks = doubled.select("*", F.explode(F.expr(f"sequence(0L, (n - 2) div {COPIES})")).alias("b")).repartition(partitions_for(df.sparkSession), "k", "g", "b")
+    rest = blocks.select(F.col("k").alias("key"), F.col("g").alias("digest"), F.col("bytes").alias("size"), "refers_to", F.explode(F.expr(f"sequence(1L, least({COPIES}L, n - 1 - b * {COPIES}))")))
+    return out.unionByName(first).unionByName(rest.select("key", F.lit("").alias("payload"), "digest", "size", F.lit("revisit").alias("record_type"), "refers_to"))
 
 
 def record_head(key: int | None, kind: str, digest: str, size: int, refers_to: int | None) -> bytes:
@@ -59,7 +75,7 @@ def record_head(key: int | None, kind: str, digest: str, size: int, refers_to: i
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{name}>", "WARC-Date: 2024-01-01T00:00:00Z", f"WARC-Target-URI: urn:page:{name}", f"WARC-Payload-Digest: sha256:{digest}"]
     if kind == "revisit":
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:page:{refers_to}>", f"X-Payload-Length: {size}"]
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:page:{'' if refers_to is None else refers_to}>", f"X-Payload-Length: {size}"]
         http = b""
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(http) + (size if kind == 'response' else 0)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + http
@@ -72,9 +88,14 @@ def parse_head(head: bytes) -> dict[str, str]:
     return {k.decode().lower(): v.decode().strip() for k, _, v in (x.partition(b":") for x in lines if x)}
 
 
+def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
+    """File system and path of a folder's URI; Hadoop's s3a and s3n are s3."""
+    return pafs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", uri))
+
+
 def _open(folder: str, kind: str) -> tuple[pafs.FileSystem, str, str]:
     """(file system, temporary path, final path) of this task's file."""
-    fs, base = pafs.FileSystem.from_uri(folder)
+    fs, base = file_system(folder)
     fs.create_dir(base, recursive=True)
     t = TaskContext.get()
     part, attempt = (t.partitionId(), t.taskAttemptId()) if t else (0, 0)
@@ -156,7 +177,7 @@ def normalise(manifest: DataFrame, folder: str, level: int = 6) -> DataFrame:
                 yield from _normalise_one(path)
 
     def _normalise_one(path: str) -> Iterator[pa.RecordBatch]:
-        fs, base = pafs.FileSystem.from_uri(folder)
+        fs, base = file_system(folder)
         fs.create_dir(base, recursive=True)
         name = path.rsplit("/", 1)[1].replace("whole", "records")
         token = uuid.uuid4().hex[:8]
@@ -203,7 +224,7 @@ def read_records(index: DataFrame, root: str) -> DataFrame:
     schema = "page_id long, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, _ = pafs.FileSystem.from_uri(root)
+        fs, _ = file_system(root)
         held: dict[str, object] = {}
         for batch in batches:
             rows, size = [], 0
@@ -253,8 +274,8 @@ def archive(pages: DataFrame, key: str = "page_id", payload: str = "html", least
     spark = pages.sparkSession
     stage = Stage(spark, "warc")
     root = stage.path("files")
-    manifest = stage.put(write_archives(classify(pages, key, payload, least_bytes), root + "/whole"), "manifest")
+    manifest = stage.put(write_archives(classify(pages, key, payload, stage, least_bytes), root + "/whole"), "manifest")
     # the whole streams are unsplittable: one task a file
     index = stage.put(normalise(manifest.repartition(partitions_for(spark), "path"), root + "/records"), "index")
-    stage.drop("files/whole", "manifest")
+    stage.drop("files/whole", "manifest", "roles")
     return index, root
