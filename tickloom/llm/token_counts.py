@@ -16,12 +16,14 @@ The vocabulary is a tiktoken rank file, read on the driver and broadcast (refuse
 ``MAX_VOCABULARY_BYTES``).
 
 Defined cases: a null or empty text has no sections and no rows; repeated rows give repeated rows;
-offsets are given in characters and in bytes.
+runs of any length of one kind of character are encoded like short ones; columns beside id and text
+are not looked at; a null id is a null; an empty table gives no rows; offsets are given in characters and in bytes.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +34,7 @@ from pyspark.sql import functions as F
 from .textops import column_bytes
 
 MAX_VOCABULARY_BYTES = 64 << 20
+LONG_RUN = 10_000
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: fixed value: the pre-tokenisation pattern that belongs to the rank file
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -52,6 +55,25 @@ def encoder(raw: bytes):
     return _encoders[hash(raw)]
 
 
+#: fixed value: the White_Space characters of Unicode, a run of which the pattern cannot take in one piece
+BLANKS = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{%d,}" % LONG_RUN)
+
+
+def encode(enc, text: str) -> np.ndarray:
+    """Ids of the tokens of a text.
+
+    The pattern takes a run of white space less its last character, if a word follows, as one piece,
+    but fails on runs of some 500,000 characters. Long runs are cut out beforehand at that very
+    place and encoded as the piece that they are, so the tokens are the same.
+    """
+    parts, at = [], 0
+    for m in BLANKS.finditer(text):
+        end = m.end() if m.end() == len(text) else m.end() - 1
+        parts += [enc.encode_to_numpy(text[at : m.start()], disallowed_special=()), np.array(enc._encode_single_piece(text[m.start() : end]), np.uint32)]
+        at = end
+    return np.concatenate([*parts, enc.encode_to_numpy(text[at:], disallowed_special=())])
+
+
 def attribute(ends: np.ndarray, bounds: np.ndarray, rule: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(tokens, share, crossing) of each section from token ends and section bounds, both in bytes."""
     n = len(bounds) - 1
@@ -93,7 +115,7 @@ def count_sections(df: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, rule: st
                 b = data[offs[k] : offs[k + 1]]
                 if not len(b):
                     continue
-                ends = np.cumsum(sizes[enc.encode_to_numpy(texts[k].as_py(), disallowed_special=())])
+                ends = np.cumsum(sizes[encode(enc, texts[k].as_py())])
                 bounds = np.append(0, np.flatnonzero(b == 10) + 1)
                 if bounds[-1] != len(b):
                     bounds = np.append(bounds, len(b))
