@@ -6,8 +6,8 @@ negative. With class prior p and logistic loss it minimises
     p R+(positives) + max(0, R-(unlabelled) - p R-(positives))
 
 (Kiryo et al., 2017): the second term estimates the negatives' risk without negatives; where a
-batch drives it below zero, the step goes the other way. The prior is the share of positives among
-the labelled training rows, smoothed; if all labels are positive it is ``default_prior``.
+batch drives it below zero, the step goes the other way. The prior is estimated from the same two
+samples by best bin estimation; with fewer than ``least`` rows in one it is ``default_prior``.
 
 Features are relative frequencies of hashed byte-shape trigrams (letters by case, digits, white
 space and each punctuation mark are a shape) and a few text statistics, all over the whole text.
@@ -15,13 +15,13 @@ Labels, language, source and id are no inputs. The fit uses a bounded sample, ``
 and ``per_side`` unlabelled rows in the order of a hash; scoring covers every row.
 
 Defined cases: a null or empty text has zero features and the score of the bias; without any
-positive training row every score is the prior; repeated labels of a row count once each;
+positive training row every score is ``default_prior``; repeated labels of a row count once each;
 repeated rows are scored alike.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches
-from .textops import SPACE, chunks, column_bytes, prefix, span_hash, trimmed, words
+from .textops import SPACE, chunks, column_bytes, prefix, release_memory, span_hash, trimmed, words
 
 DIM = 2048
 STATS = 12
@@ -108,25 +108,21 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def nn_pu(pos: np.ndarray, unl: np.ndarray, prior: float, epochs: int, rate: float, decay: float, batch: int, seed: int) -> tuple[np.ndarray, float]:
-    """Linear logistic model by Adam on the non-negative PU risk."""
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def minimise(pos: np.ndarray, unl: np.ndarray, slopes: Callable, bias: float, epochs: int, rate: float, decay: float, batch: int, seed: int) -> tuple[np.ndarray, float]:
+    """Linear model by Adam; slopes(scores of positives, of unlabelled rows) are the risk's derivatives by each row's logit."""
     rng = np.random.default_rng(seed)
-    w, b = np.zeros(pos.shape[1]), float(np.log(prior / (1 - prior)))
+    w, b = np.zeros(pos.shape[1]), bias
     m1, m2, t = np.zeros(len(w) + 1), np.zeros(len(w) + 1), 0
-    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     steps = max(1, min(len(pos), len(unl)) // batch)
     for _ in range(epochs):
         pp, uu = np.array_split(rng.permutation(len(pos)), steps), np.array_split(rng.permutation(len(unl)), steps)
         for ip, iu in zip(pp, uu, strict=True):
             xp, xu = pos[ip], unl[iu]
-            sp, su = sig(xp @ w + b), sig(xu @ w + b)
-            # logistic losses: log(1 + e^-z) of a positive, log(1 + e^z) of a negative
-            negative = -np.log(np.maximum(1 - su, 1e-12)).mean() + prior * np.log(np.maximum(1 - sp, 1e-12)).mean()
-            gp, gn_u, gn_p = (sp - 1) / len(sp), su / len(su), sp / len(sp)
-            if negative >= 0:
-                a_p, a_u = prior * gp - prior * gn_p, gn_u
-            else:  # only undo the overfitted part
-                a_p, a_u = prior * gn_p, -gn_u
+            a_p, a_u = slopes(_sigmoid(xp @ w + b), _sigmoid(xu @ w + b))
             g = np.append(xp.T @ a_p + xu.T @ a_u + decay * w, a_p.sum() + a_u.sum())
             t += 1
             m1, m2 = 0.9 * m1 + 0.1 * g, 0.999 * m2 + 0.001 * g * g
@@ -135,36 +131,75 @@ def nn_pu(pos: np.ndarray, unl: np.ndarray, prior: float, epochs: int, rate: flo
     return w, b
 
 
-def fit(train: DataFrame, per_side: int = 3000, default_prior: float = 0.85, epochs: int = 40, rate: float = 0.005, decay: float = 1e-3, seed: int = 11) -> Model:
-    """train: (id, text, label), label 1, 0 or null (unlabelled)."""
+def pu_risk(sp: np.ndarray, su: np.ndarray, prior: float) -> tuple[float, float]:
+    """(positives' risk, estimate of the negatives' risk before it is clipped at 0) with logistic loss."""
+    low = lambda x: -np.log(np.maximum(x, 1e-12))
+    return prior * low(sp).mean(), low(1 - su).mean() - prior * low(1 - sp).mean()
+
+
+def pu_slopes(prior: float) -> Callable:
+    def slopes(sp: np.ndarray, su: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        gp, gn_u, gn_p = (sp - 1) / len(sp), su / len(su), sp / len(sp)
+        if pu_risk(sp, su, prior)[1] >= 0:
+            return prior * gp - prior * gn_p, gn_u
+        return prior * gn_p, -gn_u  # only undo the overfitted part
+
+    return slopes
+
+
+def nn_pu(pos: np.ndarray, unl: np.ndarray, prior: float, epochs: int, rate: float, decay: float, batch: int, seed: int) -> tuple[np.ndarray, float]:
+    """Linear logistic model by Adam on the non-negative PU risk."""
+    return minimise(pos, unl, pu_slopes(prior), float(np.log(prior / (1 - prior))), epochs, rate, decay, batch, seed)
+
+
+def best_bin(sp: np.ndarray, su: np.ndarray, delta: float = 0.1, gamma: float = 0.01) -> float:
+    """Share of positives among the unlabelled from scores of both (best bin estimation, Garg et al., 2021).
+
+    Above any score the unlabelled hold at least that share of what the positives hold; the bound is
+    read where it is tightest with its sampling error.
+    """
+    cut = np.sort(np.concatenate([sp, su]))
+    qp, qu = (1 - np.searchsorted(np.sort(x), cut) / len(x) for x in (sp, su))
+    error = (1 + gamma) * sum(np.sqrt(np.log(4 / delta) / 2 / len(x)) for x in (sp, su))
+    at = np.argmin((qu + error) / np.maximum(qp, 1e-12))
+    return float(qu[at] / qp[at])
+
+
+def class_prior(pos: np.ndarray, unl: np.ndarray, epochs: int, rate: float, decay: float, batch: int, seed: int) -> float:
+    """Prior from positives and unlabelled rows alone: a logistic model tells them apart on one half and is read on the other, both ways."""
+    against = lambda sp, su: ((sp - 1) / (2 * len(sp)), su / (2 * len(su)))
+    found = []
+    for k in (0, 1):
+        w, b = minimise(pos[k::2], unl[k::2], against, 0.0, epochs, rate, decay, batch, seed + k)
+        found.append(best_bin(pos[1 - k :: 2] @ w + b, unl[1 - k :: 2] @ w + b))
+    return min(0.99, max(0.01, float(np.mean(found))))
+
+
+def fit(train: DataFrame, per_side: int = 3000, default_prior: float = 0.85, least: int = 100, epochs: int = 40, rate: float = 0.005, decay: float = 1e-3, seed: int = 11) -> Model:
+    """train: (id, text, label); rows of label 1 are the positives, the labels of all others are not looked at."""
     small_batches(train.sparkSession)
-    counts = {r[0]: r[1] for r in train.groupBy("label").count().where("label IS NULL OR label IN (0, 1)").collect()}
-    n_pos, n_neg, n_all = counts.get(1, 0), counts.get(0, 0), sum(counts.values())
-    prior = min(0.99, (n_pos + 1) / (n_pos + n_neg + 2)) if n_neg else default_prior
+    n_pos, n_all = train.agg(F.count(F.when(F.col("label") == 1, 1)), F.count("*")).first()
     if not n_pos:
-        return Model(np.zeros(DIM + STATS), np.ones(DIM + STATS), np.zeros(DIM + STATS), float(np.log(prior / (1 - prior))))
-    unit = (F.xxhash64(F.lit(seed), "id") / F.lit(2.0**64)) + 0.5
-    # two independent draws: positives, and rows of all kinds whose labels are not looked at
-    as_pos = train.where("label = 1").withColumn("u", unit).where(F.col("u") <= 1.3 * (per_side + 20) / n_pos).orderBy("u", F.md5("text")).limit(per_side).select("text", F.lit(1).alias("side"))
-    as_unl = train.withColumn("u", (F.xxhash64(F.lit(seed + 1), "id") / F.lit(2.0**64)) + 0.5).where(F.col("u") <= 1.3 * (per_side + 20) / n_all).orderBy("u", F.md5("text")).limit(per_side).select("text", F.lit(0).alias("side"))
+        return Model(np.zeros(DIM + STATS), np.ones(DIM + STATS), np.zeros(DIM + STATS), float(np.log(default_prior / (1 - default_prior))))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offs = column_bytes(batch.column(0))
+            data, offs = column_bytes(batch.column(1))
             for a, b, d, o in chunks(data, offs, 1 << 19):
-                x = features(d, o)
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), pa.array([r.astype(np.float32).tobytes() for r in x], pa.binary())], ["side", "x"])
-
-    parts = {0: [], 1: []}
-    for df, side in ((as_pos, 1), (as_unl, 0)):
-        # into one float32 matrix per side, part by part: the driver holds each sample once
-        out = np.empty((per_side, DIM + STATS), np.float32)
-        n = 0
-        for v in df.mapInArrow(trimmed(extract), "side int, x binary").toArrow().column("x"):
-            out[n] = np.frombuffer(v.as_buffer(), np.float32)
-            n += 1
-        parts[side] = out[:n][np.argsort([r.tobytes()[:256] + r[DIM:].tobytes() for r in out[:n]], kind="stable")]
-        del out
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([r.tobytes() for r in features(d, o)], pa.binary())], ["u", "x"])
+
+    parts = {}
+    # two independent draws: positives, and rows of all kinds whose labels are not looked at
+    for side, rows, n in ((1, train.where("label = 1"), n_pos), (0, train, n_all)):
+        unit = (F.xxhash64(F.lit(seed + 1 - side), "id") / F.lit(2.0**64)) + 0.5
+        drawn = rows.withColumn("u", unit).where(F.col("u") <= 1.3 * (per_side + 20) / n)
+        # features are taken where the texts are; of a fixed size, so the rows' number bounds what is gathered
+        sample = drawn.select("u", "text").mapInArrow(trimmed(extract), "u double, x binary").orderBy("u", "x").limit(per_side).toArrow().column("x")
+        out = np.empty((len(sample), DIM + STATS), np.float32)
+        for k, v in enumerate(sample):
+            out[k] = np.frombuffer(v.as_buffer(), np.float32)
+        parts[side] = out
+        del sample
     mean = parts[0].mean(0, dtype=np.float64).astype(np.float32)
     scale = (parts[0].std(0) + 1e-3 * (np.arange(DIM + STATS) < DIM) + 1e-6).astype(np.float32)
     z = parts
@@ -172,7 +207,10 @@ def fit(train: DataFrame, per_side: int = 3000, default_prior: float = 0.85, epo
         v -= mean
         v /= scale
         np.clip(v, -8, 8, out=v)
+    prior = class_prior(z[1], z[0], epochs // 2, rate, decay, 256, seed) if min(map(len, z.values())) >= least else default_prior
     w, b = nn_pu(z[1], z[0], prior, epochs, rate, decay, 256, seed)
+    del parts, z
+    release_memory()
     return Model(mean, scale, w, b)
 
 
