@@ -16,8 +16,9 @@ single token is matched only by a document of that token alone, as a word in a t
 
 Training positions are first reduced inside the row: a position counts only if its first two
 tokens are a pair that the benchmark has (all masks begin with two ones), then only if its mask
-hash is in a second bit table. Both are bit tables of a fixed size in the plan, so what is shipped
-does not grow; with more benchmark items they let more positions through and the join decides.
+hash is in a second bit table. Both tables are in the plan and have ``BITS_EACH`` bits or more for
+each value, up to ``MOST_BITS`` (128 KB), so what is shipped is bounded; beyond some
+65,000 benchmark tokens they let more positions through and the join decides.
 
 Defined cases: null and empty texts and items match nothing; repeated items are reported under each
 id; repeated rows of documents give one row per id and item; empty tables give no rows.
@@ -33,7 +34,7 @@ from .common import Stage
 WINDOW, MAX_SUBSTITUTIONS = 13, 2
 #: each begins with two ones; together they hit any 13 tokens with up to two substitutions
 MASKS = ("1101001011", "11010111")
-PAIR_BITS, SEED_BITS = 1 << 17, 1 << 18
+LEAST_BITS, MOST_BITS, BITS_EACH = 1 << 16, 1 << 20, 16
 SEPARATORS = r"""[\x20\x09-\x0D.,;:!?"()\[\]]+"""
 #: beyond ASCII: a character that is a token (group 1), or a separator; apostrophes and hyphens are neither, like those of ASCII
 BEYOND_ASCII = r"([[^\x00-\x7F]&&[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}\u30FC\uFF70]&&[^\p{P}]])|[[^\x00-\x7F\u2010\u2011\u2018\u2019]&&[\p{P}\p{Z}\u0085\u200B]]"
@@ -53,6 +54,11 @@ def _seed(mask: str, h: str = "_h", i: str = "i") -> str:
     return f"xxhash64('{mask}', " + ", ".join(f"get({h}, {i} + {o})" for o in _ones(mask)) + ")"
 
 
+def table_bits(values: int) -> int:
+    """Bits of a table of so many values: a power of two."""
+    return min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_EACH * values - 1).bit_length())) if values else LEAST_BITS
+
+
 def _bit_table(values: DataFrame, bits: int) -> str:
     """SQL of a foldable array of longs: bit (v mod bits) is set for each value v. At most bits / 63 longs reach the driver."""
     rows = values.select(F.expr(f"pmod(v, {bits}L)").alias("b")).groupBy((F.col("b") / 63).cast("int").alias("k")).agg(F.expr("bit_or(shiftleft(1L, CAST(b % 63 AS int)))").alias("w")).collect()
@@ -92,17 +98,19 @@ def find_leaks(docs: DataFrame, bench: DataFrame, keys: list[str], text: str = "
     first_two = items.where("len > 1").select(F.explode(F.expr("transform(sequence(0, len - 2), i -> xxhash64(get(_h, i), get(_h, i + 1)))")).alias("v"))
     if not test.limit(1).count():
         first_two = first_two.where("false")
-    pairs, known = _bit_table(first_two, PAIR_BITS), _bit_table(test.select(F.col("seed").alias("v")), SEED_BITS)
+    tokens = items.agg(F.sum("len")).first()[0] or 0
+    pair_bits, seed_bits = table_bits(tokens), table_bits(len(MASKS) * tokens)
+    pairs, known = _bit_table(first_two, pair_bits), _bit_table(test.select(F.col("seed").alias("v")), seed_bits)
 
     d = docs.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], token_hashes(F.col(text)).alias("_h"))
     least = min(map(len, masks))
     start = "IF(size(_h) < {n}, CAST(array() AS array<int>), sequence(0, size(_h) - {n}))"
-    pair = _set_in(pairs, "xxhash64(get(_h, i), get(_h, i + 1))", PAIR_BITS)
+    pair = _set_in(pairs, "xxhash64(get(_h, i), get(_h, i + 1))", pair_bits)
     # explode_outer: explode's own filter on the array's size would be pushed down, and the tokens evaluated for each position
     d = d.withColumn("_c", F.expr(f"filter({start.format(n=least)}, i -> {pair})"))
     ids = [f"_k{i}" for i in range(len(keys))]
-    hit = [f"transform(filter(_c, i -> i <= size(_h) - {len(m)} AND {_set_in(known, _seed(m), SEED_BITS)}), i -> struct(i AS pos, {_seed(m)} AS seed, {len(m)} AS span))" for m in masks]
-    hit += [f"transform(filter(IF(size(_h) = 1, array(0), CAST(array() AS array<int>)), i -> {_set_in(known, _seed(m), SEED_BITS)}), i -> struct(i AS pos, {_seed(m)} AS seed, 1 AS span))" for m in alone]
+    hit = [f"transform(filter(_c, i -> i <= size(_h) - {len(m)} AND {_set_in(known, _seed(m), seed_bits)}), i -> struct(i AS pos, {_seed(m)} AS seed, {len(m)} AS span))" for m in masks]
+    hit += [f"transform(filter(IF(size(_h) = 1, array(0), CAST(array() AS array<int>)), i -> {_set_in(known, _seed(m), seed_bits)}), i -> struct(i AS pos, {_seed(m)} AS seed, 1 AS span))" for m in alone]
     d = d.withColumn("_s", F.expr(f"concat({', '.join(hit)})"))
     train = d.select(*ids, "_h", F.explode_outer("_s").alias("s")).where("s IS NOT NULL").select(*ids, F.col("s.pos").alias("at"), F.col("s.seed").alias("seed"), F.col("s.span").alias("span"), "_h")
     train = train.select(*ids, "at", "seed", "span", F.expr(around.format(w=WINDOW, p="at", none="-2L")).alias("here"))
@@ -111,7 +119,8 @@ def find_leaks(docs: DataFrame, bench: DataFrame, keys: list[str], text: str = "
     # windows of the alignment that begin within WINDOW tokens before the seed; a short item is one window
     n = f"IF(len < {WINDOW}, len, {WINDOW})"
     allowed = f"IF(len < {WINDOW}, 0, {MAX_SUBSTITUTIONS})"
-    same = "zip_with(here, there, (a, b) -> IF(a = b, 1, 0))"
+    # a window lies inside the text and the item: places beyond either outweigh all others
+    same = f"zip_with(here, there, (a, b) -> CASE WHEN a = -2L OR b = -1L THEN -{2 * WINDOW} WHEN a = b THEN 1 ELSE 0 END)"
     v = joined.select(*ids, "item_id", "at", F.expr(same).alias("same"), F.expr(n).alias("n"), F.expr(allowed).alias("sub"), F.expr(f"IF(len < {WINDOW}, array({WINDOW}), sequence(1, {WINDOW}))").alias("starts"))
     score = "aggregate(slice(same, f + 1, n), 0, (a, b) -> a + b)"
     v = v.withColumn("w", F.expr(f"filter(transform(starts, f -> struct(at - {WINDOW} + f AS p, {score} AS s)), x -> x.s >= n - sub)"))
