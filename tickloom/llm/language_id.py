@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import free_names
+
 DIM = 1 << 15
 LETTER = re.compile(r"[^\W\d_]")
 PIECE = 1 << 19
@@ -136,14 +138,16 @@ def _features(texts: list[str], idf: np.ndarray, scale: float) -> list[tuple[np.
     return out
 
 
-def fit(train: DataFrame, per_class: int = 600, calibration: int = 200, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.002, l2: float = 0.01, epochs: int = 3, max_classes: int = 1000, seed: int = 7) -> Model | None:
-    """train: (id, text, lang). Fits on ``per_class`` and calibrates on ``calibration`` more rows of each language."""
+def fit(train: DataFrame, per_class: int = 600, calibration: int = 200, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.002, l2: float = 0.01, epochs: int = 3, max_classes: int = 1000, most_rows: int = 20_000, seed: int = 7) -> Model | None:
+    """train: (id, text, lang). Fits on ``per_class`` and calibrates on ``calibration`` more rows of each language, fewer of each where that is over ``most_rows`` in all."""
     sizes = {r[0]: r[1] for r in train.groupBy("lang").count().orderBy("lang").limit(max_classes + 1).collect()}
     if not sizes or len(sizes) > max_classes:
         if sizes:
             raise ValueError(f"more than {max_classes} languages")
         return None
     classes = sorted(sizes)
+    less = min(1.0, most_rows / (len(classes) * (per_class + calibration)))
+    per_class, calibration = max(1, int(per_class * less)), max(1, int(calibration * less))
     df, n_docs = _document_frequencies(train)
     idf = np.log((1 + n_docs) / (1 + df)) + 1
     # a hash below a language's own threshold leaves a little over the wanted rows of it, whatever its share
@@ -211,4 +215,5 @@ def predict(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame
                 score += [float(p[j, b]) if s else 0.0 for j, (b, s) in enumerate(zip(best, seen, strict=True))]
             yield pd.DataFrame({"lang_pred": label, "score": score})
 
-    return df.withColumn("_p", classify(F.col(text))).select(*keep, "_p.lang_pred", "_p.score")
+    (found,) = free_names(df, "_p")
+    return df.withColumn(found, classify(F.col(text))).select(*keep, f"{found}.lang_pred", f"{found}.score")

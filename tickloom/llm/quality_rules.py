@@ -27,25 +27,32 @@ from pyspark.sql import functions as F
 from .common import Stage, split_words
 
 
+FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
 def with_figures(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long)."""
+    """df with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), in place of columns of those names."""
+    q = "_q_"
+    while any(c.lower().startswith(q) for c in df.columns):
+        q += "q_"
+    name, sql = lambda c: q + c, lambda x: F.expr(x.replace("_q_", q))
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    keep = [c for c in df.columns if not c.startswith("_q_")]
-    d = df.select(*keep, split_words(F.col(text)).alias("_q_w"), lines.alias("_q_l"), F.regexp_count(t, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"))
-    d = d.select(*keep, "n_symbols", F.size("_q_w").cast("long").alias("n_words"), F.length(F.array_join("_q_w", "")).cast("long").alias("word_chars"), (F.size("_q_l") - F.size(F.array_distinct("_q_l"))).cast("long").alias("n_dup_lines"), F.transform("_q_w", lambda x: F.xxhash64(x)).alias("_q_h"))
-    windows = F.expr("IF(n_words < 3, CAST(array() AS array<bigint>), transform(sequence(0, CAST(n_words AS int) - 3), i -> xxhash64(get(_q_h, i), get(_q_h, i + 1), get(_q_h, i + 2))))")
+    keep = [c for c in df.columns if c not in FIGURES]
+    d = df.select(*keep, split_words(F.col(text)).alias(name("w")), lines.alias(name("l")), F.regexp_count(t, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"))
+    d = d.select(*keep, "n_symbols", F.size(name("w")).cast("long").alias("n_words"), F.length(F.array_join(name("w"), "")).cast("long").alias("word_chars"), (F.size(name("l")) - F.size(F.array_distinct(name("l")))).cast("long").alias("n_dup_lines"), F.transform(name("w"), lambda x: F.xxhash64(x)).alias(name("h")))
+    windows = sql("IF(n_words < 3, CAST(array() AS array<bigint>), transform(sequence(0, CAST(n_words AS int) - 3), i -> xxhash64(get(_q_h, i), get(_q_h, i + 1), get(_q_h, i + 2))))")
     # the low bits hold the position: 20 of them, or as many as the text needs
-    low = F.expr("shiftleft(1L, greatest(20, CAST(ceil(log2(n_words + 2.0D)) AS int))) - 1")
-    d = d.select(*keep, "n_symbols", "n_words", "word_chars", "n_dup_lines", windows.alias("_q_t"), low.alias("_q_m"))
-    d = d.withColumn("_q_s", F.expr("sort_array(transform(_q_t, (x, i) -> (x & ~_q_m) | CAST(i AS bigint)))"))
+    low = sql("shiftleft(1L, greatest(20, CAST(ceil(log2(n_words + 2.0D)) AS int))) - 1")
+    d = d.select(*keep, "n_symbols", "n_words", "word_chars", "n_dup_lines", windows.alias(name("t")), low.alias(name("m")))
+    d = d.withColumn(name("s"), sql("sort_array(transform(_q_t, (x, i) -> (x & ~_q_m) | CAST(i AS bigint)))"))
     same = "coalesce(((get(_q_s, j {0}) ^ x) & ~_q_m) = 0L, false)"
     equal = "get(_q_t, CAST(get(_q_s, j {0}) & _q_m AS int)) = get(_q_t, CAST(x & _q_m AS int))"
     side = lambda a, b: f"({same.format(a)} AND ({equal.format(a)} OR ({same.format(b)} AND {equal.format(b)})))"
     at = f"sort_array(filter(transform(_q_s, (x, j) -> IF({side('+ 1', '+ 2')} OR {side('- 1', '- 2')}, x & _q_m, -1L)), p -> p >= 0L))"
-    d = d.withColumn("_q_p", F.expr(at))
+    d = d.withColumn(name("p"), sql(at))
     covered = "aggregate(transform(_q_p, (p, k) -> least(3L, coalesce(get(_q_p, k + 1) - p, 3L))), 0L, (a, b) -> a + b)"
-    return d.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", F.expr(covered).alias("n_repeat_words"))
+    return d.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", sql(covered).alias("n_repeat_words"))
 
 
 def base_failed(min_words: int = 50, max_repeat_percent: int = 50) -> Column:

@@ -9,6 +9,9 @@ joined: each url is exploded into its host suffixes, the empty one among them, a
 prefixes of the lengths that occur in the rules, an equi-join that broadcasts nothing. The lengths
 are in the plan; rules of N characters in all have at most sqrt(2 N) + 1 of them.
 
+Hosts are compared with A-Z lower-cased on both sides, other letters as they are. A rule with an
+empty host fits every url, also one without a host.
+
 Defined cases: a null url, or one without ``://``, has host and path '' and gets the default; an
 empty rule list gives the default everywhere; repeated urls are judged alike.
 """
@@ -22,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import LOWER, UPPER, ascii_lower, free_names
 
 MAX_TRIE_BYTES = 32 << 20
 
@@ -87,7 +90,7 @@ def url_path(url: Column) -> Column:
 def judge_urls(df: DataFrame, url: str, rules: list[tuple[str, str, str]], default: str = "allow", max_trie_bytes: int = MAX_TRIE_BYTES) -> DataFrame:
     """df with host, path, rule and verdict; columns of those names are replaced."""
     df = df.withColumns({"host": url_host(df[url]), "path": url_path(df[url])})
-    rules = [(h.lower(), p, v) for h, p, v in rules]
+    rules = [(h.translate(str.maketrans(UPPER, LOWER)), p, v) for h, p, v in rules]
     if sum(len(h) + len(p) + 64 for h, p, _ in rules) > max_trie_bytes:
         spark = df.sparkSession
         return _judge_by_join(df, spark.createDataFrame(rules, "host string, path string, verdict string"), default)
@@ -100,12 +103,13 @@ def judge_urls(df: DataFrame, url: str, rules: list[tuple[str, str, str]], defau
             found = [lookup(trie, h, p) or (None, default) for h, p in zip(hosts, paths, strict=True)]
             yield pd.DataFrame(found, columns=["rule", "verdict"])
 
-    keep = [c for c in df.columns if c not in ("rule", "verdict")]
-    return df.withColumn("_j", judge("host", "path")).select(*keep, "_j.rule", "_j.verdict")
+    keep, (found,) = [c for c in df.columns if c not in ("rule", "verdict")], free_names(df, "_j")
+    return df.withColumn(found, judge("host", "path")).select(*keep, f"{found}.rule", f"{found}.verdict")
 
 
 def _judge_by_join(df: DataFrame, rules: DataFrame, default: str) -> DataFrame:
     """The same verdicts for rule sets of any size: joined by (host suffix, path prefix), per distinct (host, path)."""
+    keep, (found,) = [c for c in df.columns if c not in ("rule", "verdict")], free_names(df, "_j")
     lengths = sorted(r[0] for r in rules.select(F.length("path")).distinct().collect())
     keys = df.select("host", "path").distinct()
     # rules with an empty host fit every host
@@ -115,6 +119,5 @@ def _judge_by_join(df: DataFrame, rules: DataFrame, default: str) -> DataFrame:
     prefix = F.transform(F.filter(known, lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
     cand = keys.withColumn("rh", F.explode(suffix)).withColumn("rp", F.explode(prefix))
     one = rules.groupBy(F.col("host").alias("rh"), F.col("path").alias("rp")).agg(F.max("verdict").alias("v"))
-    best = cand.join(one, ["rh", "rp"]).groupBy("host", "path").agg(F.max_by(F.struct(F.concat("rh", "rp").alias("rule"), F.col("v").alias("verdict")), F.struct(F.length("rh"), F.length("rp"))).alias("_j"))
-    keep = [c for c in df.columns if c not in ("rule", "verdict")]
-    return df.join(best, ["host", "path"], "left").select(*keep, "_j.rule", F.coalesce("_j.verdict", F.lit(default)).alias("verdict"))
+    best = cand.join(one, ["rh", "rp"]).groupBy("host", "path").agg(F.max_by(F.struct(F.concat("rh", "rp").alias("rule"), F.col("v").alias("verdict")), F.struct(F.length("rh"), F.length("rp"))).alias(found))
+    return df.join(best, ["host", "path"], "left").select(*keep, f"{found}.rule", F.coalesce(f"{found}.verdict", F.lit(default)).alias("verdict"))
