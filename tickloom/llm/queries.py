@@ -68,6 +68,14 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+OP3_SQL = r"""
+WITH d AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+p AS (SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha256(h) AS payload_digest FROM d),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first, row_number() OVER (PARTITION BY payload_digest ORDER BY page_id) AS k FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND k > 1 THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN payload_bytes >= 100 AND k > 1 THEN first END AS refers_to
+FROM f
+"""
+
 OP4_SQL = r"""
 WITH u AS (
   SELECT page_id,
@@ -83,6 +91,44 @@ SELECT u.page_id, host, path, best.rule AS rule, coalesce(best.v, 'allow') AS ve
 FROM u LEFT JOIN m USING (page_id)
 """
 
+#: tokens as in the operator: ASCII separators, other punctuation beyond ASCII, characters of unspaced scripts; ASCII punctuation that does not part tokens is moved out of the way
+OP5_SQL = r"""
+WITH s AS (SELECT 0 AS kind, doc_id AS id, coalesce(text, '') AS t FROM documents UNION ALL SELECT 1, item_id, coalesce(text, '') FROM benchmark),
+n AS (SELECT kind, id, row_number() OVER () AS k, regexp_replace(regexp_replace(translate(lower(t), '#%&''*-/@\_{}' || chr(8208) || chr(8209) || chr(8216) || chr(8217),
+        chr(57344) || chr(57345) || chr(57346) || chr(57347) || chr(57348) || chr(57349) || chr(57350) || chr(57351) || chr(57352) || chr(57353) || chr(57354) || chr(57355) || chr(57356) || chr(57357) || chr(57358) || chr(57359)),
+        '([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}])', ' \1 ', 'g'), '[\p{P}\p{Z}\x{85}\x{200B}\x09-\x0D]+', ' ', 'g') AS t FROM s),
+w AS (SELECT kind, id, k, list_filter(string_split(t, ' '), lambda x: x <> '') AS w FROM n),
+x AS (SELECT kind, id, k, len(w) AS n, unnest(w) AS tok, generate_subscripts(w, 1) - 1 AS pos FROM w),
+-- of 13 aligned tokens with two substitutions four in a row agree; shorter items agree as a whole
+g AS (SELECT *, hash(tok, lead(tok, 1) OVER o, lead(tok, 2) OVER o, lead(tok, 3) OVER o) AS four, pos + 3 < n AS ok FROM x WINDOW o AS (PARTITION BY kind, k ORDER BY pos)),
+a AS (SELECT DISTINCT d.k AS dk, d.id AS doc_id, d.n AS dn, b.k AS bk, b.id AS item_id, b.n AS bn, d.pos - b.pos AS shift FROM g d JOIN g b ON d.four = b.four AND d.ok AND b.ok AND d.kind = 0 AND b.kind = 1
+      UNION SELECT d.k, d.id, d.n, b.k, b.id, b.n, d.pos FROM x d JOIN x b ON d.tok = b.tok AND d.kind = 0 AND b.kind = 1 AND b.pos = 0 AND b.n < 13 AND (b.n > 1 OR d.n = 1)),
+e AS (SELECT a.*, b.pos, (d.tok = b.tok)::INT AS same FROM a JOIN x b ON b.kind = 1 AND b.k = a.bk JOIN x d ON d.kind = 0 AND d.k = a.dk AND d.pos = b.pos + a.shift),
+v AS (SELECT *, least(bn, 13) AS width, sum(same) OVER q AS hits, count(*) OVER q AS seen FROM e WINDOW q AS (PARTITION BY dk, bk, shift ORDER BY pos ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)),
+y AS (SELECT *, pos + shift AS p FROM v WHERE seen = width AND (bn >= 13 OR pos = 0) AND hits >= width - CASE WHEN bn < 13 THEN 0 ELSE 2 END)
+SELECT doc_id, item_id, min(p)::INT AS first_token, max(p + width - 1)::INT AS last_token, count(DISTINCT p) AS windows, max(hits)::INT AS best
+FROM y GROUP BY doc_id, item_id
+"""
+
+OP6_SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT k, hash(w[i], w[i + 1], w[i + 2]) AS h FROM (SELECT k, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3)
+      UNION SELECT k, hash(array_to_string(w, ' '), len(w)) FROM d WHERE len(w) IN (1, 2)),
+n AS (SELECT k, count(*) AS n FROM g GROUP BY k),
+f AS (SELECT k, n, doc_id, bit_xor(h) AS fx, sum(h::HUGEINT % 1000000007) AS fs FROM g JOIN n USING (k) JOIN d USING (k) GROUP BY ALL),
+c AS (SELECT k, n, min(k) OVER (PARTITION BY n, fx, fs) AS c FROM f),
+r AS (SELECT g.k, g.h, c.n FROM g JOIN c USING (k) WHERE c.k = c.c),
+l AS (SELECT a.k AS x, b.k AS y FROM r a JOIN r b ON a.h = b.h AND a.k < b.k AND 100 * a.n >= 90 * b.n AND 100 * b.n >= 90 * a.n
+      GROUP BY a.k, b.k, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+z(k, m) AS (SELECT k, k FROM c WHERE k = c UNION SELECT e.y, z.m FROM z JOIN e ON e.x = z.k),
+o AS (SELECT k, min(m) AS m FROM z GROUP BY k),
+q AS (SELECT c.k, o.m FROM c JOIN o ON o.k = c.c),
+b AS (SELECT q.m, min(doc_id) AS least FROM q JOIN d USING (k) GROUP BY q.m)
+SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(b.least, doc_id) AS component_id
+FROM d LEFT JOIN n USING (k) LEFT JOIN q USING (k) LEFT JOIN b USING (m)
+"""
+
 OP8_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
@@ -109,6 +155,20 @@ SELECT doc_id, size, source_size, target,
 FROM p
 """
 
+#: hexadecimal digits stand for bytes; windows are read from pieces of 1000 starts
+OP9_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+p AS (SELECT k, j * 1000 AS base, substr(x, j * 2000 + 1, 2398) AS x FROM (SELECT k, x, unnest(range(0, (length(x) // 2 + 999) // 1000)) AS j FROM d)),
+s AS (SELECT k, base + i AS pos, hash(substr(x, 2 * i + 1, 400)) AS h FROM (SELECT k, base, x, unnest(range(0, greatest(0, least(1000, length(x) // 2 - 199)))) AS i FROM p)),
+t AS (SELECT k, pos FROM (SELECT k, pos, count(*) OVER (PARTITION BY h) AS n FROM s) WHERE n > 1),
+r AS (SELECT k, pos, sum(fresh) OVER (PARTITION BY k ORDER BY pos) AS run FROM (SELECT k, pos, CASE WHEN pos - lag(pos) OVER (PARTITION BY k ORDER BY pos) <= 200 THEN 0 ELSE 1 END AS fresh FROM t)),
+u AS (SELECT k, run, min(pos) AS a, max(pos) + 200 AS e FROM r GROUP BY k, run),
+g AS (SELECT u.k, a, e, lag(e, 1, 0) OVER (PARTITION BY u.k ORDER BY a) AS before FROM u),
+m AS (SELECT g.k, sum(e - a)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(substr(d.x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head, max(e) AS last FROM g JOIN d USING (k) GROUP BY g.k)
+SELECT doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(head, '') || substr(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN m USING (k)
+"""
+
 OP10_SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () AS k, doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
@@ -134,4 +194,4 @@ FROM b JOIN v ON b.source IS NOT DISTINCT FROM v.source
 """
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_warc, op4_url_filter, op5_decontamination, op6_jaccard_join, op7_quality_classifier, op8_mixing, op9_suffix_dedup, op10_quality_rules)}
-ORACLES = {"op4_url_filter": OP4_SQL, "op8_mixing": OP8_SQL, "op10_quality_rules": OP10_SQL}
+ORACLES = {"op3_warc": OP3_SQL, "op4_url_filter": OP4_SQL, "op5_decontamination": OP5_SQL, "op6_jaccard_join": OP6_SQL, "op8_mixing": OP8_SQL, "op9_suffix_dedup": OP9_SQL, "op10_quality_rules": OP10_SQL}
