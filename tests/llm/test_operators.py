@@ -113,7 +113,7 @@ def test_parity_bits_bound_the_difference():
         b = np.unique(np.concatenate([a[: n - n // 12], rng.integers(0, 2**63, n // 12, dtype=np.uint64)]))
         band = layout.of(n)[0]
         x, y = layout.sketch(a, band), layout.sketch(b, band)
-        assert np.unpackbits(x ^ y).sum() <= len(np.setxor1d(a, b))
+        assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
 
 
 def test_jaccard_edges(spark, edge, empty):
@@ -327,6 +327,35 @@ def test_archives_round_trip(spark):
     assert warc.read_records(index, root).count() == 0
 
 
+def test_archives_of_odd_rows(spark, monkeypatch):
+    x = "x" * 120
+    rows = [(1, x), (1, x), (None, x), (2, x), (2, x), (None, "y" * 150), (None, "y" * 150), (3, "short"), (3, "short"), (4, None), (4, None)]
+    df = spark.createDataFrame(rows, "page_id long, html string").withColumns({c: F.lit("q") for c in ("key", "digest", "size", "refers_to", "k")})
+    for copies in (warc.COPIES, 2):  # repeated rows in one block, and in several
+        monkeypatch.setattr(warc, "COPIES", copies)
+        got = Counter((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.read_records(*warc.archive(df.repartition(3))).collect())
+        assert got == Counter({(1, 120, "response", None): 1, (1, 120, "revisit", 1): 1, (None, 120, "revisit", 1): 1, (2, 120, "revisit", 1): 2, (None, 150, "response", None): 1, (None, 150, "revisit", None): 1, (3, 5, "response", None): 2, (4, 0, "response", None): 2}), copies
+    assert warc.file_system("file:///tmp/a")[1] == "/tmp/a"
+
+
+def test_columns_of_the_operators_own_names_stay(spark):
+    names = ("_j", "_p", "_t", "_o", "_rk", "_marks", "_q_w", "_q_h", "_row")
+    df = spark.createDataFrame([(1, "http://a.com/x", "one two"), (2, None, None)], "doc_id long, url string, text string").withColumns({n: F.lit(n) for n in names}).withColumn("n_words", F.lit("old"))
+    rules = [("com", "/x", "block"), ("", "", "allow")]
+    model = language_id.Model(["a"], np.zeros((language_id.DIM, 1), np.float32), np.zeros(1))
+    for out in (url_filter.judge_urls(df, "url", rules), url_filter.judge_urls(df, "url", rules, max_trie_bytes=0), language_id.predict(df, model), repeats.remove_repeats(df), quality_rules.with_figures(df)):
+        assert len(set(out.columns)) == len(out.columns)
+        assert all(r[n] == n for r in out.collect() for n in names)
+    assert [r.n_words for r in quality_rules.with_figures(df).orderBy("doc_id").collect()] == [2, 0]
+
+
+def test_hosts_beyond_ascii(spark):
+    df = spark.createDataFrame([(1, "http://MÜNCHEN.de/a"), (2, "http://münchen.DE/a")], "id long, url string")
+    for size in (url_filter.MAX_TRIE_BYTES, 0):
+        got = {r.id: r.verdict for r in url_filter.judge_urls(df, "url", [("mÜnchen.DE", "/a", "block")], max_trie_bytes=size).collect()}
+        assert got == {1: "block", 2: "allow"}
+
+
 def test_tokens_add_up_and_match_offsets(spark):
     tokenizers = pytest.importorskip("tokenizers")
     path = token_counts.DEFAULT_VOCABULARY
@@ -349,6 +378,52 @@ def test_tokens_add_up_and_match_offsets(spark):
         token_counts.count_sections(spark.createDataFrame(rows, "doc_id long, text string"), rule="other")
 
 
+def brute_sections(lengths, text, rule):
+    """(tokens, crossing) of each line: every token's bytes are looked up one by one."""
+    data, line, at = text.encode(), [], 0
+    for b in data:
+        line.append(at)
+        at += b == 10
+    tokens, crossing, pos = Counter(), Counter(), 0
+    for n in lengths:
+        held = Counter(line[pos : pos + n])
+        pos += n
+        tokens[min(held) if rule == "start" else min(held, key=lambda s: (-held[s], s))] += 1
+        if len(held) > 1:
+            crossing.update(held.keys())
+    return [(tokens[s], crossing[s]) for s in range((max(line) + 1) if line else 0)]
+
+
+def test_tokens_of_sections_equal_brute_force(spark):
+    enc, sizes = token_counts.encoder(open(token_counts.DEFAULT_VOCABULARY, "rb").read())
+    rng = random.Random(5)
+    pieces = ["word", " ", "  ", "\n", "\n\n", " \n \n", "\t\n", "é", "漢字", "12", "!", "\r\n", "    \n"]
+    made = [(i, "".join(rng.choice(pieces) for _ in range(rng.randrange(1, 60)))) for i in range(300)]
+    for rule in ("start", "majority"):
+        got = defaultdict(list)
+        for r in token_counts.count_sections(spark.createDataFrame(made, "doc_id long, text string"), rule=rule).collect():
+            got[r.doc_id].append((r.section, r.tokens, r.crossing))
+        for i, t in made:
+            want = brute_sections(sizes[enc.encode_to_numpy(t, disallowed_special=())].tolist(), t, rule)
+            assert [(tok, c) for _, tok, c in sorted(got[i])] == want, (t, rule)
+    ends, bounds = np.array([4, 10]), np.array([0, 2, 4, 7, 10])  # ties, and a token over three lines
+    assert token_counts.attribute(np.array([4, 10]), np.array([0, 2, 5, 7, 10]), "majority")[0].tolist() == [1, 0, 0, 1]
+    assert token_counts.attribute(ends, bounds, "majority")[0].tolist() == [1, 0, 1, 0]
+
+
+def test_tokens_of_long_runs(spark, monkeypatch):
+    enc, sizes = token_counts.encoder(open(token_counts.DEFAULT_VOCABULARY, "rb").read())
+    rows = [(1, "a" + " " * 1_000_000 + "b\n"), (2, "\n" * 600_000), (3, "x" * 1_000_000), (4, " \u3000" * 300_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("x") for c in ("section", "tokens", "share")})
+    out = token_counts.count_sections(df).groupBy("doc_id").agg(F.sum("tokens").alias("n"), F.max("byte_end").alias("bytes")).collect()
+    assert {r.doc_id: r.bytes for r in out} == {i: len(t.encode()) for i, t in rows} and all(r.n > 0 for r in out)
+    monkeypatch.setattr(token_counts, "BLANKS", re.compile(token_counts.BLANKS.pattern.replace(str(token_counts.LONG_RUN), "3")))
+    rng = random.Random(2)
+    for _ in range(300):
+        t = "".join(rng.choice(["ab", " ", "\n", "\t", "12", "!", "é'll"]) * rng.choice([1, 2, 5, 30]) for _ in range(rng.randrange(1, 12)))
+        assert token_counts.encode(enc, t).tolist() == enc.encode_to_numpy(t, disallowed_special=()).tolist()
+
+
 def test_language_is_learned(spark, edge, empty):
     out = queries.op2_language_id(spark, SF)
     true = {r.doc_id: r.lang for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
@@ -367,6 +442,72 @@ def test_ftrl_weights_are_sparse():
     assert w[0, 0] > 0 > w[0, 1] and np.count_nonzero(w) <= 6
 
 
+def test_temperature_is_the_best_of_a_grid():
+    rng = np.random.default_rng(1)
+    y = rng.integers(0, 3, 600)
+    z = rng.normal(0, 1, (600, 3)) + 1.5 * np.eye(3)[y]
+    for stretch in (0.2, 1.0, 6.0):  # logits too flat, right and too steep
+        loss = lambda t, z=z * stretch: -np.log(language_id.softmax(z / t)[np.arange(600), y]).mean()
+        assert loss(language_id._temperature(z * stretch, y)) <= min(loss(t) for t in np.exp(np.linspace(np.log(0.06), np.log(19), 300))) + 1e-6
+
+
+def test_ftrl_equals_its_formula():
+    """One coordinate at a time, step by step, against the update as published."""
+    rng, alpha, beta, l1, l2 = np.random.default_rng(0), 0.5, 1.0, 0.05, 0.1
+    rows = [(np.append(rng.choice(6, 3, replace=False), language_id.DIM), np.append(rng.normal(size=3), 1.0), int(rng.integers(3))) for _ in range(60)]
+    got, bias = language_id.ftrl(rows, 3, alpha, beta, l1, l2, 2, 4)
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(k):
+        return 0.0 if abs(z[k]) <= l1 else -(z[k] - np.sign(z[k]) * l1) / ((beta + n[k] ** 0.5) / alpha + l2)
+
+    order = np.random.default_rng(4)
+    for _ in range(2):
+        for r in order.permutation(len(rows)):
+            i, x, y = rows[r]
+            logits = [sum(weight((int(a), c)) * v for a, v in zip(i, x, strict=True)) for c in range(3)]
+            p = np.exp(logits) / np.exp(logits).sum()
+            held = {(int(a), c): weight((int(a), c)) for a in i for c in range(3)}
+            for a, v in zip(i, x, strict=True):
+                for c in range(3):
+                    k, g = (int(a), c), v * (p[c] - (c == y))
+                    z[k] += g - ((n[k] + g * g) ** 0.5 - n[k] ** 0.5) / alpha * held[k]
+                    n[k] += g * g
+    assert np.allclose(got[:6], [[weight((a, c)) for c in range(3)] for a in range(6)]) and np.allclose(bias, [weight((language_id.DIM, c)) for c in range(3)])
+
+
+def test_pu_slopes_are_the_derivatives_of_the_risk():
+    rng = np.random.default_rng(2)
+    for shift, prior in ((0.0, 0.3), (3.0, 0.9)):  # the second has a negative estimate of the negatives' risk
+        zp, zu = rng.normal(shift, 1, 7), rng.normal(-shift, 1, 9)
+        sig = lambda z: 1 / (1 + np.exp(-z))
+
+        def objective(zp, zu, prior=prior, sig=sig):
+            plus, minus = quality_model.pu_risk(sig(zp), sig(zu), prior)
+            return plus + minus if base >= 0 else -minus
+
+        base = quality_model.pu_risk(sig(zp), sig(zu), prior)[1]
+        a_p, a_u = quality_model.pu_slopes(prior)(sig(zp), sig(zu))
+        step = lambda n, k: 1e-6 * np.eye(n)[k]
+        assert np.allclose(a_p, [(objective(zp + step(7, k), zu) - objective(zp - step(7, k), zu)) / 2e-6 for k in range(7)], atol=1e-5)
+        assert np.allclose(a_u, [(objective(zp, zu + step(9, k)) - objective(zp, zu - step(9, k))) / 2e-6 for k in range(9)], atol=1e-5)
+
+
+@pytest.mark.parametrize("share", [0.3, 0.6, 0.9])
+def test_class_prior_is_found_without_negatives(share):
+    rng = np.random.default_rng(int(100 * share))
+    good = lambda n: rng.normal(1.2, 1, (n, 6))
+    unl = np.concatenate([good(int(3000 * share)), rng.normal(-1.2, 1, (3000 - int(3000 * share), 6))])
+    assert abs(quality_model.class_prior(good(3000), rng.permutation(unl), 20, 0.005, 1e-3, 256, 1) - share) < 0.06
+
+
+def test_quality_looks_at_no_negative_label(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(F.col("doc_id").alias("id"), "text")
+    train = docs.join(spark.read.parquet(f"{SF}/labels.parquet").select(F.col("doc_id").alias("id"), F.col("quality").alias("label")), "id", "left")
+    a, b = quality_model.fit(train, epochs=4), quality_model.fit(train.withColumn("label", F.when(F.col("label") == 1, 1)), epochs=4)
+    assert np.array_equal(a.weights, b.weights) and a.bias == b.bias
+
+
 def test_quality_is_learned(spark, edge, empty):
     sf = "/root/testdata/sf0.01"
     out = queries.op7_quality_classifier(spark, sf)
