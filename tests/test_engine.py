@@ -244,6 +244,9 @@ def test_store_keeps_the_flags_of_other_months(spark, tmp_path):
     s.save(jan, integrity_table=T.integrity(jan))
     assert flags() == {"2024-01": (3, False)} and s.integrity("A").count() == 1 and s.mean_missing_percent() > 0
     s.save(feb, integrity_table=T.integrity(feb))
+    sound = store.TradeStore(spark, str(tmp_path / "sound"))
+    sound.save(feb, integrity_table=T.integrity(feb))
+    assert not sound.integrity().count() and not sound.integrity_summary().count()
     assert flags() == {"2024-01": (3, False), "2024-02": (2, True)}
     assert [r.month for r in s.integrity_summary().collect()] == ["2024-01"]
     s.save(again, overwrite_month=False)  # a month that is added to stays unsound

@@ -19,6 +19,7 @@ def month_of(ns: Column) -> Column:
 
 
 MONTHS = "symbol string, month string"
+GAPS = "start_id long, end_id long, missing_ids long, pre_gap_ns long, post_gap_ns long, interval_ns long, symbol string, month string"
 
 
 class TradeStore:
@@ -34,6 +35,13 @@ class TradeStore:
         kinds = T.StructType([T.StructField(f.name, T.StringType()) if f.name in ("symbol", "month") else f for f in found])
         return self.spark.read.schema(kinds).parquet(f"{self.path}/{name}")
 
+    def _gaps(self) -> DataFrame:
+        """The integrity table; empty while no gap was ever saved."""
+        try:
+            return self._read("integrity")
+        except KeyError:
+            return self.spark.createDataFrame([], GAPS)
+
     def _write(self, df: DataFrame, name: str, overwrite: bool = True) -> None:
         df.write.mode("overwrite" if overwrite else "append").option("partitionOverwriteMode", "dynamic").partitionBy("symbol", "month").parquet(f"{self.path}/{name}")
 
@@ -75,14 +83,14 @@ class TradeStore:
 
     def integrity(self, symbol: str | None = None, month: str | None = None) -> DataFrame:
         """Gaps of the months that are not sound; rows of a month that was written anew and is sound do not count."""
-        d = self._read("integrity").join(self._read("meta").where("NOT data_integrity_ok").select("symbol", "month"), ["symbol", "month"], "left_semi")
+        d = self._gaps().join(self._read("meta").where("NOT data_integrity_ok").select("symbol", "month"), ["symbol", "month"], "left_semi")
         for c, v in (("symbol", symbol), ("month", month)):
             d = d if v is None else d.where(F.col(c) == v)
         return d
 
     def integrity_summary(self) -> DataFrame:
         """Months that are not sound, with their metadata and gaps."""
-        return self._read("meta").where("NOT data_integrity_ok").join(self._read("integrity"), ["symbol", "month"], "left")
+        return self._read("meta").where("NOT data_integrity_ok").join(self._gaps(), ["symbol", "month"], "left")
 
     def mean_missing_percent(self) -> float | None:
         """Mean missing percentage over the months that are not sound; None if all are."""
