@@ -12,7 +12,8 @@ differs in at most d / segments places, and the pigeonhole is applied inside it.
 
 1. Equal sets are one class, found by a fingerprint; one text of each class goes on.
 2. Block keys are counted by a grouped aggregate; (key, class) rows are joined to the keys that
-   occur twice or more. A key occurs once at most for each class.
+   occur twice or more. A key occurs once at most for each class. This is done for ``SLICES`` slices
+   of the keys in turn, as these rows are the most that is shuffled at a time.
 3. Star: in each key's group every class is paired with the group's most connected class. Pairs are
    pruned by size and by the bit sketches of the segment (their Hamming distance is a lower bound),
    and only what is left is compared by its whole sets. Links are contracted to components. Groups
@@ -46,7 +47,7 @@ from pyspark.sql import functions as F
 from .common import Stage, aggregate, connected_components, partitions_for
 from .textops import COEF, chunks, column_bytes, mix, shingle_sets, trimmed
 
-SEGMENT, TILE, TILE_BYTES, SLOTS = 512, 1024, 4 << 20, 4_000_000
+SEGMENT, TILE, TILE_BYTES, SLOTS, SLICES = 512, 1024, 4 << 20, 4_000_000, 2
 EMPTY = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -256,11 +257,16 @@ def components(docs: DataFrame, stage: Stage, k: int, percent: int) -> tuple[Dat
     sketched = stage.put(reps.mapInArrow(trimmed(sketch), "cid long, n int, band int, keys array<bigint>, bits array<binary>"), "sketches")
     per = F.element_at(F.array(*[F.lit(b[4]) for b in layout.bands]), F.col("band") + 1)
     rows = sketched.select("cid", "n", "band", F.posexplode("keys").alias("pos", "key")).where("key IS NOT NULL")
-    shared = stage.put(rows.groupBy("key").agg(F.count("*").alias("g")).where("g > 1"), "shared")
     slot = (F.col("band") * SLOTS + (F.col("pos") / per).cast("int")).cast("int")
-    g = stage.put(rows.join(shared, "key").select("key", "cid", "n", slot.alias("slot"), "g"), "groups")
+    parts_of_g = []
+    for k_slice in range(SLICES):  # slices of the keys, so that only one's rows are in a shuffle at a time
+        own = rows.where(F.expr(f"pmod(key, {SLICES}L) = {k_slice}"))
+        shared = stage.put(own.groupBy("key").agg(F.count("*").alias("g")).where("g > 1"), f"shared-{k_slice}")
+        parts_of_g.append(stage.put(own.join(shared, "key").select("key", "cid", "n", slot.alias("slot"), "g"), f"groups-{k_slice}"))
+        stage.drop(f"shared-{k_slice}")
+    g = functools.reduce(DataFrame.unionByName, parts_of_g)
     bits = stage.put(sketched.select("cid", "band", F.posexplode("bits").alias("pos", "bits")).select("cid", (F.col("band") * SLOTS + F.col("pos")).alias("slot"), "bits").join(g.select("cid", "slot").distinct(), ["cid", "slot"], "left_semi"), "bits")
-    stage.drop("sketches", "shared")
+    stage.drop("sketches")
 
     # 3. star: pairs are pruned by size and sketch before any text is attached
     reach = aggregate(g, ["cid"], F.sum("g").alias("reach"))
@@ -297,7 +303,7 @@ def components(docs: DataFrame, stage: Stage, k: int, percent: int) -> tuple[Dat
     # 4. rest: groups that still hold several components
     r = stage.put(g.join(comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid")).select("key", "cid", "n", "slot", "comp"), "grouped")
     several = aggregate(r, ["key"], F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("g")).where("lo <> hi").select("key", "g")
-    stage.drop("groups")
+    stage.drop(*(f"groups-{k_slice}" for k_slice in range(SLICES)))
 
     def nearby(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _whole_groups(batches, 3):
