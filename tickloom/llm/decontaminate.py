@@ -63,7 +63,8 @@ def _bit_table(values: DataFrame, bits: int) -> str:
     """SQL of a foldable array of longs: bit (v mod bits) is set for each value v. At most bits / 63 longs reach the driver."""
     rows = values.select(F.expr(f"pmod(v, {bits}L)").alias("b")).groupBy((F.col("b") / 63).cast("int").alias("k")).agg(F.expr("bit_or(shiftleft(1L, CAST(b % 63 AS int)))").alias("w")).collect()
     table = dict(map(tuple, rows))
-    return "array(" + ",".join(f"{table.get(k, 0)}L" for k in range(bits // 63 + 1)) + ")"
+    # one string, folded to an array when the plan is optimised: thousands of literals would swell every plan before that
+    return "CAST(split('" + ",".join(str(table.get(k, 0)) for k in range(bits // 63 + 1)) + "', ',') AS array<bigint>)"
 
 
 def _set_in(table: str, value: str, bits: int) -> str:

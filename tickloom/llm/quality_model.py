@@ -21,6 +21,7 @@ repeated rows are scored alike.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -186,18 +187,18 @@ def fit(train: DataFrame, per_side: int = 3000, default_prior: float = 0.85, lea
         for batch in batches:
             data, offs = column_bytes(batch.column(1))
             for a, b, d, o in chunks(data, offs, 1 << 19):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([r.tobytes() for r in features(d, o)], pa.binary())], ["u", "x"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([zlib.compress(r.tobytes(), 1) for r in features(d, o)], pa.binary())], ["u", "x"])
 
     parts = {}
     # two independent draws: positives, and rows of all kinds whose labels are not looked at
     for side, rows, n in ((1, train.where("label = 1"), n_pos), (0, train, n_all)):
         unit = (F.xxhash64(F.lit(seed + 1 - side), "id") / F.lit(2.0**64)) + 0.5
         drawn = rows.withColumn("u", unit).where(F.col("u") <= 1.3 * (per_side + 20) / n)
-        # features are taken where the texts are; of a fixed size, so the rows' number bounds what is gathered
+        # features are taken where the texts are; of a fixed size, so the rows' number bounds what is gathered; mostly zeros, so packed
         sample = drawn.select("u", "text").mapInArrow(trimmed(extract), "u double, x binary").orderBy("u", "x").limit(per_side).toArrow().column("x")
         out = np.empty((len(sample), DIM + STATS), np.float32)
         for k, v in enumerate(sample):
-            out[k] = np.frombuffer(v.as_buffer(), np.float32)
+            out[k] = np.frombuffer(zlib.decompress(v.as_py()), np.float32)
         parts[side] = out
         del sample
     mean = parts[0].mean(0, dtype=np.float64).astype(np.float32)
