@@ -498,3 +498,24 @@ def test_labels_and_weights_take_every_trade(spark):
         for k, row in got.items():
             for c in row.keys() - {"symbol", "event_idx"}:
                 assert row[c] == want[k][c] if row[c] is None or want[k][c] is None else row[c] == pytest.approx(want[k][c], abs=2e-6), (name, k, c)
+
+
+def test_dollar_bars_keep_the_loops_last_bits(spark):
+    """45 trades of 11.6 are twice 261 in decimals, but not in the loop's doubles."""
+    flat = [11.6] * 100
+    total, at, want = flat[0], 0, {}
+    for i in range(1, len(flat)):
+        want[i] = at
+        total += flat[i]
+        if total >= 261.0:
+            total, at = total - 261.0, at + 1
+    assert dict(rows(B.dollar_bars(trades(spark, flat), 261.0), "seq", "bar_id")) == {i: b for i, b in want.items() if b < at}
+
+
+def test_results_are_rounded_as_the_sql_rounds(spark):
+    from tickloom.queries import tidy
+
+    below = math.nextafter(57.1603125, 0)  # a million times this is 57160312.5
+    x = [below, -below, 1e301, math.inf, -math.inf, None, -1e-9, 0.1234565]
+    got = tidy(spark.createDataFrame([(k, v) for k, v in enumerate(x)], "k int, x double")).orderBy("k").collect()
+    assert [r.x for r in got] == [57.160313, -57.160313, 1e301, math.inf, -math.inf, None, 0.0, 0.123457]

@@ -51,13 +51,8 @@ def volume_bars(df: DataFrame, threshold: float) -> DataFrame:
 
 
 def dollar_bars(df: DataFrame, threshold: float) -> DataFrame:
-    """Close at the threshold, the rest carried over; a pure window form of the loop."""
-    w = _by("seq").rowsBetween(Window.unboundedPreceding, 0)
-    d = df.withColumn("_s", F.floor(F.round(F.sum(F.col("price") * F.col("amount")).over(w) / threshold, 9)))
-    slack = F.when(F.col("seq") >= 1, F.col("_s") - F.col("seq"))
-    d = d.withColumn("_k", F.when(F.col("seq") == 0, 0).otherwise(F.col("seq") + F.least(F.lit(0), F.min(slack).over(w))).cast("long"))
-    d = d.withColumn("_close", F.coalesce(F.col("_k") > F.lag("_k").over(_by("seq")), F.lit(False)))
-    return _from_closes(d, "_close").drop("_s", "_k")
+    """Close at the threshold, the rest carried over. A sequential fold per symbol, as where a sum meets the threshold depends on the carry's last bits."""
+    return _from_closes(run_folds(df, [Fold(["price", "amount"], ["_close"], lambda p, a: kernels.dollar_closes(p * a, threshold), "boolean")], ["symbol"], ["seq"]), "_close")
 
 
 def cusum_bars(df: DataFrame, sigma: str = "sigma", sigma_floor: float = 5e-4, sigma_mult: float = 2.0) -> DataFrame:
