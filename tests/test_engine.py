@@ -519,3 +519,32 @@ def test_results_are_rounded_as_the_sql_rounds(spark):
     x = [below, -below, 1e301, math.inf, -math.inf, None, -1e-9, 0.1234565]
     got = tidy(spark.createDataFrame([(k, v) for k, v in enumerate(x)], "k int, x double")).orderBy("k").collect()
     assert [r.x for r in got] == [57.160313, -57.160313, 1e301, math.inf, -math.inf, None, 0.0, 0.123457]
+
+
+def priced(spark, closes):
+    """Six-hour bars of one symbol with the given closes; every other price of a bar is its close."""
+    t = trades(spark, closes, ts=[k * 6 * 3600 * NS for k in range(len(closes))])
+    b = t.select("symbol", "seq", "ts_ns", *[F.col("price").alias(c) for c in ("open", "high", "low", "close", "vwap")])
+    return b.withColumn("ret1", series.ratio(F.col("close"), series.Axis().lag(F.col("close"))) - 1)
+
+
+def column_by(df, c, order):
+    return [r[0] for r in rows(df, c, order=order)]
+
+
+def column(df, c):
+    return [r[0] for r in rows(df, c, order="ts_ns")]
+
+
+def same(got, want):
+    """Equal values; NULL, NaN and infinities are told apart."""
+    assert [x is None for x in got] == [x is None for x in want], got
+    return [x for x in got if x is not None] == pytest.approx([x for x in want if x is not None], nan_ok=True)
+
+
+NAN, INF = math.nan, math.inf
+
+
+def test_vwap_drift_from_an_open_of_zero(spark):
+    b = priced(spark, [1, 0, 0, 4]).withColumn("vwap", F.when(F.col("seq") == 1, 3.0).otherwise(F.col("close")))
+    assert same(column(X.CandleShape()(b), "vwap_drift"), [0.0, INF, NAN, 0.0])

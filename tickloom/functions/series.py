@@ -1,7 +1,8 @@
 """Column factories for ordered series: trailing windows with full-window semantics.
 
 Missing values are NULL. A windowed value is NULL until its window is full, and wherever the
-window holds a NULL unless the function says otherwise. Division by zero is NULL.
+window holds a NULL unless the function says otherwise. Division by zero is NULL with ``div``;
+``ratio`` and ``ln`` give what floating point gives: infinities, and NaN where there is no limit.
 """
 
 from __future__ import annotations
@@ -57,6 +58,16 @@ def div(a: Column, b: Column) -> Column:
     return F.try_divide(a, b)
 
 
+def ratio(a: Column, b: Column) -> Column:
+    """a / b in floating point: over 0 an infinity, 0 / 0 is NaN."""
+    return F.when(b == 0, a * F.pow(b, F.lit(-1.0))).otherwise(F.try_divide(a, b))
+
+
+def ln(x: Column) -> Column:
+    """Log in floating point: -infinity at 0, NaN below."""
+    return F.when(x > 0, F.log(x)).when(x == 0, F.lit(-math.inf)).when(x < 0, F.lit(math.nan))
+
+
 def safe_log(x: Column) -> Column:
     return F.when(x > 0, F.log(x))
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels, series
-from ..functions.series import Axis, div, safe_log
+from ..functions.series import Axis, div, ratio, safe_log
 from ..operators.sequential import Fold, run_folds
 
 REGISTRY: dict[str, type] = {}
@@ -242,7 +242,7 @@ class CandleShape(Transform):
 
     def columns(self, ax: Axis, o: Column, h: Column, l: Column, c: Column, v: Column) -> list[Column]:
         span = h - l + 1e-12
-        return [(h - F.greatest(o, c)) / span, (F.least(o, c) - l) / span, F.abs(c - o) / span, div(v - o, o)]
+        return [(h - F.greatest(o, c)) / span, (F.least(o, c) - l) / span, F.abs(c - o) / span, ratio(v - o, o)]
 
 
 class VWAPDistance(Staged):
