@@ -566,3 +566,11 @@ def test_bars_return_from_a_close_of_zero(spark, tmp_path):
     df = spark.createDataFrame(e, "event_id long, k long, user_id long, value double, props string")
     df.withColumn("ts", F.timestamp_micros(F.lit(day + 1) + F.col("k") * 21_600_000_000)).drop("k").write.parquet(f"{tmp_path}/events.parquet")
     assert same(column(bars(spark, str(tmp_path)), "ret1"), [None, 1.0, -1.0, NAN, INF])
+
+
+def test_deviation_in_time_after_a_price_of_zero(spark):
+    b = priced(spark, [1, 2, 0, 4, 5, 6])
+    got = column(X.EWMST(86_400.0, input_col="ret1")(b), "ret1_ewms86400s")
+    assert got[:1] == [None] and all(x is not None and math.isnan(x) for x in got[3:]) and got[2] > 0
+    zero = column(X.EWMST(86_400.0, input_col="ret1", mean0=True)(priced(spark, [1, 2, 0, 0, 5])), "ret1_ewms86400s")
+    assert all(x is not None and math.isnan(x) for x in zero[3:])

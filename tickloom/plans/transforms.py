@@ -94,11 +94,14 @@ class Staged(Transform):
 class Sequential(Transform):
     """A fold over each symbol's rows."""
 
+    #: whether the fold tells NaN from NULL
+    nans = False
+
     def fold(self) -> Callable:
         raise NotImplementedError
 
     def as_fold(self, ax: Axis) -> Fold:
-        return Fold(self.fold_inputs(ax), list(self.produces), self.fold())
+        return Fold(self.fold_inputs(ax), list(self.produces), self.fold(), nans=self.nans)
 
     def fold_inputs(self, ax: Axis) -> list[str]:
         return list(self.requires)
@@ -420,7 +423,9 @@ class EWMS(Sequential):
 
 
 class EWMST(Sequential):
-    """Exponential standard deviation with weights that decay in time."""
+    """Exponential standard deviation with weights that decay in time; NaN after an infinity or NaN."""
+
+    nans = True
 
     def __init__(self, half_life: timedelta | float, input_col: str = "y", mean0: bool = False) -> None:
         self._set(input_col, f"ewms{nanos(half_life) / 1e9:g}s", half_life=half_life, input_col=input_col, mean0=mean0)
