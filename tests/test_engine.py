@@ -574,3 +574,9 @@ def test_deviation_in_time_after_a_price_of_zero(spark):
     assert got[:1] == [None] and all(x is not None and math.isnan(x) for x in got[3:]) and got[2] > 0
     zero = column(X.EWMST(86_400.0, input_col="ret1", mean0=True)(priced(spark, [1, 2, 0, 0, 5])), "ret1_ewms86400s")
     assert all(x is not None and math.isnan(x) for x in zero[3:])
+
+
+def test_true_range_over_a_mid_of_zero(spark):
+    got = column(X.ATR(2, ema_based=True, normalize=True)(priced(spark, [4, 2, 0, 8])), "atr2_ema_norm")
+    assert same(got, [None, 0.5, INF, 4.75 / 8])
+    assert same(column(X.ATR(2, normalize=True)(priced(spark, [0, 0, 0])), "atr2_norm"), [None, NAN, NAN])

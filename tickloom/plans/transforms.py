@@ -346,7 +346,7 @@ class ATR(Staged):
             df = run_folds(df, [Fold(["_tr"], ["_a"], lambda tr: kernels.wilder_mean(tr, n))], ax.by, ax.order)
         else:
             df = df.withColumn("_a", F.when(ax.full(n), F.avg("_tr").over(ax.rows(n))))
-        return df.withColumn(self.produces[0], div(ref("_a"), (h + l) / 2) if self.params["normalize"] else ref("_a")).drop("_tr", "_a")
+        return df.withColumn(self.produces[0], ratio(ref("_a"), (h + l) / 2) if self.params["normalize"] else ref("_a")).drop("_tr", "_a")
 
 
 class DirRunLen(Staged):
