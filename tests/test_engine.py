@@ -580,3 +580,7 @@ def test_true_range_over_a_mid_of_zero(spark):
     got = column(X.ATR(2, ema_based=True, normalize=True)(priced(spark, [4, 2, 0, 8])), "atr2_ema_norm")
     assert same(got, [None, 0.5, INF, 4.75 / 8])
     assert same(column(X.ATR(2, normalize=True)(priced(spark, [0, 0, 0])), "atr2_norm"), [None, NAN, NAN])
+
+
+def test_runs_count_infinite_returns(spark):
+    assert column(X.DirRunLen()(priced(spark, [2, 0, 0, 3, 4, 3, 2])), "ret1_dir_run_len") == [0, 1, 0, 1, 2, 1, 2]

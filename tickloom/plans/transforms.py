@@ -350,7 +350,7 @@ class ATR(Staged):
 
 
 class DirRunLen(Staged):
-    """Length of the current run of returns of one sign; 0 at a zero or missing return."""
+    """Length of the current run of returns of one sign, infinite ones included; 0 at a zero, NaN or missing return."""
 
     def __init__(self, input_col: str = "ret1") -> None:
         self._set(input_col, "dir_run_len", input_col=input_col)
@@ -358,7 +358,7 @@ class DirRunLen(Staged):
     def steps(self, ax: Axis) -> list[dict[str, Column]]:
         from pyspark.sql import Window
 
-        sign = F.coalesce(F.signum(ref(self.requires[0])), F.lit(0.0))
+        sign = F.coalesce(F.nanvl(F.signum(ref(self.requires[0])), F.lit(0.0)), F.lit(0.0))
         run = F.row_number().over(Window.partitionBy(*ax.by, "_run").orderBy(*ax.order))
         return [{"_sg": sign}, {"_new": (ref("_sg") != F.coalesce(ax.lag(ref("_sg")), F.lit(9.0))).cast("int")}, {"_run": F.sum("_new").over(ax.running)}, {self.produces[0]: F.when(ref("_sg") == 0, 0).otherwise(run)}]
 
