@@ -584,3 +584,13 @@ def test_true_range_over_a_mid_of_zero(spark):
 
 def test_runs_count_infinite_returns(spark):
     assert column(X.DirRunLen()(priced(spark, [2, 0, 0, 3, 4, 3, 2])), "ret1_dir_run_len") == [0, 1, 0, 1, 2, 1, 2]
+
+
+def test_expanding_breaks_go_on_after_a_price_of_zero(spark):
+    p = [10.0, 11.0, 10.5, 12.0, 0.0, 11.0, 12.0, 12.5, 13.0]
+    t = X.CUSUMDeveloping(3)
+    got = [[r[c] for c in t.produces] for r in t(priced(spark, p)).orderBy("ts_ns").collect()]
+    crit = lambda gap: math.sqrt(4.6 + math.log(gap))
+    assert got[:3] == [[None] * 4] * 3 and None not in got[3]
+    for row, (stat, gap) in zip(got[4:], [(NAN, 3), (0.0, 4), (NAN, 2), (NAN, 3), (NAN, 4)], strict=True):
+        assert same(row, [stat, stat, crit(gap), crit(gap)])

@@ -489,7 +489,9 @@ class CUSUMTest(Sequential):
 
 
 class CUSUMDeveloping(Sequential):
-    """The structural-break statistics over all rows so far with their critical values, up and down."""
+    """The structural-break statistics over all rows so far with their critical values, up and down; NaN is told from NULL."""
+
+    nans = True
 
     def __init__(self, warmup_period: int = 30, input_col: str = "close") -> None:
         outs = [f"cusum_{what}_{side}" for what in ("stat", "crit") for side in ("up", "down")]
