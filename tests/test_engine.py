@@ -594,3 +594,9 @@ def test_expanding_breaks_go_on_after_a_price_of_zero(spark):
     assert got[:3] == [[None] * 4] * 3 and None not in got[3]
     for row, (stat, gap) in zip(got[4:], [(NAN, 3), (0.0, 4), (NAN, 2), (NAN, 3), (NAN, 4)], strict=True):
         assert same(row, [stat, stat, crit(gap), crit(gap)])
+
+
+def test_returns_over_time_from_a_price_of_zero(spark):
+    b = priced(spark, [2, 0, 0, 3])
+    assert same(column(X.ReturnT(window=6 * 3600.0)(b), "close_ret21600s"), [None, -1.0, NAN, INF])
+    assert same(column(X.ReturnT(window=6 * 3600.0, is_log=True)(b), "close_ret21600s"), [None, -INF, NAN, INF])

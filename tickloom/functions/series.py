@@ -164,8 +164,8 @@ def lagged_return(ax: Axis, x: Column, seq: Column, ns: int, is_log: bool = Fals
     if ns <= 0:
         raise ValueError("the window must be positive")
     base = F.max_by(x, seq).over(ax.ago(ns))
-    r = div(x, base)
-    return safe_log(r) if is_log else r - 1
+    r = ratio(x, base)
+    return ln(r) if is_log else r - 1
 
 
 def time_cues(ts_ns: Column) -> dict[str, Column]:
