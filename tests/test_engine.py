@@ -600,3 +600,7 @@ def test_returns_over_time_from_a_price_of_zero(spark):
     b = priced(spark, [2, 0, 0, 3])
     assert same(column(X.ReturnT(window=6 * 3600.0)(b), "close_ret21600s"), [None, -1.0, NAN, INF])
     assert same(column(X.ReturnT(window=6 * 3600.0, is_log=True)(b), "close_ret21600s"), [None, -INF, NAN, INF])
+
+
+def test_daily_gap_from_a_price_of_zero(spark):
+    assert same(column(X.DailyGap()(priced(spark, [1, 1, 1, 0, 5, 1, 1, 0, 0])), "close_daily_gap"), [None] * 4 + [INF] + [None] * 3 + [NAN])

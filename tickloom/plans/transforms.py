@@ -372,7 +372,7 @@ class DailyGap(Staged):
     def steps(self, ax: Axis) -> list[dict[str, Column]]:
         x = ref(self.requires[0])
         day = F.call_function("div", ref(ax.time), F.lit(86_400_000_000_000))
-        return [{"_day": day}, {"_pd": ax.lag(ref("_day")), "_px": ax.lag(x)}, {self.produces[0]: F.when(ref("_day") != ref("_pd"), div(x, ref("_px")) - 1)}]
+        return [{"_day": day}, {"_pd": ax.lag(ref("_day")), "_px": ax.lag(x)}, {self.produces[0]: F.when(ref("_day") != ref("_pd"), ratio(x, ref("_px")) - 1)}]
 
 
 class ORBBreak(Staged):
