@@ -616,3 +616,10 @@ def test_attribution_at_prices_of_zero(spark):
     lab = spark.createDataFrame([("A", a, b) for a, b in ((0, 1), (1, 3), (2, 2), (3, 3), (4, 5))], "symbol string, event_idx long, touch_idx long")
     got = column_by(L.return_attribution(t, lab), "return_attribution", "event_idx")
     assert same(got, [INF, NAN, NAN, INF, math.log(6 / 5)])
+
+
+def test_weights_of_a_symbol_with_infinite_attribution(spark):
+    t = trades(spark, [10, 0, 5, 5.5, 6, 6.6])
+    lab = spark.createDataFrame([("A", a, b, y, 1.0) for a, b, y in ((0, 1, -1), (2, 3, 1), (4, 5, 1))], "symbol string, event_idx long, touch_idx long, label int, vertical_touch_weight double")
+    got = L.final_weights(L.info_weights(t, lab), 0.5)
+    assert same(column_by(got, "class_weight", "event_idx"), [NAN] * 3) and same(column_by(got, "weights", "event_idx"), [NAN] * 3)
