@@ -623,3 +623,8 @@ def test_weights_of_a_symbol_with_infinite_attribution(spark):
     lab = spark.createDataFrame([("A", a, b, y, 1.0) for a, b, y in ((0, 1, -1), (2, 3, 1), (4, 5, 1))], "symbol string, event_idx long, touch_idx long, label int, vertical_touch_weight double")
     got = L.final_weights(L.info_weights(t, lab), 0.5)
     assert same(column_by(got, "class_weight", "event_idx"), [NAN] * 3) and same(column_by(got, "weights", "event_idx"), [NAN] * 3)
+
+
+def test_realized_volatility_holds_infinite_returns(spark):
+    got = column(X.RealizedVolatility(3, input_col="ret1")(priced(spark, [1, 2, 0, 4, 6, 9, 9])), "ret1_rv3")
+    assert same(got, [None, None, 1.0, INF, INF, INF, math.sqrt(0.5 / 3)])
