@@ -628,3 +628,9 @@ def test_weights_of_a_symbol_with_infinite_attribution(spark):
 def test_realized_volatility_holds_infinite_returns(spark):
     got = column(X.RealizedVolatility(3, input_col="ret1")(priced(spark, [1, 2, 0, 4, 6, 9, 9])), "ret1_rv3")
     assert same(got, [None, None, 1.0, INF, INF, INF, math.sqrt(0.5 / 3)])
+
+
+def test_variance_of_infinite_returns_is_nan(spark):
+    b = priced(spark, [1, 2, 0, 4, 6, 9, 9])
+    got = column(b.withColumn("v", series.rolling_variance(series.Axis(), F.col("ret1"), 3, 1, 2)), "v")
+    assert same(got, [None, None, 2.0, NAN, NAN, NAN, 1 / 12])
