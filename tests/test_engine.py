@@ -634,3 +634,37 @@ def test_variance_of_infinite_returns_is_nan(spark):
     b = priced(spark, [1, 2, 0, 4, 6, 9, 9])
     got = column(b.withColumn("v", series.rolling_variance(series.Axis(), F.col("ret1"), 3, 1, 2)), "v")
     assert same(got, [None, None, 2.0, NAN, NAN, NAN, 1 / 12])
+
+
+AT_ZERO = ["fn_12_candle_shape", "lbl_04_events_to_labels", "rec_03_ewmst", "rec_07_atr_ema", "rec_09_dir_run_len", "rec_12_cusum_developing", "ret_03_return_t", "ret_07_daily_gap", "smp_01_cusum_filter", "wgt_02_attribution", "wgt_06_final_weights", "win_08_realized_vol", "win_16_rolling_variance"]
+
+
+@pytest.fixture(scope="module")
+def with_zeros(spark, tmp_path_factory):
+    """Events of three users: without a price of 0, with one, and with several in a row."""
+    rng = np.random.default_rng(21)
+    e = []
+    for user, zeros in ((1, ()), (2, (20,)), (3, (15, 16, 17, 30))):
+        at = 1_704_067_200_000_000
+        for k in range(40):
+            at += int(rng.integers(2, 9)) * 3_600_000_000 + 1
+            e.append((len(e), user, at, 0.0 if k in zeros else float(rng.integers(100, 9000)) / 100, f'{{"k": {int(rng.integers(0, 9))}}}'))
+    d = str(tmp_path_factory.mktemp("zeros"))
+    spark.createDataFrame(e, "event_id long, user_id long, t long, value double, props string").coalesce(1).withColumn("ts", F.expr("cast(timestamp_micros(t) as timestamp_ntz)")).drop("t").write.parquet(f"{d}/events.parquet")
+    return d
+
+
+@pytest.mark.parametrize("name", AT_ZERO)
+def test_queries_equal_their_sql_at_prices_of_zero(spark, with_zeros, name):
+    import duckdb
+
+    from tickloom.queries import ORACLES, QUERIES
+
+    con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{with_zeros}/events.parquet/*.parquet'")
+    q = con.execute(ORACLES[name])
+    names = [c[0] for c in q.description]
+    key = lambda r: tuple("null" if x is None else "nan" if x != x else x for x in r)
+    want = sorted(map(key, q.fetchall()), key=str)
+    assert sorted((key(r) for r in QUERIES[name](spark, with_zeros).select(*[f"`{c}`" for c in names]).collect()), key=str) == want and want
