@@ -24,9 +24,10 @@ def ceil_to(ts: Column, step: int) -> Column:
 def time_bars(df: DataFrame, seconds: float) -> DataFrame:
     """Right-closed, left-open buckets of the epoch grid, labelled by their close; bar_id is the close in ns."""
     step = round(seconds * 1e9)
-    starts = df.groupBy("symbol").agg(F.min("ts_ns").alias("_a")).select("symbol", (F.col("_a") - F.pmod("_a", F.lit(step))).alias("_c0"))  # a row a symbol
-    d = df.withColumn("bar_id", ceil_to(F.col("ts_ns"), step)).join(starts, "symbol")
-    return d.where("bar_id <> _c0").drop("_c0").withColumn("bar_ts", F.col("bar_id"))
+    starts = df.groupBy("symbol").agg(F.min("ts_ns").alias("_a")).select(F.col("symbol").alias("_symbol"), (F.col("_a") - F.pmod("_a", F.lit(step))).alias("_c0"))  # a row a symbol
+    d = df.withColumn("bar_id", ceil_to(F.col("ts_ns"), step))
+    d = d.join(starts, d["symbol"].eqNullSafe(starts["_symbol"]))
+    return d.where("bar_id <> _c0").drop("_symbol", "_c0").withColumn("bar_ts", F.col("bar_id"))
 
 
 def tick_bars(df: DataFrame, ticks: int) -> DataFrame:

@@ -49,6 +49,12 @@ def chunk_of(ts_ns: Column) -> Column:
     return F.call_function("div", ts_ns, F.lit(CHUNK_NS))
 
 
+def _with_days(d: DataFrame, days: DataFrame) -> DataFrame:
+    """d (symbol, _c, ...) with the columns of its day's row; symbols and days that are NULL match too."""
+    days = days.withColumnsRenamed({"symbol": "_symbol", "_c": "_day"})
+    return d.join(days, d["symbol"].eqNullSafe(days["_symbol"]) & d["_c"].eqNullSafe(days["_day"])).drop("_symbol", "_day")
+
+
 def add_seq(df: DataFrame) -> DataFrame:
     """seq counts each symbol's rows in (time, id): rows are numbered within a day, on top of the counts of the days before."""
     d = df.withColumn("_c", chunk_of(F.col("ts_ns")))
@@ -56,7 +62,7 @@ def add_seq(df: DataFrame) -> DataFrame:
     before = F.coalesce(F.sum("n").over(by_symbol("_c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     days = days.select("symbol", "_c", before.alias("_n"))
     at = F.row_number().over(Window.partitionBy("symbol", "_c").orderBy("ts_ns", "id"))
-    return d.join(days, ["symbol", "_c"]).withColumn("seq", F.col("_n") + at.cast("long") - 1).drop("_c", "_n")
+    return _with_days(d, days).withColumn("seq", F.col("_n") + at.cast("long") - 1).drop("_c", "_n")
 
 
 def integrity(df: DataFrame, max_gap_ns: int = 60_000_000_000) -> DataFrame:
@@ -101,7 +107,7 @@ def add_side(df: DataFrame) -> DataFrame:
     by_day = by_symbol("_c")
     days = days.withColumn("_head", _sign(F.col("a") - F.lag("z").over(by_day)))
     days = days.withColumn("_before", F.last(F.coalesce("tail", "_head"), ignorenulls=True).over(by_day.rowsBetween(Window.unboundedPreceding, -1))).select("symbol", "_c", "_head", "_before")
-    d = d.join(days, ["symbol", "_c"]).withColumn("_d", F.when(F.col("_first"), F.col("_head")).otherwise(F.col("_d")))
+    d = _with_days(d, days).withColumn("_d", F.when(F.col("_first"), F.col("_head")).otherwise(F.col("_d")))
     side = F.coalesce(F.last("_d", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.col("_before"), F.lit(0)).cast("tinyint")
     return d.withColumn("side", side).drop("_c", "_d", "_first", "_head", "_before")
 
