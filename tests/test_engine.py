@@ -724,3 +724,9 @@ def odd(without: str) -> list[tuple]:
 @pytest.mark.parametrize("without", ["price", "user"])
 def test_realized_volatility_equals_its_sql_where_a_value_is_missing(spark, tmp_path, without):
     equals_sql(spark, "win_08_realized_vol", odd(without), tmp_path)
+
+
+@pytest.mark.parametrize("without", ["time", "price", "user"])
+def test_final_weights_equal_their_sql_where_a_value_is_missing(spark, tmp_path, without):
+    """Trades without a time come last."""
+    equals_sql(spark, "wgt_06_final_weights", odd(without), tmp_path)

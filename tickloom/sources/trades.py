@@ -21,7 +21,7 @@ UNITS = {"s": 1_000_000_000, "ms": 1_000_000, "us": 1_000, "ns": 1}
 FEED = T.StructType([T.StructField("symbol", T.StringType()), T.StructField("id", T.LongType()), T.StructField("ts", T.LongType()), T.StructField("price", T.DoubleType()), T.StructField("amount", T.DoubleType()), T.StructField("is_buyer_maker", T.BooleanType())])
 
 
-def by_symbol(*order: str) -> Window:
+def by_symbol(*order: str | Column) -> Window:
     return Window.partitionBy("symbol").orderBy(*order)
 
 
@@ -56,10 +56,10 @@ def _with_days(d: DataFrame, days: DataFrame) -> DataFrame:
 
 
 def add_seq(df: DataFrame) -> DataFrame:
-    """seq counts each symbol's rows in (time, id): rows are numbered within a day, on top of the counts of the days before."""
+    """seq counts each symbol's rows in (time, id), rows without a time last: rows are numbered within a day, on top of the counts of the days before."""
     d = df.withColumn("_c", chunk_of(F.col("ts_ns")))
     days = d.groupBy("symbol", "_c").agg(F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(by_symbol("_c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.sum("n").over(by_symbol(F.asc_nulls_last("_c")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     days = days.select("symbol", "_c", before.alias("_n"))
     at = F.row_number().over(Window.partitionBy("symbol", "_c").orderBy("ts_ns", "id"))
     return _with_days(d, days).withColumn("seq", F.col("_n") + at.cast("long") - 1).drop("_c", "_n")
@@ -104,7 +104,7 @@ def add_side(df: DataFrame) -> DataFrame:
     w = Window.partitionBy("symbol", "_c").orderBy("seq")
     d = d.withColumns({"_d": _sign(F.col("price") - F.lag("price").over(w)), "_first": F.row_number().over(w) == 1})
     days = d.groupBy("symbol", "_c").agg(F.min_by("price", "seq").alias("a"), F.max_by("price", "seq").alias("z"), F.max_by("_d", F.when(F.col("_d").isNotNull(), F.col("seq"))).alias("tail"))
-    by_day = by_symbol("_c")
+    by_day = by_symbol(F.asc_nulls_last("_c"))
     days = days.withColumn("_head", _sign(F.col("a") - F.lag("z").over(by_day)))
     days = days.withColumn("_before", F.last(F.coalesce("tail", "_head"), ignorenulls=True).over(by_day.rowsBetween(Window.unboundedPreceding, -1))).select("symbol", "_c", "_head", "_before")
     d = _with_days(d, days).withColumn("_d", F.when(F.col("_first"), F.col("_head")).otherwise(F.col("_d")))
