@@ -91,32 +91,46 @@ def half(length: int, gram: int) -> int:
     return (length - gram + 1) // 2
 
 
+def _small(n: int) -> type:
+    """Places in n bytes are held in four bytes where they fit: the largest batch decides what a worker takes."""
+    return np.int32 if n < 1 << 30 else np.int64
+
+
 def suffix_order(symbols: np.ndarray, separator: np.ndarray) -> np.ndarray:
-    """Rank of every suffix; each separator is a symbol of its own, below all bytes."""
+    """Rank of every suffix; each separator is a symbol of its own, below all bytes. The last symbol is one."""
     n = len(symbols)
-    sep_at = np.flatnonzero(separator)
-    to_sep = sep_at[np.searchsorted(sep_at, np.arange(n))] - np.arange(n)
+    place = np.arange(n, dtype=_small(n))
+    sep_at = np.flatnonzero(separator).astype(place.dtype)
+    to_sep = np.repeat(sep_at, np.diff(sep_at, prepend=-1)) - place
     h = 7
     pack = np.zeros(n, np.int64)
-    padded = np.append(symbols.astype(np.int64) + 1, np.zeros(h, np.int64))
+    padded = np.append(symbols.astype(np.int16) + 1, np.zeros(h, np.int16))
     for k in range(h):
-        pack = (pack << 9) | np.where(k < to_sep, padded[k : n + k], 0)
-    tie = np.where(to_sep < h, np.arange(n) + to_sep, 0)
-    order = np.argsort(pack, kind="stable")  # of equal packs, those with a separator stand in its order already
-    new = np.append(True, (np.diff(pack[order]) != 0) | (np.diff(tie[order]) != 0))
-    rank = np.empty(n, np.int64)
-    rank[order] = np.flatnonzero(new)[np.cumsum(new) - 1]
+        pack <<= 9
+        pack |= np.where(k < to_sep, padded[k : n + k], 0)
+    tie = np.where(to_sep < h, place + to_sep, 0)
+    del to_sep, padded
+    order = np.argsort(pack, kind="stable").astype(place.dtype)  # of equal packs, those with a separator stand in its order already
+    pack, tie = pack[order], tie[order]
+    new = np.append(True, (pack[1:] != pack[:-1]) | (tie[1:] != tie[:-1]))
+    del pack, tie
+    rank = np.empty_like(place)
+    rank[order] = np.maximum.accumulate(np.where(new, place, 0))
+    del order, new
     while True:
-        size = np.bincount(rank, minlength=n)
-        open_ = np.flatnonzero(size[rank] > 1)
+        taken = np.zeros(n + 1, bool)
+        taken[n] = taken[rank] = True
+        open_ = np.flatnonzero(~taken[rank + 1]).astype(place.dtype)  # a rank is the place of the first of its equals
         if not len(open_):
             return rank
         r = rank[open_]
-        key = r * (n + 1) + np.where(open_ + h < n, rank[np.minimum(open_ + h, n - 1)] + 1, 0)
-        o = np.argsort(key, kind="stable")
-        key, r, at = key[o], r[o], np.arange(len(o))
+        key = r.astype(np.int64) * (n + 1)
+        key += np.where(open_ + h < n, rank[np.minimum(open_ + h, n - 1)] + 1, 0)
+        o = np.argsort(key, kind="stable").astype(place.dtype)
+        key, r, at = key[o], r[o], place[: len(o)]
         group = np.append(True, r[1:] != r[:-1])
         equal = np.append(True, key[1:] != key[:-1])
+        del key
         rank[open_[o]] = r + np.maximum.accumulate(np.where(equal, at, 0)) - np.maximum.accumulate(np.where(group, at, 0))
         h *= 2
 
@@ -130,28 +144,31 @@ def repeated_starts(texts: list[np.ndarray], length: int) -> list[np.ndarray]:
     separator[ends - 1] = True
     symbols[~separator] = np.concatenate(texts)
     rank = suffix_order(symbols, separator)
-    sa = np.empty(n, np.int64)
-    sa[rank] = np.arange(n)
+    place = np.arange(n, dtype=rank.dtype)
+    sa, psi = np.empty_like(place), np.empty_like(place)
+    sa[rank] = place
     lf = rank[sa - 1]
-    before = np.where(separator[sa - 1], 256 + sa - 1, symbols[sa - 1])  # the transform's symbols
-    psi = np.empty(n, np.int64)
-    psi[lf] = np.arange(n)
-    again = np.full(n, n, np.int64)  # next place of the same symbol in the transform
-    same = before[psi[:-1]] == before[psi[1:]]
+    del rank
+    psi[lf] = place
+    before = np.where(separator[sa - 1], 256 + sa - 1, symbols[sa - 1])[psi]  # the transform's symbols, sorted
+    again = np.full_like(place, n)  # next place of the same symbol in the transform
+    same = before[1:] == before[:-1]
     again[psi[:-1][same]] = psi[1:][same]
+    del place, before, psi, same
     bound = np.zeros(n + 1, bool)
     bound[[0, n]] = True
     head = np.where(separator[sa], 256 + sa, symbols[sa])
-    fresh = np.flatnonzero(head[1:] != head[:-1]) + 1
+    fresh = (np.flatnonzero(head[1:] != head[:-1]) + 1).astype(sa.dtype)
+    del head
     bound[fresh] = True
     for _ in range(1, length):
         if not len(fresh):
             break
-        every = np.flatnonzero(bound)
+        every = np.flatnonzero(bound).astype(sa.dtype)
         left = every[np.searchsorted(every, fresh) - 1]
         width = fresh - left
-        total = np.cumsum(width)
-        q = np.arange(total[-1]) + np.repeat(left - (total - width), width)
+        total = np.cumsum(width, dtype=sa.dtype)  # n at most, as the intervals do not overlap
+        q = np.arange(total[-1], dtype=sa.dtype) + np.repeat(left - (total - width), width)
         k = lf[q[again[q] >= np.repeat(fresh, width)]] + 1
         k = k[~bound[k]]
         bound[k] = True
